@@ -19,8 +19,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hexadecimal, simhash_components
+
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexadecimal(found.fp).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts,)}
+    return {f.__name__: f for f in (op6_simhash_components, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
