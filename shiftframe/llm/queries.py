@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,17 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = assign_shards(docs, shards=40)
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_components, op7_token_counts)}
+    return {f.__name__: f for f in (op6_simhash_components, op7_token_counts, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
