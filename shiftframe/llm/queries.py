@@ -27,6 +27,17 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .language_id import in_fold, predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    model = train(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -37,7 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_components, op7_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op6_simhash_components, op7_token_counts, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
