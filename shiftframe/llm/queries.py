@@ -20,6 +20,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import in_fold
+    from .toxicity import toxicity, train
+
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 5, 0)
+    net = train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hexadecimal, simhash_components
 
@@ -48,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_components, op7_token_counts, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op3_toxicity, op6_simhash_components, op7_token_counts, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
