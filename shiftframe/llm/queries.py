@@ -29,6 +29,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data, span_text
+
+    found = span_text(personal_data(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "terms")
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hexadecimal, simhash_components
 
@@ -57,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op6_simhash_components, op7_token_counts, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op3_toxicity, op4_personal_data, op6_simhash_components, op7_token_counts, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
