@@ -1,10 +1,12 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a text's measures.
-Expectation-maximisation estimates each rule's accuracy and the share of good
-texts from the votes alone: given the accuracies, a text's posterior follows
-from its votes; given the posteriors, a rule's accuracy is the share of its
-votes that agree. A text is kept for its posterior, not for passing every rule.
+Expectation-maximisation estimates each rule's accuracies, on good and on bad
+texts, and the share of good texts, from the votes alone: given the accuracies,
+a text's posterior follows from its votes; given the posteriors, the accuracies
+are the shares of the votes. A rule that says good of almost any text thus
+weighs little when it says so and much when it does not. A text is kept for its
+posterior, not for passing every rule.
 
 The estimation runs over distinct vote patterns with their counts: at most
 3 ** rules rows, whatever the number of texts. Words are runs of characters
@@ -25,9 +27,12 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROUNDS, SETTLED = 30, 1e-6
-ACCURACY, PRIOR = 0.8, 0.8  # to start from
-LEAST, MOST = 0.55, 0.99  # bounds of an accuracy: rules are better than chance
+ROUNDS, SETTLED = 40, 1e-5
+#: To start from: the share of good texts, and the shares of votes on good and on bad texts.
+PRIOR = 0.85
+VOTES = (1, 0, -1)
+ON_GOOD, ON_BAD = (0.93, 0.05, 0.02), (0.6, 0.2, 0.2)
+SMOOTH = 1e-3  # of all texts, added to each count of votes
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -46,6 +51,7 @@ def rules() -> dict[str, Column]:
         "repeats": _vote(_share("n_repeat_words", "n_words") > 0.5, _share("n_repeat_words", "n_words") < 0.2),
         "lines": _vote(_share("n_dup_lines", "n_lines") > 0.3, _share("n_dup_lines", "n_lines") < 0.1),
         "symbols": _vote(_share("n_symbols", "n_words") > 0.3, _share("n_symbols", "n_words") < 0.05),
+        "marked_words": _vote(_share("n_marked", "n_words") > 0.1, _share("n_marked", "n_words") < 0.02),
         "word_length": _vote((_share("word_chars", "n_words") < 2.5) | (_share("word_chars", "n_words") > 12), _share("word_chars", "n_words").between(3, 10)),
         "capitals": _vote(_share("n_capitals", "word_chars") > 0.4, _share("n_capitals", "word_chars") < 0.15),
         "sentences": _vote(_share("n_sentences", "n_words") < 0.005, _share("n_sentences", "n_words").between(0.02, 0.3)),
@@ -74,7 +80,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_sentences)."""
+    """(id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_marked, n_capitals, n_sentences)."""
     text = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
     rows = text.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("lines", lines)
@@ -87,43 +93,47 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>](?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_marked"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.regexp_count("text", F.lit(r"[.!?](?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_sentences"),
     )
 
 
-def posterior(accuracy: dict[str, float], prior: float) -> Column:
-    """The probability that a text with the votes in the columns ``accuracy`` names is good."""
+Accuracies = dict[str, tuple[tuple[float, ...], tuple[float, ...]]]  # by rule, shares of VOTES on good and on bad texts
+
+
+def posterior(accuracies: Accuracies, prior: float) -> Column:
+    """The probability that a text with the votes in the columns ``accuracies`` names is good."""
     log_odds = F.lit(math.log(prior / (1 - prior)))
-    for rule, a in accuracy.items():
-        log_odds = log_odds + F.col(rule) * math.log(a / (1 - a))
+    for rule, (good, bad) in accuracies.items():
+        weight = [F.lit(math.log(g / b)) for g, b in zip(good, bad, strict=True)]
+        log_odds = log_odds + F.when(F.col(rule) == 1, weight[0]).when(F.col(rule) == 0, weight[1]).otherwise(weight[2])
     return 1 / (1 + F.exp(-log_odds))
 
 
-def estimate(votes: DataFrame, names: list[str]) -> tuple[dict[str, float], float]:
+def estimate(votes: DataFrame, names: list[str]) -> tuple[Accuracies, float]:
     """Accuracies by rule and the share of good texts, by expectation-maximisation over vote patterns."""
     patterns = checkpointed(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))  # few rows: 3 ** rules at most
-    accuracy, prior = dict.fromkeys(names, ACCURACY), PRIOR
+    accuracies, prior = dict.fromkeys(names, (ON_GOOD, ON_BAD)), PRIOR
+    counts = [F.sum(F.when(F.col(r) == v, F.col("n") * F.col(c)).otherwise(0.0)).alias(f"{r} {v} {c}") for r in names for v in VOTES for c in ("good", "bad")]
     for _ in range(ROUNDS):
-        rows = patterns.withColumn("p", posterior(accuracy, prior))
-        agree = [F.sum(F.when(F.col(r) == 1, F.col("p")).when(F.col(r) == -1, 1 - F.col("p")) * F.col("n")).alias(r) for r in names]
-        cast = [F.sum(F.when(F.col(r) != 0, F.col("n"))).alias(f"{r} votes") for r in names]
-        sums = rows.agg(F.sum(F.col("p") * F.col("n")).alias("good"), F.sum("n").alias("all"), *agree, *cast).first()
+        weighed = patterns.withColumn("good", posterior(accuracies, prior)).withColumn("bad", 1 - F.col("good"))
+        sums = weighed.agg(F.sum(F.col("good") * F.col("n")).alias("good"), F.sum("n").alias("all"), *counts).first()
         if not sums["all"]:
             break
-        new = {r: min(MOST, max(LEAST, sums[r] / sums[f"{r} votes"])) if sums[f"{r} votes"] else ACCURACY for r in names}
-        share = min(0.999, max(0.001, sums["good"] / sums["all"]))
-        moved = max(abs(share - prior), *(abs(new[r] - accuracy[r]) for r in names))
-        accuracy, prior = new, share
-        if moved < SETTLED:
+        extra = SMOOTH * sums["all"]
+        shares = lambda r, c: tuple(x / t for xs in [[sums[f"{r} {v} {c}"] + extra for v in VOTES]] for t in [sum(xs)] for x in xs)  # noqa: E731, B023
+        accuracies, before = {r: (shares(r, "good"), shares(r, "bad")) for r in names}, prior
+        prior = min(0.999, max(0.001, sums["good"] / sums["all"]))
+        if abs(prior - before) < SETTLED:
             break
-    return accuracy, prior
+    return accuracies, prior
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Measures, votes by rule, quality (the posterior), base_failed and kept for every text."""
     voted = checkpointed(measures(docs, id_col, text_col).withColumns(rules()))
-    accuracy, prior = estimate(voted, list(rules()))
+    accuracies, prior = estimate(voted, list(rules()))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = voted.withColumn("quality", posterior(accuracy, prior)).withColumn("base_failed", failed)
+    out = voted.withColumn("quality", posterior(accuracies, prior)).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
