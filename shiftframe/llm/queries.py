@@ -27,6 +27,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import in_fold
     from .toxicity import toxicity, train
@@ -71,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_toxicity, op4_personal_data, op6_simhash_components, op7_token_counts, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op6_simhash_components, op7_token_counts, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
