@@ -56,6 +56,13 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import corpus_mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return corpus_mix(docs).select("doc_id", "n_tokens", F.round("cell_weight", 6).alias("cell_weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,7 +84,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op6_simhash_components, op7_token_counts, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
