@@ -49,6 +49,16 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "terms")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .secret_scan import assignment_labels, candidates, dictionary, judged
+
+    found = candidates(table(spark, sf_dir, "documents"), dictionary(public_tokenizers.path("piece_bpe_32k.model")), path_col="source")
+    judgement = judged(found, assignment_labels(found))
+    return judgement.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "secret")
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hexadecimal, simhash_components
 
@@ -84,7 +94,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op5_secret_scan, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
