@@ -194,20 +194,20 @@ def score_texts(texts: Iterator[str], model: Model) -> tuple[list[str], list[flo
     return names, scores
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id``, the ``keep`` columns, lang_pred and score of every whole text."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``id``, the ``keep`` columns, and the language and its posterior (named by ``out``) of every whole text."""
     small_batches(docs.sparkSession)
-    rows = columns(docs, id_col, text_col, *keep)
+    names = [id_col, *(c for c in keep if c != id_col)]
+    rows = columns(docs, *dict.fromkeys([*names, text_col]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(rows.dtypes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, (names, scores) in scored(batches, shared.value, text_col):
-            out = {c: batch.column(c) for c in (id_col, *keep)}
-            yield pa.record_batch(out | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+        for batch, (langs, scores) in scored(batches, shared.value, text_col):
+            yield pa.record_batch({c: batch.column(c) for c in names} | {out[0]: pa.array(langs, pa.string()), out[1]: pa.array(scores, pa.float64())})
 
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep))
-    return rows.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    return rows.mapInArrow(score, f"{fields}, {out[0]} string, {out[1]} double")
 
 
 def scored(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[tuple[pa.RecordBatch, tuple[list[str], list[float]]]]:

@@ -115,6 +115,25 @@ def mixed(docs: DataFrame, targets: Targets, dimensions: dict[str, Column], id_c
     return out.withColumn("sampled", draw < F.col("probability"))
 
 
+def tempered(docs: DataFrame, dimensions: dict[str, Column], power: float, values: Targets | None = None, text_col: str = "text") -> Targets:
+    """Targets that are the documents' own token shares to a power, renormalised; below 1 it lifts the small.
+
+    Only the values named in ``values`` (by default those of ``TARGETS``) are
+    targets, so that their number does not grow with the documents.
+    """
+    values = values or TARGETS
+    n = tokens(F.col(f"`{text_col}`"))
+    sums = [F.sum(F.when(c == v, n)).alias(f"{d} {v}") for d, c in dimensions.items() for v in values[d]]
+    row = docs.agg(F.sum(n).alias("all"), *sums).first()
+    out = {}
+    for d in dimensions:
+        shares = {v: (row[f"{d} {v}"] or 0) / (row["all"] or 1) for v in values[d]}
+        rest = max(0.0, 1 - sum(shares.values()))
+        scale = (sum(s**power for s in shares.values()) + rest**power) or 1.0
+        out[d] = {v: s**power / scale for v, s in shares.items()}
+    return out
+
+
 #: Targets of the registered query and of the pipeline: sources alike, English at most three fifths, all topics near their usual share.
 SOURCES = {f"src{k}": 0.05 for k in range(20)}
 TARGETS: Targets = {
