@@ -33,33 +33,29 @@ def rolling_mean(df: DataFrame, value: str, name: str, order: list[Column], keys
 def rolling_mean_flat(df: DataFrame, value: str, name: str, order: list[Column], keys: list[str], size: int = 15, least: int = 5) -> DataFrame:
     """Like ``rolling_mean``, but with windows that reach over the keys' boundaries, as a flat series' would.
 
-    One order over all rows cannot be split by key. Rows are numbered by range:
-    each range's rows are counted, and a row sees the ``size`` before it by a
-    window within its own block of places and copies of the last rows of the
-    block before, so that no task holds more than a block.
+    One order over all rows cannot be split by key. Each row's place in it is its
+    key's offset and its place within the key; a row then sees the ``size``
+    before it by a window within its own block of places and copies of the last
+    rows of the block before, so that no task holds more than a block.
     """
-    own = Window.partitionBy(*keys).orderBy(*order)
-    shifted = df.withColumn("__v", F.lag(value).over(own))
-    placed = numbered(shifted, [*(F.col(k) for k in keys), *order], "__at")
+    shifted = df.withColumn("__v", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     block = 1 << 16
-    rows = placed.withColumn("__b", F.floor(F.col("__at") / block)).withColumn("__own", F.lit(True))
+    rows = numbered(shifted, keys, order, "__at").withColumn("__b", F.floor(F.col("__at") / block)).withColumn("__own", F.lit(True))
     tail = rows.where(F.col("__at") % block >= block - size + 1).withColumns({"__b": F.col("__b") + 1, "__own": F.lit(False)})
     w = Window.partitionBy("__b").orderBy("__at").rowsBetween(-(size - 1), 0)
-    both = rows.unionByName(tail)
-    out = both.withColumn(name, F.when(F.count("__v").over(w) >= least, F.avg("__v").over(w)))
+    out = rows.unionByName(tail).withColumn(name, F.when(F.count("__v").over(w) >= least, F.avg("__v").over(w)))
     return out.where("__own").drop("__v", "__at", "__b", "__own")
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``name``: each row's place in the whole order, from 0, by range partitions and their counts."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__part", before.alias("__before"))  # a row a partition
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before")
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``name``: each row's place, from 0, in the order of the keys and then of ``order``.
+
+    Only the keys' row counts, one row a key, are summed in one task.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return df.join(counts.select(*keys, before.alias("__before")), keys).withColumn(name, F.col("__before") + within).drop("__before")
 
 
 def season_features(games: DataFrame, least_minutes: float = 0.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("scans", "filters", "joins", "aggregates", "windows", "possession", "sets", "scalars", "domain", "whatif", "updates", "models", "streams")
+MODULES = ("scans", "filters", "joins", "aggregates", "windows", "possession", "sets", "scalars")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
