@@ -169,7 +169,7 @@ def score_texts(texts: Iterator[str], model: Model) -> tuple[list[str], list[flo
         if len(cache) > CACHE:
             cache.clear()
             table = table[:0]
-        if new := [w for w in dict.fromkeys(w for ws in waiting for w in ws) if w not in cache]:
+        if model.languages and (new := [w for w in dict.fromkeys(w for ws in waiting for w in ws) if w not in cache]):
             cache.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
             table = np.concatenate([table, model.word_scores(new)])
         for ws in waiting:
