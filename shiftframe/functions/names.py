@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Accented letters and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -85,7 +86,7 @@ def first_name_variants(first: Column) -> Column:
     return F.array_sort(F.array_union(F.array_union(F.array(first), nick), F.array(F.substring(first, 1, 1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def first_name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 where one begins with the other's three letters or more, else the matched-blocks ratio."""
 

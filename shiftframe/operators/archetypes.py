@@ -144,7 +144,8 @@ def forest(label: str, trees: int = 50, depth: int = 6):
 
 
 def boosted(label: str, rounds: int = 20, depth: int = 3, rate: float = 0.05):
-    return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42, **_OUT)
+    fit = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42, featuresCol="x", predictionCol="hit")
+    return fit.setProbabilityCol("p").setRawPredictionCol("rawp")
 
 
 def regressors(label: str, n: int, alpha: float = 1.0) -> dict:

@@ -35,11 +35,11 @@ def multinomial_probs(spark, sf_dir):
 
 
 def _games(spark, sf_dir):
-    """Team-games with trailing means and whether the team scored more than three."""
+    """Team-games with trailing means and whether the team had twice the attempts against it."""
     games = features.team_games(views.player_games(spark, sf_dir))
     for c in ("cf", "ca", "hits"):
         games = features.rolling_mean(games, c, f"roll_{c}", [F.col("game_id")], ["season", "team_id"])
-    return games.dropna().withColumn("win", (F.col("cf") > F.col("ca") * 2).cast("double"))
+    return games.dropna().withColumn("win", (F.col("cf") > F.col("ca") * 2).cast("double")).persist()  # each fit reads it again
 
 
 ROLL = ["roll_cf", "roll_ca", "roll_hits"]

@@ -17,7 +17,8 @@ def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
 
 def window_counts(events: DataFrame, time: str = "ts", late: str = "1 hour", size: str = "1 hour") -> DataFrame:
     """(window_start, event_type, n, total) by tumbling window; also for a static table."""
-    held = events.withWatermark(time, late) if events.isStreaming else events
+    held = events.withColumn(time, F.col(time).cast("timestamp"))
+    held = held.withWatermark(time, late) if events.isStreaming else held
     out = held.groupBy(F.window(time, size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
