@@ -41,10 +41,14 @@ ITEMS = 2000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(text: str, known: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def words_of(text: str) -> list[str]:
+    return WORDS.findall(text.lower())
+
+
+def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each word, also kept in ``known``."""
     out = []
-    for w in WORDS.findall(text.lower()):
+    for w in words:
         h = known.get(w)
         if h is None:
             h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
@@ -72,10 +76,13 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def window_fingerprints(h: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """The weighted SimHash of every n consecutive shingles."""
-    total = np.concatenate([[0.0], np.cumsum(weights)])
-    ones = np.concatenate([np.zeros((1, 64)), np.cumsum(_bits(h) * weights[:, None], 0)])
+def running_sums(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the weights before each shingle, in all and by bit."""
+    return np.concatenate([[0.0], np.cumsum(weights)]), np.concatenate([np.zeros((1, 64)), np.cumsum(_bits(h) * weights[:, None], 0)])
+
+
+def window_fingerprints(total: np.ndarray, ones: np.ndarray, n: int) -> np.ndarray:
+    """The weighted SimHash of every n consecutive shingles, from their running sums."""
     return _packed(ones[n:] - ones[:-n] > (total[n:] - total[:-n])[:, None] / 2)
 
 
@@ -97,7 +104,7 @@ class Items:
         rows = [shingles(w, width) for w in words]
         seen, times = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True)
         weight = 1 + np.log(len(rows) / times)
-        prints = [window_fingerprints(r, weight[np.searchsorted(seen, r)], len(r))[0] for r in rows]
+        prints = [window_fingerprints(*running_sums(r, weight[np.searchsorted(seen, r)]), len(r))[0] for r in rows]
         return Items(width, ids, np.array([len(r) for r in rows]), [Counter(r.tolist()) for r in rows], seen, weight, 1 + np.log(len(rows)), np.array(prints, np.uint64))
 
     def index(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -156,9 +163,10 @@ def matches(words: np.ndarray, items: Items, index: list[tuple[np.ndarray, np.nd
     candidates = []
     for run in np.split(at, np.nonzero(np.diff(at) > 2 * reach)[0] + 1):  # stretches whose windows can hold a shared shingle
         low, high = max(0, run[0] - reach + 1), min(len(h), run[-1] + reach)
+        sums = running_sums(h[low:high], weights[low:high])
         for size in np.unique(items.size).tolist():
             n = min(size, int(high - low))  # a text shorter than the item is one window
-            prints = window_fingerprints(h[low:high], weights[low:high], n)
+            prints = window_fingerprints(*sums, n)
             held = np.convolve(shared[low:high], np.ones(n, int), "valid") > 0
             starts = np.nonzero(held)[0]
             own = np.nonzero(items.size == size)[0]
@@ -173,14 +181,34 @@ def matches(words: np.ndarray, items: Items, index: list[tuple[np.ndarray, np.nd
     return found
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[Items]]:
+@dataclass
+class Block:
+    """Some items by shingle width, and the hashes of all their words."""
+
+    items: list[Items]
+    vocabulary: dict[str, int]
+
+    def shared(self, words: list[str]) -> bool:
+        """Whether a text shares a shingle with an item. Words that no item has need no hash here."""
+        get = self.vocabulary.get
+        own = np.array([get(w, 0) for w in words], np.uint64)
+        for items in self.items:
+            h = shingles(own, items.width)
+            unknown = np.concatenate([[0], np.cumsum(own == 0)])
+            h = h[unknown[items.width :] == unknown[: -items.width]] if len(h) else h
+            if len(h) and items.weights_of(h)[1].any():
+                return True
+        return False
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
     rows = columns(benchmark, id_col, text_col).toLocalIterator()
     known: dict[str, int] = {}
     while block := list(itertools.islice(rows, ITEMS)):
-        words = [(r[0], word_hashes(r[1] or "", known)) for r in block]
+        words = [(r[0], word_hashes(words_of(r[1] or ""), known)) for r in block]
         by_width = {k: [(i, w) for i, w in words if min(len(w), SHINGLE) == k] for k in range(1, SHINGLE + 1)}
-        yield [Items.of(k, [i for i, _ in own], [w for _, w in own]) for k, own in by_width.items() if own]
-        known.clear()
+        yield Block([Items.of(k, [i for i, _ in own], [w for _, w in own]) for k, own in by_width.items() if own], known)
+        known = {}
 
 
 def contaminated(
@@ -199,12 +227,16 @@ def contaminated(
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            indexed = [(items, items.index()) for items in shared.value]
+            block = shared.value
+            indexed = [(items, items.index()) for items in block.items]
             known: dict[str, int] = {}
             for b in batches:
                 out = []
                 for k, text in enumerate(texts_of(b, text_col)):
-                    words = word_hashes(text, known)
+                    words = words_of(text)
+                    if not block.shared(words):
+                        continue
+                    words = word_hashes(words, known)
                     out += [(k, items.ids[m[0]], *m[1:]) for items, index in indexed for m in matches(words, items, index, similar)]
                 if len(known) > 500_000:
                     known.clear()
