@@ -154,3 +154,21 @@ def toi_share_pivot(spark, sf_dir):
     cells = [f"{p}{k}" for p in "FD" for k in range(3)]
     wide = rows.groupBy("season", "team_id").pivot("cell", cells).agg(F.avg("share")).na.fill(0.0)
     return wide.withColumns({c: F.round(c, 6) for c in cells})
+
+
+@query(
+    with_views(
+        """, t AS (SELECT team, count(*) FILTER (WHERE side = 'f') AS cf, count(*) FILTER (WHERE side = 'a') AS ca FROM (SELECT team_id_for AS team, 'f' AS side, event FROM v_plays UNION ALL SELECT team_id_against, 'a', event FROM v_plays)
+    WHERE event IN ('Shot', 'Missed Shot', 'Blocked Shot') GROUP BY team) SELECT team AS team_id, CAST(cf AS BIGINT) AS cf, CAST(ca AS BIGINT) AS ca, round(100.0::DOUBLE * cf / (cf + ca), 6) AS cf_percent FROM t""",
+        "v_plays",
+    )
+)
+def season_attempts(spark, sf_dir):
+    return totals.season_attempts(views.plays(spark, sf_dir), goals=False).withColumn("cf_percent", F.round("cf_percent", 6))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT c_custkey FROM customer ORDER BY (c_custkey * 7919) % 104729, c_custkey LIMIT 50)")
+def sample_rows(spark, sf_dir):
+    """A fixed sample: the first rows by a hash of the key (here one that SQL shares)."""
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return people.orderBy((F.col("c_custkey") * 7919) % 104729, "c_custkey").limit(50)

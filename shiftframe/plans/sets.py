@@ -69,3 +69,16 @@ def focus_window(spark, sf_dir):
     focus = log.where("cf >= 60").groupBy("player_id").agg(F.min("game_no").alias("focus"))
     near = log.join(focus, "player_id").where(F.col("game_no").between(F.greatest(F.lit(1), F.col("focus") - 3), F.col("focus") + 3))
     return near.select("game_id", "player_id", "cf", "ca", "day", "game_no")
+
+
+@query(
+    with_views(
+        """, s AS (SELECT player_id, sum(cf) AS cf FROM v_ps GROUP BY ALL) SELECT player_id, CAST(cf AS BIGINT) AS cf, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY cf DESC, player_id) AS rank FROM s) WHERE rank <= 10""",
+        "v_ps",
+    )
+)
+def ranked_top(spark, sf_dir):
+    """Top rows first, then their ranks: only the ten are numbered in one task."""
+    sums = views.player_seasons(spark, sf_dir).groupBy("player_id").agg(F.sum("cf").alias("cf"))
+    top = sums.orderBy(F.desc("cf"), "player_id").limit(10)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cf"), "player_id")))
