@@ -38,6 +38,7 @@ WORDS = re.compile(r"[^\W_]+")
 SHINGLE, SIMILAR = 5, 0.8
 RADIUS, BLOCKS = 15, 4
 ITEMS = 2000
+KNOWN = 100_000  # words whose hashes a task remembers
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -238,7 +239,7 @@ def contaminated(
                         continue
                     words = word_hashes(words, known)
                     out += [(k, items.ids[m[0]], *m[1:]) for items, index in indexed for m in matches(words, items, index, similar)]
-                if len(known) > 500_000:
+                if len(known) > KNOWN:
                     known.clear()
                 at, item, *rest = zip(*out, strict=True) if out else [()] * 6
                 own = b.column(id_col).take(pa.array(at, pa.int64()))

@@ -37,7 +37,7 @@ UNKNOWN = 1e-9
 LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD}}}")
 SAMPLE_CHARS = 300_000
 STEPS = 4
-CACHE = 400_000
+CACHE = 250_000
 
 
 def words_of(text: str) -> list[str]:
