@@ -306,3 +306,41 @@ def test_near_duplicates_stage(docs, texts):
     pairs = [(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids)) if min(len(sets[ids[i]]), len(sets[ids[j]])) >= 0.8 * max(len(sets[ids[i]]), len(sets[ids[j]])) and alike(ids[i], ids[j])]
     want = {ids[k] for k in set(components_of(len(ids), pairs))}
     assert len(kept ^ want) <= 0.001 * len(ids)
+
+
+def near_copies(rng, words, changed):
+    words = list(words)
+    for k in rng.sample(range(len(words)), changed):
+        words[k] = f"w{rng.randrange(10**9)}"
+    return words
+
+
+@pytest.mark.parametrize("form", ["star", "chain"])
+def test_edited_copies_leave_one(spark, monkeypatch, form):
+    """Copies of one original, and copies of copies: the first text is all that stays."""
+    monkeypatch.setattr(near_duplicates, "CHUNK", 256)
+    rng = random.Random(4)
+    rows = [[f"w{rng.randrange(10**9)}" for _ in range(300)]]
+    for _ in range(2000):
+        rows.append(near_copies(rng, rows[0] if form == "star" else rows[max(0, len(rows) - rng.randrange(1, 4))], 6))
+    sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in rows]
+    orders = np.random.default_rng(5).integers(0, 1 << 63, near_duplicates.VIEWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    views = np.array([near_duplicates.view_prints(near_duplicates.shingle_set(w, {}), orders) for w in rows])
+    pairs = [(i, j) for j in range(len(rows)) for i in ([0] if form == "star" else range(max(0, j - 8), j)) if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum((views[i] == views[j]).any() for i, j in pairs) >= 0.997 * len(pairs)
+    want = set(components_of(len(rows), [(i, j) for i, j in pairs if (views[i] == views[j]).any()]))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(8)
+    found = {r.doc_id for r in near_duplicates.deduplicated(docs).collect()}
+    assert found == want and len(want) <= 0.003 * len(rows)
+
+
+def test_group_links_join_what_brute_force_joins():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, 40, np.uint64)) for _ in range(30)]
+    for _ in range(150):
+        own = sets[rng.integers(len(sets))]
+        sets.append(np.unique(np.concatenate([own[rng.random(len(own)) > 0.08], rng.integers(0, 1 << 63, 3, np.uint64)])))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if near_duplicates.similarity(sets[i], sets[j]) >= 0.8]
+    n, zero = len(sets), np.zeros(len(sets), int)
+    links = near_duplicates.group_links(sets, np.arange(n), zero, zero, np.zeros((n, 0), np.int64), 0, 0.8)
+    assert set(links) <= set(pairs) and components_of(n, links) == components_of(n, pairs) and len(links) < len(pairs)
