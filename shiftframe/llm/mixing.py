@@ -8,7 +8,10 @@ largest is 1, is the probability of keeping each of its documents; draws are by
 a hash of the id, so that they repeat.
 
 Targets are renormalised over the values that have tokens: what is absent
-cannot be weighted up. Null sources, languages and topics count as ``other``;
+cannot be weighted up. Null sources, languages and topics count as ``other``,
+as do values without a target; where the targets leave ``other`` nothing, it keeps
+its own share of the tokens and the targets divide the rest, so that no document
+is lost for its name. A target for ``other``, also of 0, is taken as it is;
 null and empty texts have no tokens and are drawn with their cell's
 probability; repeated rows are drawn alike; other columns are kept; an empty
 table gives an empty result.
@@ -70,9 +73,14 @@ def rake(cells: DataFrame, targets: Targets) -> dict[str, dict[str, float]]:
         return factors
     wanted = {}
     for d in names:
-        held = {v for v, n in sums(d).items() if n > 0}
+        own = sums(d)
+        held = {v for v, n in own.items() if n > 0}
         given = {v: w for v, w in targets[d].items() if v in held}
         rest = max(0.0, 1 - sum(targets[d].values())) if OTHER in held else 0.0
+        if OTHER in held and OTHER not in targets[d] and rest < SETTLED:
+            named = sum(given.values())
+            given = {v: w / named * (1 - own[OTHER] / total) for v, w in given.items()} if named else {}
+            rest = own[OTHER] / total
         given[OTHER] = given.get(OTHER, 0.0) + rest
         scale = sum(given.values())
         wanted[d] = {v: w / scale for v, w in given.items()} if scale else {v: 1 / len(held) for v in held}

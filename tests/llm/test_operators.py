@@ -252,6 +252,19 @@ def test_mixing_reaches_the_targets(docs):
     assert {r.doc_id for r in found.where("sampled").collect()} == {r.doc_id for r in mixing.corpus_mix(docs.repartition(7)).where("sampled").collect()}
 
 
+def test_unlisted_and_null_values_are_sampled(spark):
+    """Values without a target keep their own share of the tokens."""
+    rng = random.Random(8)
+    rows = [(k, "a b c d", f"src{k % 20}" if k % 3 else ["new", None][k % 2], rng.choice(["en", "fr", "de", "es", "it", None])) for k in range(1200)]
+    found = mixing.corpus_mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).persist()
+    assert found.agg(F.min("probability")).first()[0] > 0
+    total = found.agg(F.sum("n_tokens")).first()[0]
+    other = ~F.coalesce(F.col("source").isin(list(mixing.SOURCES)), F.lit(False))
+    mixed = found.groupBy(other.alias("other"), "source").agg(F.sum(F.col("n_tokens") * F.col("cell_weight")) / total, F.count_if("sampled")).collect()
+    assert sum(r[2] for r in mixed if r.other) == pytest.approx(1 / 3, abs=1e-3) and all(r[3] > 0 for r in mixed)
+    assert all(r[2] == pytest.approx(0.05 * 2 / 3, abs=1e-3) for r in mixed if not r.other)
+
+
 def lattice_brute(word, known, unknown):
     if not word:
         return 1.0
