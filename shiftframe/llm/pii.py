@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 Patterns find the protected entities (e-mail and IP addresses, card and phone
-numbers). The corpus then tells how strongly a term near an entity reveals it:
-with P as shares of documents, a term t discloses entity c to the degree
+numbers). The corpus then tells how strongly a term in the documents of an entity,
+at any place of their text, reveals it: with P as shares of documents, a term t discloses entity c to the degree
 PMI(c; t) / IC(c) = 1 - log P(c | t) / log P(c), which is 1 where every document
 with t holds c. Terms that reach ``GENERALISE`` are generalised, from ``REMOVE``
-on removed. A term must be seen near the entity in ``CONTEXTS`` different
-surroundings, so that copies of one document prove nothing.
+on removed. A term must be seen in ``CONTEXTS`` different surroundings: the
+entity's where the term is near, and its own first ones in each document that holds the
+entity, so that copies of one document prove nothing. Every occurrence of a
+revealing term in the documents of its entity is a span.
 
 All counts are taken over all documents. Only a bitmap of fixed size, of hashes
 of candidate terms, is broadcast: it spares counting other words, and the exact
@@ -100,6 +102,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, s, e) for k, find in zip(KINDS, (emails, ips, cards, phones), strict=True) for s, e in find(text)]
 
 
+def entity_hash(kind: str, value: str) -> int:
+    return xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "replace")) - (1 << 63)
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all terms between the pattern spans."""
+    out, at = [], 0
+    for _, s, e in sorted(base_spans(text), key=lambda x: x[1]):
+        out += [m.span() for m in TERM.finditer(text, at, s)] if s > at else []
+        at = max(at, e)
+    return out + [m.span() for m in TERM.finditer(text, at)]
+
+
 def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, int, int]]:
     """(entity, surroundings, term, start, end) for the terms near each span; entity and surroundings as hashes."""
     out = []
@@ -108,9 +123,9 @@ def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
         before, after = list(TERM.finditer(text, low, s))[-NEAR:], list(TERM.finditer(text, e, high))[:NEAR]
         whole = (m for m in before + after if not (m.start() == low and text[low - 1 : low].isalpha() or m.end() == high and text[high : high + 1].isalpha()))
         terms = [m for m in whole if not any(m.start() < z and a < m.end() for _, a, z in spans)]
-        entity = xxhash.xxh64_intdigest(f"{kind}:{text[s:e]}".encode("utf-8", "replace"))
+        entity = entity_hash(kind, text[s:e])
         context = xxhash.xxh64_intdigest(" ".join(m[0].lower() for m in terms).encode("utf-8", "replace"))
-        out += [(entity - (1 << 63), context - (1 << 63), m[0].lower(), *m.span()) for m in terms]
+        out += [(entity, context - (1 << 63), m[0].lower(), *m.span()) for m in terms]
     return out
 
 
@@ -122,7 +137,7 @@ NEAR_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()),
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, n_email, n_ip, n_card, n_phone, base_sha256, base, near) of every text."""
+    """(id, hash, n_email, n_ip, n_card, n_phone, base_sha256, base, held, near) of every text; held are its different entities."""
     small_batches(docs.sparkSession)
     rows = columns(docs, id_col, text_col).withColumn("hash", F.xxhash64(F.col(f"`{text_col}`")))
 
@@ -134,12 +149,13 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             out |= {f"n_{k}": pa.array([sum(x[0] == k for x in s) for s, _ in spans], pa.int64()) for k in KINDS}
             out["base_sha256"] = pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string())
             out["base"] = pa.array(joined, pa.string())
+            out["held"] = pa.array([sorted({entity_hash(k, t[a:z]) for k, a, z in s}) for s, t in spans], pa.list_(pa.int64()))
             out["near"] = pa.array([[dict(zip(("entity", "context", "term", "start", "end"), x, strict=True)) for x in neighbours(t, s)] for s, t in spans], NEAR_TYPE)
             yield pa.record_batch(out)
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     near = "array<struct<entity: long, context: long, term: string, start: int, end: int>>"
-    return rows.mapInArrow(find, f"`{id_col}` {dict(rows.dtypes)[id_col]}, hash long, {counts}, base_sha256 string, base string, near {near}")
+    return rows.mapInArrow(find, f"`{id_col}` {dict(rows.dtypes)[id_col]}, hash long, {counts}, base_sha256 string, base string, held array<long>, near {near}")
 
 
 def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -168,27 +184,72 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -
     return words.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, near: DataFrame, n_docs: int, text_col: str = "text", generalise: float = GENERALISE, contexts: int = CONTEXTS) -> DataFrame:
-    """(entity, term, degree) of the terms that reveal an entity; ``near`` has (row, entity, context, term)."""
-    seen = near.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
-    seen = checkpointed(seen.select("entity", "term"))
-    held = near.join(seen, ["entity", "term"], "left_semi").groupBy("entity", "term", "row").count()
-    pairs = checkpointed(held.groupBy("entity", "term").agg(F.count("*").alias("n_ct")))
-    entities = near.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity", "row").count().groupBy("entity").agg(F.count("*").alias("n_c"))
-    known = document_counts(docs, pairs.select("term").distinct(), text_col)
+def texts_by_hash(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
+
+
+def whole_terms(docs: DataFrame, hashes: DataFrame, text_col: str = "text") -> DataFrame:
+    """(hash, term, context) of all different terms of the texts of ``hashes`` (hash), with the first one's surroundings."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, text in zip(b.column("hash").to_pylist(), texts_of(b), strict=True):
+                words, first = [text[s:e].lower() for s, e in places(text)], {}
+                for k, w in enumerate(words):
+                    if w not in first:
+                        first[w] = xxhash.xxh64_intdigest(" ".join(words[max(0, k - NEAR) : k + NEAR + 1]).encode("utf-8", "replace")) - (1 << 63)
+                yield pa.record_batch({"hash": pa.array([own] * len(first), pa.int64()), "term": pa.array(list(first), pa.string()), "context": pa.array(list(first.values()), pa.int64())})
+
+    rows = texts_by_hash(docs, text_col).join(hashes.distinct(), "hash", "left_semi")
+    return rows.mapInArrow(find, "hash long, term string, context long").dropDuplicates(["hash", "term"])
+
+
+def term_spans(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(hash, terms): every occurrence (start, end, degree) of the ``wanted`` (hash, term, degree) in the texts."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("degree", pa.float64())]))
+    listed = wanted.groupBy("hash").agg(F.collect_list(F.struct("term", "degree")).alias("listed"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for text, x in zip(texts_of(b), b.column("listed").to_pylist(), strict=True):
+                degree = {t["term"]: t["degree"] for t in x}
+                found.append([{"start": s, "end": e, "degree": degree[w]} for s, e in places(text) if (w := text[s:e].lower()) in degree])
+            yield pa.record_batch({"hash": b.column("hash"), "terms": pa.array(found, kind)})
+
+    rows = texts_by_hash(docs, text_col).join(listed, "hash")
+    return rows.mapInArrow(find, "hash long, terms array<struct<start: int, end: int, degree: double>>").dropDuplicates(["hash"])
+
+
+def disclosures(docs: DataFrame, base: DataFrame, text_col: str = "text", generalise: float = GENERALISE, contexts: int = CONTEXTS) -> DataFrame:
+    """(hash, term, degree) of the terms that reveal an entity of the text; ``base`` is ``marked`` of ``docs``."""
+    near = base.select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context")
+    texts = base.where(F.size("held") > 0).groupBy("hash", "held").agg(F.count("*").alias("copies"))
+    holders = checkpointed(texts.select("hash", "copies", F.explode("held").alias("entity")))
+    n_c = holders.groupBy("entity").agg(F.sum("copies").alias("n_c"), F.count("*").alias("texts"))
+
+    def often(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
+
+    wide = n_c.where(F.col("texts") >= contexts).select("entity").unionByName(often(near).select("entity")).distinct()
+    holders = checkpointed(holders.join(wide, "entity", "left_semi"))
+    words = checkpointed(whole_terms(docs, holders.select("hash"), text_col))
+    pairs = words.join(holders, "hash")
+    seen = often(near.unionByName(pairs.select("entity", "term", "context"))).select("entity", "term")
+    counts = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"))
+    counts = checkpointed(counts.join(seen, ["entity", "term"]))
+    known, n_docs = document_counts(docs, counts.select("term").distinct(), text_col), base.count()
     degree = 1 - F.log(F.col("n_ct") / F.col("n_t")) / F.log(F.col("n_c") / n_docs)
-    found = pairs.join(known, "term").join(entities, "entity").where(F.col("n_c") < n_docs)
-    return found.select("entity", "term", degree.alias("degree")).where(F.col("degree") >= generalise)
+    found = counts.join(known, "term").join(n_c, "entity").where(F.col("n_c") < n_docs)
+    found = found.select("entity", "term", degree.alias("degree")).where(F.col("degree") >= generalise)
+    return pairs.join(found, ["entity", "term"]).groupBy("hash", "term").agg(F.max("degree").alias("degree"))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, contexts: int = CONTEXTS) -> DataFrame:
     """(id, hash, counts, base_sha256, base, terms): pattern spans and the terms (start, end, degree) that reveal them."""
-    base = checkpointed(marked(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    near = base.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    revealing = disclosures(docs, near, base.count(), text_col, generalise, contexts)
-    terms = near.join(revealing, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("degree").alias("degree"))
-    terms = terms.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "degree"))).alias("terms"))
-    return base.drop("near").join(terms, "row", "left").drop("row")
+    base = checkpointed(marked(docs, id_col, text_col))
+    terms = term_spans(docs, disclosures(docs, base, text_col, generalise, contexts), text_col)
+    return base.drop("near", "held").join(terms, "hash", "left").select(*(c for c in base.columns if c not in ("near", "held")), "terms")
 
 
 def span_text(found: DataFrame) -> DataFrame:

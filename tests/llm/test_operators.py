@@ -232,6 +232,16 @@ def test_revealing_terms(spark):
     assert "Zebulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[7] == rows[7][1]
 
 
+def test_terms_far_from_their_entity_reveal_it(spark):
+    rng = random.Random(2)
+    filler = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "sed", "quis"]) for _ in range(n))
+    rows = [(k, f"{filler(8)} Zebulon {filler(30)} bob@example.com {filler(3 if k % 2 else 20)} Qwertz {filler(9)} zebulon") for k in range(6)]
+    rows += [(6, f"{filler(9)} Zebra zebra zebra bob@example.com")] + [(k, filler(16)) for k in range(7, 200)]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    masked = {r.doc_id: [rows[r.doc_id][1][t.start : t.end] for t in r.terms or []] for r in found}
+    assert masked == {k: ["Zebulon", "Qwertz", "zebulon"] if k < 6 else [] for k in range(200)}
+
+
 def test_secret_scan(spark, docs, texts):
     found = secret_scan.candidates(docs, secret_scan.dictionary(public_tokenizers.path("piece_bpe_32k.model")), path_col="source")
     rows = secret_scan.judged(found, secret_scan.assignment_labels(found)).collect()
