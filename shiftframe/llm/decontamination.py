@@ -5,11 +5,14 @@ item's number of words, at any place of a text, has a weighted SimHash of its
 five-word shingles. Four blocks of 16 bits index the items' fingerprints: one
 within ``RADIUS`` bits agrees to RADIUS // 4 bits in one block at least, and the
 index lists each item under every such block value, so that all items within
-the radius are found. Candidates are then verified by weighted Jaccard
+the radius are found. Similar windows may lie beyond the radius: candidates are
+therefore also all windows whose weight of shingles shared with an item permits
+the similarity. Candidates are verified by weighted Jaccard
 similarity of the shingle multisets; shingles that many items share weigh less.
 
 Windows that share no shingle with any item have similarity 0 to all of them;
-their fingerprints are not computed, which loses nothing.
+their fingerprints are not computed, nor those of texts that hold too few of
+every item's shingles for the similarity, which loses nothing.
 
 Items of fewer than five words are one shingle of their own length; items
 without words match nothing. Null texts have no words. Repeated rows and items
@@ -99,6 +102,8 @@ class Items:
     weight: np.ndarray
     other: float  # the weight of a shingle that no item has
     prints: np.ndarray
+    total: np.ndarray  # the items' weights
+    holders: tuple[np.ndarray, np.ndarray, np.ndarray]  # where each known shingle's items start, the items, and its weight in each
 
     @staticmethod
     def of(width: int, ids: list, words: list[np.ndarray]) -> Items:
@@ -106,7 +111,13 @@ class Items:
         seen, times = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True)
         weight = 1 + np.log(len(rows) / times)
         prints = [window_fingerprints(*running_sums(r, weight[np.searchsorted(seen, r)]), len(r))[0] for r in rows]
-        return Items(width, ids, np.array([len(r) for r in rows]), [Counter(r.tolist()) for r in rows], seen, weight, 1 + np.log(len(rows)), np.array(prints, np.uint64))
+        at = np.searchsorted(seen, np.concatenate(rows))
+        item = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        pairs, n = np.unique(at * len(rows) + item, return_counts=True)
+        at, item = np.divmod(pairs, len(rows))
+        total = np.bincount(item, n * weight[at], len(rows))
+        holders = np.searchsorted(at, np.arange(len(seen) + 1)), item, n * weight[at]
+        return Items(width, ids, np.array([len(r) for r in rows]), [Counter(r.tolist()) for r in rows], seen, weight, 1 + np.log(len(rows)), np.array(prints, np.uint64), total, holders)
 
     def index(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each block: items by near block value, and where each value's items start."""
@@ -127,6 +138,14 @@ class Items:
         found = self.known[at] == h
         return np.where(found, self.weight[at], self.other), found
 
+    def permitted(self, h: np.ndarray, similar: float) -> np.ndarray:
+        """The items that a text with the known shingles ``h`` can hold: at least that share of their weight is there."""
+        starts, item, mass = self.holders
+        at = np.searchsorted(self.known, np.unique(h))
+        n = starts[at + 1] - starts[at]
+        listed = np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.nonzero(np.bincount(item[listed], mass[listed], len(self.ids)) >= similar * self.total - 1e-6)[0]
+
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of a window's shingles and an item's."""
         own, bag = Counter(window.tolist()), self.bags[item]
@@ -160,22 +179,32 @@ def matches(words: np.ndarray, items: Items, index: list[tuple[np.ndarray, np.nd
     found: list[tuple[int, float, int, int, int]] = []
     if not len(at):
         return found
+    likely = items.permitted(h[at], similar)
+    if not len(likely):
+        return found
+    keys = {item: np.array(list(items.bags[item]), np.uint64) for item in likely.tolist()}
     reach = int(items.size.max())
     candidates = []
     for run in np.split(at, np.nonzero(np.diff(at) > 2 * reach)[0] + 1):  # stretches whose windows can hold a shared shingle
         low, high = max(0, run[0] - reach + 1), min(len(h), run[-1] + reach)
         sums = running_sums(h[low:high], weights[low:high])
-        for size in np.unique(items.size).tolist():
+        for size in np.unique(items.size[likely]).tolist():
             n = min(size, int(high - low))  # a text shorter than the item is one window
             prints = window_fingerprints(*sums, n)
             held = np.convolve(shared[low:high], np.ones(n, int), "valid") > 0
             starts = np.nonzero(held)[0]
-            own = np.nonzero(items.size == size)[0]
+            own = likely[items.size[likely] == size]
             window, item, distance = near_items(prints[starts], items, index)
             fit = np.isin(item, own)
             candidates += zip(distance[fit].tolist(), item[fit].tolist(), (starts[window[fit]] + low).tolist(), itertools.repeat(n), strict=False)
+            whole = sums[0][n:] - sums[0][:-n]
+            for item in own.tolist():
+                both = np.concatenate([[0.0], np.cumsum(weights[low:high] * np.isin(h[low:high], keys[item]))])
+                start = np.nonzero(both[n:] - both[:-n] >= similar / (1 + similar) * (whole + items.total[item]) - 1e-6)[0]
+                distance = np.bitwise_count(prints[start] ^ items.prints[item])
+                candidates += zip(distance.tolist(), itertools.repeat(item), (start + low).tolist(), itertools.repeat(n), strict=False)
     done: set[int] = set()
-    for distance, item, start, n in sorted(candidates):
+    for distance, item, start, n in sorted(set(candidates)):
         if item not in done and (s := items.similarity(h[start : start + n], item)) >= similar:
             done.add(item)
             found.append((item, s, start, n + items.width - 1, distance))

@@ -152,6 +152,19 @@ def test_block_index_misses_nothing():
     assert set(zip(window.tolist(), item.tolist(), strict=True)) == want and distance.max() <= decontamination.RADIUS
 
 
+def test_items_with_one_edited_word_are_found():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(1, 1 << 63, 50, np.uint64) for _ in range(500)]
+    items = decontamination.Items.of(5, list(range(500)), words)
+    index, found = items.index(), 0
+    for k, own in enumerate(words):
+        edited = own.copy()
+        edited[rng.integers(4, 46)] = 0  # 41 of 51 shingles stay: 0.804
+        text = np.concatenate([rng.integers(1, 1 << 63, 20, np.uint64), edited, rng.integers(1, 1 << 63, 20, np.uint64)])
+        found += [m[0] for m in decontamination.matches(text, items, index, 0.8)] == [k]
+    assert found == 500
+
+
 def test_toxicity_gradients():
     net = toxicity.Network.fresh(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
