@@ -18,7 +18,10 @@ Items of fewer than five words are one shingle of their own length; items
 without words match nothing. Null texts have no words. Repeated rows and items
 each give their own rows; null ids stay null; other columns are ignored; empty
 tables give an empty result. The benchmark is taken in blocks of ``ITEMS``, each
-small enough to broadcast; a text is read once for each block.
+small enough to broadcast; a text is read once for each block. Shingles are
+counted over the whole benchmark first, so that weights do not depend on the
+blocks; with each go the counts of shingles that two items or more share, 16
+bytes each. All others weigh what an unseen shingle does.
 """
 
 from __future__ import annotations
@@ -90,6 +93,15 @@ def window_fingerprints(total: np.ndarray, ones: np.ndarray, n: int) -> np.ndarr
     return _packed(ones[n:] - ones[:-n] > (total[n:] - total[:-n])[:, None] / 2)
 
 
+@dataclass
+class Times:
+    """How many items of a width there are, and in how many of them each shingle of several items is."""
+
+    items: int
+    known: np.ndarray  # in order
+    times: np.ndarray
+
+
 @dataclass
 class Items:
     """Items of one shingle width, their fingerprints and the block index."""
@@ -98,18 +110,24 @@ class Items:
     ids: list
     size: np.ndarray  # in shingles
     bags: list[Counter]
-    known: np.ndarray  # all shingles, in order, and their weights
+    known: np.ndarray  # all shingles, in order, their weights, and whether these items have them
     weight: np.ndarray
+    mine: np.ndarray
     other: float  # the weight of a shingle that no item has
     prints: np.ndarray
     total: np.ndarray  # the items' weights
     holders: tuple[np.ndarray, np.ndarray, np.ndarray]  # where each known shingle's items start, the items, and its weight in each
 
     @staticmethod
-    def of(width: int, ids: list, words: list[np.ndarray]) -> Items:
+    def of(width: int, ids: list, words: list[np.ndarray], whole: Times | None = None) -> Items:
+        """The items, of a benchmark that ``whole`` counts; without it they are all."""
         rows = [shingles(w, width) for w in words]
-        seen, times = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True)
-        weight = 1 + np.log(len(rows) / times)
+        own, times = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True)
+        whole = whole or Times(len(rows), own, times)
+        seen = np.union1d(own, whole.known)
+        mine, times = np.isin(seen, own), np.ones(len(seen))
+        times[np.searchsorted(seen, whole.known)] = whole.times
+        weight = 1 + np.log(whole.items / times)
         prints = [window_fingerprints(*running_sums(r, weight[np.searchsorted(seen, r)]), len(r))[0] for r in rows]
         at = np.searchsorted(seen, np.concatenate(rows))
         item = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -117,7 +135,7 @@ class Items:
         at, item = np.divmod(pairs, len(rows))
         total = np.bincount(item, n * weight[at], len(rows))
         holders = np.searchsorted(at, np.arange(len(seen) + 1)), item, n * weight[at]
-        return Items(width, ids, np.array([len(r) for r in rows]), [Counter(r.tolist()) for r in rows], seen, weight, 1 + np.log(len(rows)), np.array(prints, np.uint64), total, holders)
+        return Items(width, ids, np.array([len(r) for r in rows]), [Counter(r.tolist()) for r in rows], seen, weight, mine, 1 + np.log(whole.items), np.array(prints, np.uint64), total, holders)
 
     def index(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each block: items by near block value, and where each value's items start."""
@@ -136,7 +154,7 @@ class Items:
         """The shingles' weights, and which of them some item has."""
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         found = self.known[at] == h
-        return np.where(found, self.weight[at], self.other), found
+        return np.where(found, self.weight[at], self.other), found & self.mine[at]
 
     def permitted(self, h: np.ndarray, similar: float) -> np.ndarray:
         """The items that a text with the known shingles ``h`` can hold: at least that share of their weight is there."""
@@ -231,13 +249,40 @@ class Block:
         return False
 
 
+def whole_times(benchmark: DataFrame, text_col: str) -> dict[int, Times]:
+    """Counts over all items by shingle width."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width, found = [], []
+            for text in texts_of(b, text_col):
+                words = word_hashes(words_of(text), {})
+                k = min(len(words), SHINGLE)
+                own = np.unique(shingles(words, k)).view(np.int64).tolist() if k else []
+                width += [k] * (len(own) + 1)
+                found += [None, *own]  # the item itself, and its shingles
+            yield pa.record_batch({"width": pa.array(width, pa.int64()), "h": pa.array(found, pa.int64())})
+
+    counts = columns(benchmark, text_col).mapInArrow(find, "width long, h long").groupBy("width", "h").count()
+    table, out = counts.where("width > 0 AND (h IS NULL OR count > 1)").toArrow(), {}
+    width, h, n = (table.column(c).combine_chunks() for c in ("width", "h", "count"))
+    for k in width.unique().to_pylist():
+        own = width.to_numpy() == k
+        alone = own & h.is_null().to_numpy(zero_copy_only=False)
+        hashes, times = h.fill_null(0).to_numpy().view(np.uint64)[own & ~alone], n.to_numpy()[own & ~alone]
+        order = np.argsort(hashes)
+        out[k] = Times(int(n.to_numpy()[alone][0]), hashes[order], times[order])
+    return out
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
+    whole = whole_times(benchmark, text_col)
     rows = columns(benchmark, id_col, text_col).toLocalIterator()
     known: dict[str, int] = {}
     while block := list(itertools.islice(rows, ITEMS)):
         words = [(r[0], word_hashes(words_of(r[1] or ""), known)) for r in block]
         by_width = {k: [(i, w) for i, w in words if min(len(w), SHINGLE) == k] for k in range(1, SHINGLE + 1)}
-        yield Block([Items.of(k, [i for i, _ in own], [w for _, w in own]) for k, own in by_width.items() if own], known)
+        yield Block([Items.of(k, [i for i, _ in own], [w for _, w in own], whole[k]) for k, own in by_width.items() if own], known)
         known = {}
 
 

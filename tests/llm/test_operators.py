@@ -165,6 +165,19 @@ def test_items_with_one_edited_word_are_found():
     assert found == 500
 
 
+def test_blocks_of_items_do_not_change_the_result(spark, monkeypatch):
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = [fresh(12) for _ in range(3)]
+    items = [common[k % 3] + fresh(20) + common[(k + k // 3) % 3] for k in range(12)]
+    rows = [(k, " ".join(fresh(9) + w[: len(w) - k % 5] + fresh(9))) for k, w in enumerate(items)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontamination.contaminated(docs, benchmark).collect())
+    whole = found()
+    monkeypatch.setattr(decontamination, "ITEMS", 5)
+    assert found() == whole and len(whole) >= 6
+
+
 def test_toxicity_gradients():
     net = toxicity.Network.fresh(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
