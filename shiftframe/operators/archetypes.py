@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -14,23 +18,46 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import sums_before
+
+PARALLEL = 8  # fits that run at once, as their jobs are short
+
+
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept while several fits read it."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def _each(make: Callable, items: Iterable) -> list:
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return list(pool.map(make, items))
+
 
 def scaled(columns: list[str]) -> list:
     """Stages that put the columns, standardised, into the vector ``x``."""
     return [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True)]
 
 
-def kmeans(train: DataFrame, columns: list[str], k: int = 3, seeds: tuple[int, ...] = (42, 43, 44), order_by: str | None = None) -> tuple[PipelineModel, list[int]]:
+def plain(columns: list[str]) -> list:
+    """Stages that put the columns as they are into the vector ``x``."""
+    return [VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip")]
+
+
+def kmeans(train: DataFrame, columns: list[str], k: int = 3, seeds: Iterable[int] = range(42, 92), order_by: str | None = None, scale: bool = True) -> tuple[PipelineModel, list[int]]:
     """The fit of least cost over the seeds, and each raw label's number by the centers' ``order_by``.
 
     Labels of k-means are arbitrary; numbering them by one feature of the
     centers makes them the same from run to run.
     """
-    prepared = Pipeline(stages=scaled(columns)).fit(train)
-    vectors = prepared.transform(train).select("x").persist()
-    fits = [KMeans(k=k, seed=s, featuresCol="x", predictionCol="raw_cluster").fit(vectors) for s in seeds]
+    prepared = Pipeline(stages=scaled(columns) if scale else plain(columns)).fit(train)
+    with cached(prepared.transform(train).select("x")) as vectors:
+        fits = _each(lambda s: KMeans(k=k, seed=s, featuresCol="x", predictionCol="raw_cluster").fit(vectors), seeds)
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    vectors.unpersist()
     at = columns.index(order_by or columns[0])
     order = sorted(range(k), key=lambda c: best.clusterCenters()[c][at])
     return PipelineModel(stages=[*prepared.stages, best]), [order.index(c) for c in range(k)]
@@ -51,12 +78,13 @@ def centers(model: PipelineModel, numbers: list[int], columns: list[str], df: Da
 
 def k_sweep(train: DataFrame, columns: list[str], ks: range = range(2, 9), seed: int = 42) -> DataFrame:
     """(k, inertia, silhouette) of each number of clusters; the silhouette is of squared distances."""
-    vectors = Pipeline(stages=scaled(columns)).fit(train).transform(train).select("x").persist()
-    rows = []
-    for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="x").fit(vectors)
-        rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator(featuresCol="x").evaluate(model.transform(vectors)))))
-    vectors.unpersist()
+    with cached(Pipeline(stages=scaled(columns)).fit(train).transform(train).select("x")) as vectors:
+
+        def measured(k: int) -> tuple[int, float, float]:
+            model = KMeans(k=k, seed=seed, featuresCol="x").fit(vectors)
+            return k, float(model.summary.trainingCost), float(ClusteringEvaluator(featuresCol="x").evaluate(model.transform(vectors)))
+
+        rows = _each(measured, ks)
     return train.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -69,34 +97,113 @@ def principal_axes(df: DataFrame, columns: list[str], keys: list[str]) -> DataFr
     return model.transform(df).select(*keys, *((pc[k] * signs[k]).alias(f"pc{k + 1}") for k in range(2)))
 
 
-def role_model(train: DataFrame, columns: list[str], label: str, c: float = 1.0) -> PipelineModel:
-    """Multinomial logistic regression with the penalty 1 / (c n) on standardised columns."""
-    n = train.count()
-    fit = LogisticRegression(featuresCol="x", labelCol=label, family="multinomial", regParam=1.0 / (c * max(n, 1)), standardization=False, probabilityCol="p", rawPredictionCol="rawp", predictionCol="hit")
-    return Pipeline(stages=[*scaled(columns), fit]).fit(train)
+def axis_clusters(df: DataFrame, columns: list[str], keys: list[str], k: int = 3, seeds: Iterable[int] = range(42, 92)) -> DataFrame:
+    """``principal_axes`` with cluster: k-means fitted anew on the two axes, for drawing boundaries."""
+    axes = principal_axes(df, columns, keys)
+    return assigned(*kmeans(axes, ["pc1", "pc2"], k, seeds, scale=False), axes)
+
+
+def role_model(train: DataFrame, columns: list[str], label: str, c: float = 1.0, scale: bool = True, n: int | None = None) -> PipelineModel:
+    """Multinomial logistic regression with the penalty 1 / (c n), on standardised columns or, without ``scale``, plain ones."""
+    n = train.count() if n is None else n
+    fit = LogisticRegression(featuresCol="x", labelCol=label, family="multinomial", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=100, probabilityCol="p", rawPredictionCol="rawp", predictionCol="hit")
+    return Pipeline(stages=[*(scaled(columns) if scale else plain(columns)), fit]).fit(train)
 
 
 def role_probabilities(model: PipelineModel, df: DataFrame, k: int = 3) -> DataFrame:
+    """``df`` with p_to0 and so on; roles that the training rows lack have 0."""
     p = vector_to_array("p")
-    return model.transform(df).withColumns({f"p_to{j}": p[j] for j in range(k)}).drop("raw", "x", "p", "rawp", "hit")
+    return model.transform(df).withColumns({f"p_to{j}": F.coalesce(F.get(p, F.lit(j)), F.lit(0.0)) for j in range(k)}).drop("raw", "x", "p", "rawp", "hit")
 
 
-def expanding_probabilities(df: DataFrame, columns: list[str], label: str, seasons: list[int]) -> DataFrame:
-    """Each season's probabilities from the model of all seasons before it."""
-    parts = [role_probabilities(role_model(df.where(F.col("season") < s), columns, label), df.where(F.col("season") == s)) for s in seasons]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: The least rows to train on and to test on, by position.
+GATES = {"F": (200, 50), "D": (80, 30)}
+
 
+def expanding_probabilities(
+    df: DataFrame, columns: list[str], label: str, seasons: list[int] | None = None, scale: bool = True, gates: dict[str, tuple[int, int]] | None = None, group: str | None = None
+) -> DataFrame | None:
+    """Each season's probabilities, and ``majority``, by the models of all seasons before it; one model a ``group`` if given.
 
-def class_metrics(df: DataFrame, label: str, k: int = 3) -> DataFrame:
-    """(n, accuracy, baseline, log_loss) of p_to columns: the baseline always says the most frequent label."""
+    All seasons of the data with earlier ones are taken if none are named.
+    Splits below the group's gates, or empty, are left out; None if all are.
+    Only the counts by group, season and label come to the driver; the models go
+    back as a table of one row each, so that the rows are scored in one pass.
+    """
+    own = F.col(group) if group else F.lit("")
+    counts = [tuple(r) for r in df.groupBy(own.alias("g"), "season", F.col(label).alias("y")).count().orderBy("g", "season", "y").collect()]
+    splits = []
+    for g in dict.fromkeys(c[0] for c in counts):
+        least = (gates or {}).get(g, (1, 1))
+        for s in seasons or dict.fromkeys(c[1] for c in counts if c[0] == g):
+            train = [(y, n) for h, season, y, n in counts if h == g and season < s]
+            size = sum(n for _, n in train), sum(n for h, season, _, n in counts if h == g and season == s)
+            if size[0] >= least[0] and size[1] >= least[1]:
+                by_label = {}
+                for y, n in train:
+                    by_label[y] = by_label.get(y, 0) + n
+                splits.append((g, s, size[0], max(by_label, key=by_label.get), len(by_label)))
+
+    def fitted(split: tuple) -> tuple:
+        g, s, n, majority, labels = split
+        if labels < 2:  # nothing to learn: the only label is certain
+            return g, s, float(majority), [[0.0] * len(columns)] * 3, [0.0 if j == majority else -math.inf for j in range(3)]
+        stages = role_model(df.where(own.eqNullSafe(F.lit(g)) & (F.col("season") < s)), columns, label, scale=scale, n=n).stages
+        weights, bias = stages[-1].coefficientMatrix.toArray(), stages[-1].interceptVector.toArray()
+        if scale:  # back to plain units
+            spread, mean = stages[1].std.toArray(), stages[1].mean.toArray()
+            weights = weights / np.where(spread > 0, spread, np.inf)
+            bias = bias - weights @ mean
+        missing = 3 - len(bias)  # roles beyond the greatest label of the training rows
+        return g, s, float(majority), [*weights.tolist(), *[[0.0] * len(columns)] * missing], [*bias.tolist(), *[-math.inf] * missing]
+
+    if not splits:
+        return None
+    with cached(df) as df:
+        found = _each(fitted, splits)
+    kind = dict(df.dtypes)[group] if group else "string"
+    models = df.sparkSession.createDataFrame(found, f"__g {kind}, season {dict(df.dtypes)['season']}, majority double, __w array<array<double>>, __b array<double>")  # one row a split
+    rows = df.withColumn("__g", own.cast(kind)).dropna(subset=columns).join(models, ["__g", "season"])
+    raw = [sum((F.col("__w")[j][k] * F.col(c) for k, c in enumerate(columns)), F.col("__b")[j]) for j in range(3)]
+    rows = rows.withColumn("__z", F.array(*raw)).withColumn("__z", F.transform("__z", lambda z: F.exp(z - F.array_max("__z"))))
+    total = F.col("__z")[0] + F.col("__z")[1] + F.col("__z")[2]
+    return rows.withColumns({f"p_to{j}": F.col("__z")[j] / total for j in range(3)}).drop("__g", "__w", "__b", "__z")
+
+
+def _predicted(k: int) -> Column:
     p = F.array(*(F.col(f"p_to{j}") for j in range(k)))
-    hit = F.array_position(p, F.array_max(p)) - 1
-    own = F.greatest(F.element_at(p, F.col(label).cast("int") + 1), F.lit(1e-15))
-    counts = [F.count_if(F.col(label) == j) for j in range(k)]
-    return df.agg(F.count("*").alias("n"), F.avg((hit == F.col(label)).cast("double")).alias("accuracy"), (F.greatest(*counts) / F.count("*")).alias("baseline"), F.avg(-F.log(own)).alias("log_loss"))
+    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+
+def class_metrics(df: DataFrame, label: str, k: int = 3, keys: list[str] | None = None) -> DataFrame:
+    """(keys, n, accuracy, baseline, log_loss) of p_to columns: the baseline says the training rows' most frequent label
+    (the column ``majority``), or without that column the most frequent one here."""
+    hit, y = _predicted(k), F.col(label)
+    own = F.greatest(F.element_at(F.array(*(F.col(f"p_to{j}") for j in range(k))), y.cast("int") + 1), F.lit(1e-15))
+    counts = [F.count_if(y == j) for j in range(k)]
+    baseline = F.avg((F.col("majority") == y).cast("double")) if "majority" in df.columns else F.greatest(*counts) / F.count("*")
+    found = {"n": F.count("*"), "accuracy": F.avg((hit == y).cast("double")), "baseline": baseline, "log_loss": F.avg(-F.log(own))}
+    return df.groupBy(*(keys or [])).agg(*(c.alias(n) for n, c in found.items()))
+
+
+def confusion(df: DataFrame, label: str, predicted: str, k: int = 3) -> DataFrame:
+    """(label, to0, to1, ...): how often each label was predicted as each; a row for every label."""
+    every = df.sparkSession.range(k).select(F.col("id").cast("int").alias("label"))
+    counts = df.groupBy(F.col(label).cast("int").alias("label")).agg(*(F.count_if(F.col(predicted).cast("int") == j).alias(f"to{j}") for j in range(k)))
+    return every.join(counts, "label", "left").na.fill(0)
+
+
+def class_report(df: DataFrame, label: str, predicted: str, k: int = 3) -> DataFrame:
+    """(label, precision, recall, f1, support); what has no rows to divide by is 0."""
+    table = confusion(df, label, predicted, k)
+    row = sum((F.col(f"to{j}") for j in range(1, k)), F.col("to0"))
+    said = table.agg(*(F.sum(f"to{j}").alias(f"said{j}") for j in range(k)))
+    both = table.join(F.broadcast(said))  # one row
+    pick = lambda name: F.element_at(F.array(*(F.col(f"{name}{j}") for j in range(k))), F.col("label") + 1)
+    over = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    measured = both.select("label", over(pick("to"), pick("said")).alias("precision"), over(pick("to"), row).alias("recall"), row.alias("support"))
+    p, r = F.col("precision"), F.col("recall")
+    return measured.select("label", "precision", "recall", over(2 * p * r, p + r).alias("f1"), "support")
 
 
 def binary_metrics(df: DataFrame, prob: str, label: str, keys: list[str] | None = None) -> DataFrame:
@@ -104,10 +211,7 @@ def binary_metrics(df: DataFrame, prob: str, label: str, keys: list[str] | None
     keys = keys or []
     p, y = F.col(prob), F.col(label).cast("double")
     by_value = df.groupBy(*keys, p.alias("__p")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    from pyspark.sql import Window
-
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = by_value.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = sums_before(by_value, "__p", ["neg"], keys).withColumn("won", F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     area = won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
     held = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
     rest = df.groupBy(*keys).agg(F.avg((p - y) ** 2).alias("brier"), F.avg(-(y * F.log(held) + (1 - y) * F.log(1 - held))).alias("log_loss"), F.avg(((p >= 0.5) == (y > 0.5)).cast("double")).alias("accuracy"))
@@ -119,49 +223,89 @@ def group_folds(group: Column, folds: int = 5) -> Column:
     return F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
 
 
-def cross_validated(df: DataFrame, columns: list[str], label: str, group: str, make: Callable, folds: int = 5) -> DataFrame:
-    """``df`` with prob, each row scored by a model that has not seen its group."""
-    rows = df.withColumn("__fold", group_folds(F.col(group), folds))
-    parts = []
-    for k in range(folds):
-        model = Pipeline(stages=[*scaled(columns), make(label)]).fit(rows.where(F.col("__fold") != k))
-        parts.append(model.transform(rows.where(F.col("__fold") == k)).withColumn("prob", vector_to_array("p")[1]).drop("raw", "x", "p", "rawp", "hit"))
-    out = parts[0]
+Make = Callable[[str, int], Estimator]  # from the label's column and the number of rows to train on
+
+
+def cross_validated(df: DataFrame, columns: list[str], label: str, group: str, make: Make, folds: int = 5, scale: bool = True, out: str = "prob") -> DataFrame:
+    """``df`` with fold and ``out``, each row scored by a model that has not seen its group.
+
+    ``out`` is the probability of label 1, or for a regressor its value.
+    """
+    rows = df.withColumn("fold", group_folds(F.col(group), folds))
+    sizes = dict(rows.groupBy("fold").count().collect())
+
+    def scored(k: int) -> DataFrame:
+        n = sum(sizes.values()) - sizes.get(k, 0)
+        model = Pipeline(stages=[*(scaled(columns) if scale else plain(columns)), make(label, n)]).fit(rows.where(F.col("fold") != k))
+        found = model.transform(rows.where(F.col("fold") == k))
+        return found.withColumn(out, vector_to_array("p")[1] if "p" in found.columns else F.col("guess")).select(*rows.columns, out)
+
+    parts = _each(scored, sorted(sizes))
+    result = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("__fold", "fold")
+        result = result.unionByName(p)
+    return result
 
 
 _OUT = {"featuresCol": "x", "probabilityCol": "p", "rawPredictionCol": "rawp", "predictionCol": "hit"}
+DEEPEST = 30  # the deepest trees Spark grows: where a grid sets no depth
+
+
+def logistic(c: float = 0.1) -> Make:
+    return lambda label, n: LogisticRegression(labelCol=label, regParam=1.0 / (c * max(n, 1)), standardization=False, **_OUT)
+
+
+def forest(trees: int = 300, depth: int | None = 6, leaf: int = 1) -> Make:
+    return lambda label, n: RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth or DEEPEST, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=42, **_OUT)
+
+
+def boosted(rounds: int = 200, depth: int | None = 3, rate: float = 0.05) -> Make:
+    def make(label: str, n: int) -> GBTClassifier:
+        fit = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth or DEEPEST, stepSize=rate, seed=42, featuresCol="x", predictionCol="hit")
+        return fit.setProbabilityCol("p").setRawPredictionCol("rawp")
+
+    return make
 
 
-def logistic(label: str, c: float = 0.1, n: int = 1000):
-    return LogisticRegression(labelCol=label, regParam=1.0 / (c * n), standardization=False, **_OUT)
+def grid(trees: tuple[int, ...] = (300, 600), rounds: tuple[int, ...] = (200, 400), depths: dict[str, tuple[int | None, ...]] | None = None) -> dict[str, tuple[Make, bool]]:
+    """All points of the search by name: penalties, forests and boosted trees, and whether columns are standardised first."""
+    own = {"forest": (6, 10, None), "boosted": (3, 5, None)} | (depths or {})
+    points = {f"logistic C={c}": (logistic(c), True) for c in (0.01, 0.1, 1.0, 10.0)}
+    points |= {f"forest trees={t} depth={d} leaf={m}": (forest(t, d, m), False) for t in trees for d in own["forest"] for m in (1, 5)}
+    return points | {f"boosted rate={r} depth={d} rounds={k}": (boosted(k, d, r), False) for r in (0.03, 0.05, 0.1) for d in own["boosted"] for k in rounds}
 
 
-def forest(label: str, trees: int = 50, depth: int = 6):
-    return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=42, **_OUT)
+def fold_scores(scored: DataFrame, label: str, measures: tuple[str, ...] = ("auc", "brier", "log_loss")) -> DataFrame:
+    """One row: mean and sample deviation of the folds' measures."""
+    by_fold = binary_metrics(scored, "prob", label, ["fold"])
+    return by_fold.agg(*(f(c).alias(f"{c}_{n}") for c in measures for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 
-def boosted(label: str, rounds: int = 20, depth: int = 3, rate: float = 0.05):
-    fit = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42, featuresCol="x", predictionCol="hit")
-    return fit.setProbabilityCol("p").setRawPredictionCol("rawp")
+def grid_search(df: DataFrame, columns: list[str], label: str, group: str, points: dict[str, tuple[Make, bool]], folds: int = 5) -> DataFrame:
+    """(model, auc_mean, auc_std, ...) of every point by the same folds, a row each."""
+    out = []
+    with cached(df) as df:
+        for name, (make, scale) in points.items():
+            found = fold_scores(cross_validated(df, columns, label, group, make, folds, scale), label)
+            out.append((name, *found.first()))
+    names = [f"{c}_{n}" for c in ("auc", "brier", "log_loss") for n in ("mean", "std")]
+    return df.sparkSession.createDataFrame(out, "model string, " + ", ".join(f"{n} double" for n in names))
 
 
-def regressors(label: str, n: int, alpha: float = 1.0) -> dict:
-    """Ridge, forest and boosted regressors for a numeric label."""
-    own = {"featuresCol": "x", "labelCol": label, "predictionCol": "guess"}
+def regressors(trees: int = 600, rounds: int = 200, alpha: float = 1.0) -> dict[str, tuple[Make, bool]]:
+    """Ridge, forest and boosted regressors for a numeric label, and whether columns are standardised first."""
+    own = {"featuresCol": "x", "predictionCol": "guess"}
     return {
-        "ridge": LinearRegression(elasticNetParam=0.0, regParam=alpha / max(n, 1), standardization=False, **own),
-        "forest": RandomForestRegressor(numTrees=50, maxDepth=6, seed=42, **own),
-        "boosted": GBTRegressor(maxIter=20, maxDepth=3, seed=42, **own),
+        "ridge": (lambda label, n: LinearRegression(labelCol=label, elasticNetParam=0.0, regParam=alpha / max(n, 1), standardization=False, **own), True),
+        "forest": (lambda label, n: RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=6, minInstancesPerNode=5, seed=42, **own), False),
+        "boosted": (lambda label, n: GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.03, seed=42, **own), False),
     }
 
 
-def regression_metrics(df: DataFrame, label: str, guess: str = "guess") -> DataFrame:
-    """(rmse, mae, r2)."""
+def regression_metrics(df: DataFrame, label: str, guess: str = "guess", keys: list[str] | None = None) -> DataFrame:
+    """(keys, rmse, mae, r2)."""
     y, e = F.col(label).cast("double"), F.col(label) - F.col(guess)
-    return df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"))
+    return df.groupBy(*(keys or [])).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"))
 
 
 def top_coefficients(spark, model: PipelineModel, columns: list[str], k: int = 15) -> DataFrame:

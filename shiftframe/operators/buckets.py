@@ -7,11 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def quantile_edges(df: DataFrame, value: str, parts: int, keys: list[str] | None = None, distinct: bool = False) -> DataFrame:
-    """(keys, edges): the exact quantiles 0, 1/parts, ... 1, interpolated; equal edges once if ``distinct``."""
-    edges = F.percentile(value, F.array(*(F.lit(k / parts) for k in range(parts + 1))))
-    return df.groupBy(*(keys or [])).agg((F.array_distinct(edges) if distinct else edges).alias("edges"))
+from .ordering import quantile_edges
 
 
 def bucket_of(value: Column, edges: Column) -> Column:
@@ -22,8 +18,8 @@ def bucket_of(value: Column, edges: Column) -> Column:
 
 def qcut(df: DataFrame, value: str, parts: int, name: str, keys: list[str] | None = None, distinct: bool = False) -> DataFrame:
     """``name``: equal-frequency bucket; ties at an edge share a bucket."""
-    edges = quantile_edges(df, value, parts, keys, distinct)
-    both = df.join(edges, keys) if keys else df.join(F.broadcast(edges))
+    edges = quantile_edges(df, value, [k / parts for k in range(parts + 1)], keys, distinct)
+    both = df.join(edges, keys, "left") if keys else df.join(F.broadcast(edges), how="left")
     return both.withColumn(name, bucket_of(F.col(value), F.col("edges"))).drop("edges")
 
 

@@ -53,3 +53,17 @@ def require(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFram
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the nulls of each column."""
     return df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
+
+
+def match_rate(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: the rows of both sides, and those of their join on the keys.
+
+    A key's rows of either side are counted in one grouping; its joined rows are the product. Null keys match nothing.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    sides = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    counts = sides.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counts.agg(n("l").alias("n_left"), n("r").alias("n_right"), n(F.when(whole, F.col("l") * F.col("r"))).alias("n_matched"))

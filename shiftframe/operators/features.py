@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shiftframe.functions.rates import divide, per60
 
+from .ordering import quantile_edges
+
 SEASON_GAME = ["season", "game_id"]
 
 
@@ -69,6 +71,7 @@ def season_features(games: DataFrame, least_minutes: float = 0.0) -> DataFrame:
 
 def winsorised(df: DataFrame, columns: list[str], keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Columns held within their group's quantiles."""
-    edges = df.groupBy(*keys).agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns))
-    held = df.join(edges, keys)
+    held = df
+    for c in columns:
+        held = held.join(quantile_edges(df, c, [low, high], keys).withColumnRenamed("edges", f"__{c}"), keys, "left")
     return held.withColumns({c: F.greatest(F.col(f"__{c}")[0], F.least(F.col(f"__{c}")[1], F.col(c))) for c in columns}).drop(*(f"__{c}" for c in columns))

@@ -46,3 +46,10 @@ def weighted_mean(value: Column, weight: Column, empty: float | None = 0.0) -> C
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the last in the given order."""
     return primary_row(df, keys, order)
+
+
+def duplicate_suffix(place: Column) -> Column:
+    """The letters after the id of its ``place``-th row: none for the first, "b" for the second, "aa" after "z"."""
+    letter = lambda k: F.chr(k.cast("long"))
+    two = F.concat(letter(96 + F.floor((place - 1) / 26)), letter(97 + (place - 1) % 26))
+    return F.when(place == 1, "").when(place <= 26, letter(96 + place)).otherwise(two)

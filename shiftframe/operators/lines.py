@@ -22,8 +22,13 @@ def line_totals(players: DataFrame, size: int = 3) -> DataFrame:
     return rows.where(F.col("n") == size).drop("n")
 
 
-def line_matchup(lines: DataFrame, opponents: DataFrame) -> DataFrame:
-    """Each line beside the opponents' line of the same number; ``opponents`` has (season, team_id, opp_team_id)."""
-    other = lines.select("season", F.col("team_id").alias("opp_team_id"), "line", F.col("cf").alias("opp_cf"), F.col("ca").alias("opp_ca"))
-    both = lines.join(opponents, GROUP).join(other, ["season", "opp_team_id", "line"])
-    return both.withColumn("diff_cf", F.col("cf") - F.col("opp_cf"))
+def line_matchup(lines: DataFrame) -> DataFrame:
+    """(season, game_id, team_id): a team's lines' attempts and time in a game, beside those of all other teams of the game.
+
+    ``lines`` has a row for each line of a game, with cf, ca and toi; teams alone in their game have no row.
+    """
+    sums = lines.groupBy("season", "game_id", "team_id").agg(*(F.sum(c).alias(f"team_{c}") for c in ("cf", "ca", "toi")))
+    game = Window.partitionBy("season", "game_id")
+    both = sums.withColumns({f"opp_{c}": F.sum(f"team_{c}").over(game) - F.col(f"team_{c}") for c in ("cf", "ca", "toi")} | {"__teams": F.count("*").over(game)})
+    share = lambda side: F.try_divide(F.col(f"{side}_cf"), F.col(f"{side}_cf") + F.col(f"{side}_ca"))
+    return both.where("__teams > 1").drop("__teams").withColumns({"team_cf_share": share("team"), "opp_cf_share": share("opp")})

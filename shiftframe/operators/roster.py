@@ -13,7 +13,7 @@ UNIFORM = 1.0 / 3
 
 def weighted(roster: DataFrame, weighting: str = "toi") -> DataFrame:
     """``roster`` with weight: equal-strength seconds, or 1 for each player."""
-    return roster.withColumn("weight", F.col("toi_es_sec").cast("double") if weighting == "toi" else F.lit(1.0))
+    return roster.withColumn("weight", F.coalesce(F.col("toi_es_sec").cast("double"), F.lit(0.0)) if weighting == "toi" else F.lit(1.0))
 
 
 def composition(roster: DataFrame, weighting: str = "toi", keys: list[str] | None = None) -> DataFrame:
@@ -33,15 +33,19 @@ def expected_composition(roster: DataFrame, matrix: DataFrame, weighting: str =
 
 
 def next_role_probs(roster: DataFrame, model: DataFrame, matrix: DataFrame) -> DataFrame:
-    """``roster`` with p0, p1, p2: the model's by player, else the matrix row's, else uniform, scaled to a sum of 1.
+    """``roster`` with p0, p1, p2: the model's by player, scaled to a sum of 1, else the matrix row as it is, else uniform.
 
-    ``model`` has (player_id, m0, m1, m2).
+    ``model`` has (player_id, m0, m1, m2). Its row counts as a whole: where a
+    value is missing or not finite, or the sum is not positive, the matrix row stands in.
     """
     rows = matrix.groupBy("pos_group", F.col("from_cluster").alias("cluster")).agg(*(F.max(F.when(F.col("to_cluster") == k, F.col("prob_mean"))).alias(f"t{k}") for k in ROLES))
+    own = [F.col(f"m{k}").cast("double") for k in ROLES]
+    total = own[0] + own[1] + own[2]
+    usable = F.coalesce((total > 0) & (F.abs(total) < float("inf")) & ~F.isnan(total), F.lit(False))  # null if any is
+    known = F.coalesce(*(F.col(f"t{k}") for k in ROLES)).isNotNull()
+    backoff = [F.when(known, F.coalesce(f"t{k}", F.lit(0.0))).otherwise(UNIFORM) for k in ROLES]
     both = roster.join(model.select("player_id", *(f"m{k}" for k in ROLES)), "player_id", "left").join(rows, ["pos_group", "cluster"], "left")
-    raw = [F.coalesce(f"m{k}", f"t{k}", F.lit(UNIFORM)) for k in ROLES]
-    total = raw[0] + raw[1] + raw[2]
-    return both.withColumns({f"p{k}": F.when(total > 0, raw[k] / total).otherwise(UNIFORM) for k in ROLES}).drop(*(f"m{k}" for k in ROLES), *(f"t{k}" for k in ROLES))
+    return both.withColumns({f"p{k}": F.when(usable, own[k] / total).otherwise(backoff[k]) for k in ROLES}).drop(*(f"m{k}" for k in ROLES), *(f"t{k}" for k in ROLES))
 
 
 def expected_composition_model(roster: DataFrame, model: DataFrame, matrix: DataFrame, weighting: str = "toi", keys: list[str] | None = None) -> DataFrame:
@@ -60,10 +64,14 @@ def center_net60(player_seasons: DataFrame) -> DataFrame:
 
 
 def expected_net60(roster: DataFrame, model: DataFrame, matrix: DataFrame, centers: DataFrame, weighting: str = "toi", keys: list[str] | None = None) -> DataFrame:
-    """(keys, pos_group, net60): roles' net rates by next-role probabilities, weighted over players."""
+    """(keys, pos_group, net60): roles' net rates by next-role probabilities, weighted over players.
+
+    Players without a position or a role are left out; without any weight the players' plain mean counts.
+    """
     keys = keys or []
+    known = roster.where(F.col("pos_group").isin("F", "D") & F.col("cluster").isNotNull())
     wide = centers.groupBy("pos_group").agg(*(F.coalesce(F.max(F.when(F.col("cluster") == k, F.col("net60"))), F.lit(0.0)).alias(f"c{k}") for k in ROLES))
-    rows = next_role_probs(weighted(roster, weighting), model, matrix).join(wide, "pos_group", "left")
+    rows = next_role_probs(weighted(known, weighting), model, matrix).join(wide, "pos_group", "left")
     expected = sum((F.col(f"p{k}") * F.coalesce(f"c{k}", F.lit(0.0)) for k in ROLES[1:]), F.col("p0") * F.coalesce("c0", F.lit(0.0)))
     mean = F.coalesce(weighted_mean(expected, F.col("weight"), None), F.avg(expected), F.lit(0.0))
     return rows.groupBy(*keys, "pos_group").agg(mean.alias("net60"))
@@ -86,22 +94,31 @@ def mix_delta(before: DataFrame, after: DataFrame, keys: list[str] | None = None
     return both.withColumn("delta", F.round(F.col("after") - F.col("before"), 2))
 
 
-def shift_share(v: list[Column], total: Column, target: int, delta: Column, donor: int | None = None) -> list[Column]:
-    """Three shares after ``delta`` of ``total`` moves to ``target``, their sum kept.
+def shift_share(v: list[Column], total: Column, target: int, delta: Column, donor: int = 2, eps: float = 1e-12) -> list[Column]:
+    """Three shares, held to 0..1 and scaled to ``total``, after ``delta`` moves to ``target``.
 
-    The change comes from (or goes to) the donor, or the other two by their
-    size; it is capped by what the donors have and by what the target has.
+    ``delta`` is absolute and capped by what the target has and what the others
+    have. A gain comes from the donor first and then from the third role; a loss
+    goes wholly to the donor (if that is the target, to the first other one).
     """
-    zero = F.lit(0.0)
-    others = [donor] if donor is not None else [k for k in range(3) if k != target]
-    have = sum((v[k] for k in others[1:]), v[others[0]])
-    moved = F.greatest(-v[target], F.least(delta * total, have))
-    out = list(v)
-    out[target] = v[target] + moved
-    for k in others:
-        part = F.when(have > 0, v[k] / have).otherwise(F.lit(1.0 / len(others)))
-        out[k] = F.greatest(zero, v[k] - moved * part)
-    return out
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rest = [k for k in range(3) if k not in (target, donor)]
+    held = [F.greatest(zero, F.least(one, x)) for x in v]
+    whole = held[0] + held[1] + held[2]
+    held = [F.when(whole > eps, x * (total / whole)).otherwise(total / 3.0) for x in held]
+    moved = F.greatest(-held[target], F.least(delta, total - held[target]))
+    out, gain = list(held), F.greatest(zero, moved)
+    first = zero
+    if donor != target:
+        first = F.least(held[donor], gain)
+        out[donor] = held[donor] - first + F.greatest(zero, -moved)
+    second = F.when(gain - first > eps, F.least(held[rest[0]], gain - first)).otherwise(zero)
+    out[rest[0]] = held[rest[0]] - second + (F.greatest(zero, -moved) if donor == target else zero)
+    out[target] = held[target] + F.when(moved > 0, first + second).otherwise(moved)
+    out = [F.greatest(zero, F.least(one, x)) for x in out]
+    after = out[0] + out[1] + out[2]
+    out = [F.when(after > eps, x * (total / after)).otherwise(x) for x in out]
+    return [F.when(total < eps, zero).when(F.abs(moved) < eps, h).otherwise(x) for h, x in zip(held, out, strict=True)]
 
 
 def win_probability(features: list[Column], weights: list[float], bias: float) -> Column:
@@ -110,17 +127,38 @@ def win_probability(features: list[Column], weights: list[float], bias: float) -
     return 1 / (1 + F.exp(-score))
 
 
-def sensitivity_grid(rows: DataFrame, columns: list[str], deltas: tuple[float, ...], target: int, weights: list[float], bias: float, games: int = 82) -> DataFrame:
-    """(delta_share, mean_change, wins): the mean change of the win probability as a share moves to one role."""
+def simulated(rows: DataFrame, columns: list[str], weights: dict[str, float], bias: float, delta: Column, target: int = 0, donor: int = 2) -> DataFrame:
+    """``rows`` with p_base, p_new and delta_p: the win probability before and after ``delta`` of the three share columns moves to ``target``.
+
+    ``weights`` are a logistic model's, by feature; the shares keep their sum.
+    """
     v = [F.col(c) for c in columns]
-    total = v[0] + v[1] + v[2]
-    grid = rows.withColumn("delta_share", F.explode(F.array(*map(F.lit, deltas))))
-    moved = shift_share(v, total, target, F.col("delta_share"))
-    change = win_probability(moved, weights, bias) - win_probability(v, weights, bias)
-    return grid.groupBy("delta_share").agg(F.avg(change).alias("mean_change")).withColumn("wins", F.col("mean_change") * games)
+    moved = dict(zip(columns, shift_share(v, v[0] + v[1] + v[2], target, delta, donor), strict=True))
+    base = win_probability([F.col(c) for c in weights], list(weights.values()), bias)
+    new = win_probability([moved.get(c, F.col(c)) for c in weights], list(weights.values()), bias)
+    return rows.withColumns({"p_base": base, "p_new": new}).withColumn("delta_p", F.col("p_new") - F.col("p_base"))
 
 
-def failure_category(prob: Column, hit: Column, share: Column) -> Column:
-    """Why a prediction failed: sure and wrong, near even, or a dominant side that lost; null if it did not."""
-    wrong = (prob >= 0.5) != hit
-    return F.when(wrong & (F.abs(prob - 0.5) >= 0.2), "confident").when(wrong & (share >= 0.55) & ~hit, "dominant_loss").when(wrong & (F.abs(prob - 0.5) <= 0.05), "near_even")
+def sensitivity_grid(rows: DataFrame, columns: list[str], deltas: tuple[float, ...], weights: dict[str, float], bias: float, target: int = 0, donor: int = 2, games: int = 82) -> DataFrame:
+    """(delta_share, mean_change, wins): the mean change of the win probability as a share moves to one role."""
+    grid = rows.withColumn("delta_share", F.explode(F.array(*map(F.lit, deltas))))
+    found = simulated(grid, columns, weights, bias, F.col("delta_share"), target, donor)
+    return found.groupBy("delta_share").agg(F.avg("delta_p").alias("mean_change")).withColumn("wins", F.col("mean_change") * games)
+
+
+def failures(rows: DataFrame, prob: str, label: str, share: str) -> DataFrame:
+    """The wrongly predicted rows with why, one flag a reason: sure of it, near even, or a side that dominated and lost."""
+    p, y = F.col(prob), F.col(label)
+    wrong = rows.where((p >= 0.5).cast("int") != y)
+    return wrong.withColumns({"confident": (p < 0.3) | (p > 0.7), "near_even": (p > 0.48) & (p < 0.52), "dominant_loss": (F.col(share) > 0.55) & (y == 0)})
+
+
+def failure_examples(found: DataFrame, prob: str, game: str, order: list[str]) -> DataFrame:
+    """One row for each reason that has one, with its category, each of another game: of the sure ones that of the least
+    probability, of the others the first by ``order``."""
+    pick = lambda rows, *by: rows.orderBy(*by).limit(1)
+    high = pick(found.where("confident"), prob, *order).withColumn("category", F.lit("High-Confidence Miss"))
+    close = pick(found.where("near_even").join(high.select(game), game, "left_anti"), *order).withColumn("category", F.lit("Close-Call Miss"))
+    seen = high.select(game).unionByName(close.select(game))
+    lost = pick(found.where("dominant_loss").join(seen, game, "left_anti"), *order).withColumn("category", F.lit("Possession-Dominant Loss"))
+    return high.unionByName(close).unionByName(lost)

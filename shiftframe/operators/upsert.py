@@ -48,3 +48,29 @@ def replace_table(df: DataFrame, path: str) -> None:
 def overwrite_seasons(df: DataFrame, path: str) -> None:
     """Replaces the seasons that ``df`` has, one partition each, and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
+
+
+def create_as(df: DataFrame, table: str, drop: bool = False, partition_by: list[str] | None = None, sort_by: list[str] | None = None) -> None:
+    """A new table of the rows of ``df``; an old one is dropped first or is an error.
+
+    Partitions and the order within files stand in for indexes.
+    """
+    if drop:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    rows = df.sortWithinPartitions(*(partition_by or []), *sort_by) if sort_by else df
+    writer = rows.write.mode("errorifexists").format("parquet")
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+
+
+def truncate_append(df: DataFrame, table: str) -> None:
+    """Replaces all rows of a table and keeps its columns and their types; without the table it is created.
+
+    Columns are matched by name; those that ``df`` lacks are null.
+    """
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        create_as(df, table)
+        return
+    schema = spark.table(table).schema
+    rows = df.select(*(F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").insertInto(table, overwrite=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftframe.operators import buckets, grouping, totals
+from shiftframe.operators import buckets, grouping, ordering, totals
 from shiftframe.sources.tables import table
 
 from . import views
@@ -99,8 +99,9 @@ def corr_matrix(spark, sf_dir):
 
 @query(with_views("SELECT pos_group, " + ", ".join(f"round(quantile_cont(cf60, {q}), 6) AS q{int(q * 100)}" for q in (0.5, 0.7, 0.8, 0.9, 0.95)) + " FROM v_ps GROUP BY pos_group", "v_ps"))
 def quantiles(spark, sf_dir):
-    picks = [F.round(F.percentile("cf60", q), 6).alias(f"q{int(q * 100)}") for q in (0.5, 0.7, 0.8, 0.9, 0.95)]
-    return views.player_seasons(spark, sf_dir).groupBy("pos_group").agg(*picks)
+    points = (0.5, 0.7, 0.8, 0.9, 0.95)
+    edges = ordering.quantile_edges(views.player_seasons(spark, sf_dir), "cf60", list(points), ["pos_group"])
+    return edges.select("pos_group", *(F.round(F.col("edges")[k], 6).alias(f"q{int(q * 100)}") for k, q in enumerate(points)))
 
 
 @query(with_views("SELECT cluster, round(avg(CAST(cf > ca AS INT)), 6) AS ahead, round(avg(CAST(goals > 100 AS INT)), 6) AS scoring FROM v_ps GROUP BY cluster", "v_ps"))
@@ -172,3 +173,11 @@ def sample_rows(spark, sf_dir):
     """A fixed sample: the first rows by a hash of the key (here one that SQL shares)."""
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return people.orderBy((F.col("c_custkey") * 7919) % 104729, "c_custkey").limit(50)
+
+
+@query()
+def random_sample(spark, sf_dir):
+    """Fifty rows by a seeded hash of the key: SQL has no such hash."""
+    from shiftframe.operators.archetypes import sampled
+
+    return sampled(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 50, ["c_custkey"], seed=42)

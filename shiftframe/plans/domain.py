@@ -117,8 +117,14 @@ def line_totals(spark, sf_dir):
     return _lines(spark, sf_dir)
 
 
-@query(with_views(LINES + " SELECT a.season, a.team_id, b.team_id AS opp_team_id, a.line, a.cf, b.cf AS opp_cf, a.cf - b.cf AS diff_cf FROM ln a JOIN ln b ON a.season = b.season AND a.line = b.line AND b.team_id = (a.team_id + 1) % 25", "v_ps"))
+MATCHUP = """, t AS (SELECT season, game_id, team_id, sum(cf) AS cf, sum(ca) AS ca, sum(toi_es_sec) AS toi FROM v_pg GROUP BY ALL),
+o AS (SELECT a.season, a.game_id, a.team_id, sum(b.cf) AS cf, sum(b.ca) AS ca, sum(b.toi) AS toi FROM t a JOIN t b ON a.season = b.season AND a.game_id = b.game_id AND a.team_id <> b.team_id GROUP BY ALL)
+SELECT season, game_id, team_id, CAST(t.cf AS BIGINT) AS team_cf, CAST(o.cf AS BIGINT) AS opp_cf, CAST(t.toi AS BIGINT) AS team_toi, CAST(o.toi AS BIGINT) AS opp_toi,
+round(t.cf / (t.cf + t.ca), 6) AS team_cf_share, round(o.cf / (o.cf + o.ca), 6) AS opp_cf_share FROM t JOIN o USING (season, game_id, team_id)"""
+
+
+@query(with_views(MATCHUP, "v_pg"))
 def line_matchup(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    opponents = rows.select("season", "team_id").distinct().withColumn("opp_team_id", (F.col("team_id") + 1) % 25)
-    return lines.line_matchup(rows, opponents).select("season", "team_id", "opp_team_id", "line", "cf", "opp_cf", "diff_cf")
+    rows = views.player_games(spark, sf_dir).select("season", "game_id", "team_id", "cf", "ca", F.col("toi_es_sec").alias("toi"))
+    found = lines.line_matchup(rows)
+    return found.select("season", "game_id", "team_id", "team_cf", "opp_cf", "team_toi", "opp_toi", *(F.round(c, 6).alias(c) for c in ("team_cf_share", "opp_cf_share")))

@@ -11,20 +11,20 @@ from .catalog import query
 from .views import with_views
 
 
-@query(with_views("SELECT * FROM v_shifts WHERE shift_end > shift_start AND game_id BETWEEN 10 AND 60 AND team_id = 1", "v_shifts"))
+@query(with_views("SELECT * FROM v_shifts WHERE shift_end > shift_start AND shift_start BETWEEN 600 AND 3000 AND team_id = 1", "v_shifts"))
 def filter_range(spark, sf_dir):
-    return views.shifts(spark, sf_dir).where((F.col("shift_end") > F.col("shift_start")) & F.col("game_id").between(10, 60) & (F.col("team_id") == 1))
+    return views.shifts(spark, sf_dir).where((F.col("shift_end") > F.col("shift_start")) & F.col("shift_start").between(600, 3000) & (F.col("team_id") == 1))
 
 
-@query(with_views("SELECT * FROM v_plays WHERE event IN ('Goal', 'Shot') AND team_id_for NOT IN (0) AND list_contains([1, 3, 5, 7], event_id % 10)", "v_plays"))
+@query(with_views("SELECT * FROM v_plays WHERE event IN ('Goal', 'Shot') AND team_id_for NOT IN (0) AND list_contains([0, 2], time // 1200)", "v_plays"))
 def in_list(spark, sf_dir):
-    odd = F.array_contains(F.array(*map(F.lit, (1, 3, 5, 7))), (F.col("event_id") % 10).cast("int"))
-    return views.plays(spark, sf_dir).where(F.col("event").isin("Goal", "Shot") & ~F.col("team_id_for").isin(0) & odd)
+    period = F.array_contains(F.array(*map(F.lit, (0, 2))), F.expr("int(time div 1200)"))
+    return views.plays(spark, sf_dir).where(F.col("event").isin("Goal", "Shot") & ~F.col("team_id_for").isin(0) & period)
 
 
 @query(with_views("SELECT player_id, CAST(count(*) AS BIGINT) AS games FROM v_pg WHERE season = 19971998 GROUP BY player_id HAVING count(*) >= 82 * 0.32", "v_pg"))
 def having_threshold(spark, sf_dir):
-    games = views.player_games(spark, sf_dir).where("season = 19971998")
+    games = views.player_games(spark, sf_dir, 19971998, 19971998)
     return games.groupBy("player_id").agg(F.count("*").alias("games")).where(F.expr("games >= 82 * 0.32"))
 
 

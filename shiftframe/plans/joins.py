@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shiftframe.functions.names import normalize_name
-from shiftframe.operators import identity, intervals, possession, transitions
+from shiftframe.operators import checks, identity, intervals, possession, transitions
 from shiftframe.sources.tables import table
 
 from . import views
@@ -88,24 +88,22 @@ def legacy_attach(spark, sf_dir):
     return shifts.select("game_id", "player_id", "shift_start").join(teams, ["game_id", "player_id"])
 
 
-@query(
-    with_views(
-        """, a AS (SELECT DISTINCT game_id, player_id, team_id FROM v_shifts), b AS (SELECT DISTINCT game_id, player_id, team_id FROM v_shifts WHERE position = 'F')
-    SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM a JOIN b USING (game_id, player_id, team_id)) AS n_matched""",
-        "v_shifts",
-    )
-)
+BOTH_SIDES = """, a AS (SELECT DISTINCT season, game_id, player_id, team_id FROM v_pg WHERE goals > 0), b AS (SELECT DISTINCT season, game_id, player_id, team_id FROM v_pg WHERE hits > 0)
+    SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM a JOIN b USING (season, game_id, player_id, team_id)) AS n_matched"""
+
+
+@query(with_views(BOTH_SIDES, "v_pg"))
 def match_rate(spark, sf_dir):
-    a = views.shifts(spark, sf_dir).select(*possession.KEYS, (F.col("position") == "F").alias("own")).groupBy(*possession.KEYS).agg(F.max("own").alias("own"))
-    return a.agg(F.count("*").alias("n_left"), F.count_if("own").alias("n_right"), F.count_if("own").alias("n_matched"))
+    games, keys = views.player_games(spark, sf_dir), ["season", "game_id", "player_id", "team_id"]
+    return checks.match_rate(games.where("goals > 0").select(*keys).distinct(), games.where("hits > 0").select(*keys).distinct(), keys)
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS code, 'left' AS side FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) UNION ALL SELECT DISTINCT CAST(s_nationkey AS BIGINT), 'right' FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 9)")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS code, 'left' AS side FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT DISTINCT CAST(s_nationkey AS BIGINT), 'right' FROM supplier WHERE s_acctbal < 0 AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 1)")
 def unmatched_codes(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("code"))
-    used = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").cast("long").alias("code")).distinct()
-    left = nations.join(used, "code", "left_anti").withColumn("side", F.lit("left"))
-    return left.unionByName(used.join(nations.where("code > 9"), "code", "left_anti").withColumn("side", F.lit("right")))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("code"), "n_regionkey")
+    used = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").cast("long").alias("code")).distinct()
+    left = nations.select("code").join(used, "code", "left_anti").withColumn("side", F.lit("left"))
+    return left.unionByName(used.join(nations.where("n_regionkey > 1"), "code", "left_anti").withColumn("side", F.lit("right")))
 
 
 @query("SELECT c_custkey, n_name FROM (SELECT *, ' nation_' || c_nationkey || '  ' AS raw FROM customer) JOIN nation ON upper(trim(raw)) = upper(trim(n_name))")
@@ -117,15 +115,15 @@ def norm_key_join(spark, sf_dir):
 
 
 NORM = (
-    "trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(name), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[.\\-]', ' ', 'g'), "
-    "'\\b([od])[''’]\\s*', '\\1', 'g'), '[^a-z\\s]', ' ', 'g'))"
+    "trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(strip_accents(lower(trim(name))), '.', ' '), '-', ' '), "
+    "'\\b([od])[''’]', '\\1', 'g'), '[^a-z ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 )
-NORMAL = f"regexp_replace(regexp_replace(regexp_replace({NORM}, '\\s+', ' ', 'g'), '\\b([a-z]) ([a-z])\\b', '\\1\\2', 'g'), '\\b([a-z]) ([a-z])\\b', '\\1\\2', 'g')"
+NORMAL = f"coalesce(regexp_replace(regexp_replace({NORM}, '\\b([a-z])\\s+([a-z])\\b', '\\1\\2', 'g'), '\\b([a-z])\\s+([a-z])\\b', '\\1\\2', 'g'), '')"
 
 
 @query(
     with_views(
-        f""", p AS (SELECT doc_id, {NORMAL} AS full_name FROM v_names), ext AS (SELECT doc_id AS ext_id, doc_id AS player_id FROM p WHERE doc_id % 5 = 0),
+        f""", p AS (SELECT doc_id, {NORMAL} AS full_name FROM v_names), ext AS (SELECT doc_id AS ext_id, doc_id AS player_id FROM documents WHERE lang = 'de'),
     uni AS (SELECT full_name, min(doc_id) AS player_id FROM p WHERE full_name <> '' GROUP BY full_name HAVING count(DISTINCT doc_id) = 1),
     last AS (SELECT full_name, max(doc_id) AS player_id FROM p WHERE full_name <> '' GROUP BY full_name)
     SELECT p.doc_id AS ext_id, p.full_name, coalesce(e.player_id, u.player_id, l.player_id) AS player_id, CAST(CASE WHEN e.player_id IS NOT NULL THEN 1 WHEN u.player_id IS NOT NULL THEN 2 WHEN l.player_id IS NOT NULL THEN 3 END AS INT) AS step
@@ -135,13 +133,13 @@ NORMAL = f"regexp_replace(regexp_replace(regexp_replace({NORM}, '\\s+', ' ', 'g'
 )
 def id_cascade(spark, sf_dir):
     people = views.names(spark, sf_dir).select(F.col("doc_id").alias("ext_id"), normalize_name(F.col("name")).alias("full_name")).withColumn("player_id", F.col("ext_id"))
-    known = people.where("ext_id % 5 = 0").select("ext_id", "player_id")
+    known = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("ext_id"), F.col("doc_id").alias("player_id"))
     latest = people.where("full_name <> ''").groupBy("full_name").agg(F.max("player_id").alias("player_id"))
     steps = [(known, "ext_id"), (identity.unique_names(people, "player_id", "full_name"), "full_name"), (latest, "full_name")]
     return identity.id_cascade(people.select("ext_id", "full_name"), steps, "player_id").select("ext_id", "full_name", "player_id", "step")
 
 
-@query(with_views("SELECT CAST(count(*) AS BIGINT) AS n_missing FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderkey % 10 > 0 WHERE o.o_orderkey IS NULL", "v_team_code"))
+@query(with_views("SELECT CAST(count(*) AS BIGINT) AS n_missing FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderstatus <> 'P' WHERE o.o_orderkey IS NULL", "v_team_code"))
 def ri_check(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 > 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey").join(orders, "l_orderkey", "left_anti").agg(F.count("*").alias("n_missing"))

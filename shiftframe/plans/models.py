@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from shiftframe.operators import archetypes as A
-from shiftframe.operators import buckets, features, transitions
+from shiftframe.operators import buckets, features, roster, transitions
 from shiftframe.sources.tables import table
 
 from . import views
 from .catalog import query
+from .views import with_views
+from .whatif import DELTAS
 
 FEATURES = ["ca60", "es_share", "toi_per_game", "goals"]
 
@@ -24,57 +27,116 @@ def kmeans_archetypes(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    return A.k_sweep(views.player_seasons(spark, sf_dir), FEATURES, range(2, 6))
+    return A.k_sweep(views.player_seasons(spark, sf_dir), FEATURES)
+
+
+@query()
+def pca_boundary(spark, sf_dir):
+    return A.axis_clusters(views.player_seasons(spark, sf_dir), FEATURES, ["season", "player_id"])
+
+
+def _pairs(spark, sf_dir):
+    pairs = transitions.transition_pairs(views.player_seasons(spark, sf_dir))
+    return pairs.withColumns({"label": F.col("cluster_t1").cast("double"), "role": F.col("cluster").cast("double")})
+
+
+PROBABILITIES = "season_t long, player_id long, pos_group string, cluster_t long, p_to0 double, p_to1 double, p_to2 double"
+
+
+def _probabilities(spark, found):
+    """The probabilities' columns; no row where every split was below its gate."""
+    if found is None:
+        return spark.createDataFrame([], PROBABILITIES)
+    return found.select(F.col("season").alias("season_t"), "player_id", "pos_group", F.col("cluster").alias("cluster_t"), *(f"p_to{k}" for k in range(3)))
 
 
 @query()
 def multinomial_probs(spark, sf_dir):
-    pairs = transitions.transition_pairs(views.player_seasons(spark, sf_dir)).withColumn("label", F.col("cluster_t1").cast("double")).withColumn("role", F.col("cluster").cast("double"))
-    found = A.expanding_probabilities(pairs, [*FEATURES, "role"], "label", [19981999, 19992000])
-    return found.select(F.col("season").alias("season_t"), "player_id", F.col("cluster").alias("cluster_t"), *(f"p_to{k}" for k in range(3)))
+    """Every season with enough rows before it, each position by its own models."""
+    pairs = _pairs(spark, sf_dir).dropna(subset=FEATURES)
+    return _probabilities(spark, A.expanding_probabilities(pairs, [*FEATURES, "role"], "label", gates=A.GATES, group="pos_group"))
 
 
-def _games(spark, sf_dir):
-    """Team-games with trailing means and whether the team had twice the attempts against it."""
-    games = features.team_games(views.player_games(spark, sf_dir))
-    for c in ("cf", "ca", "hits"):
-        games = features.rolling_mean(games, c, f"roll_{c}", [F.col("game_id")], ["season", "team_id"])
-    return games.dropna().withColumn("win", (F.col("cf") > F.col("ca") * 2).cast("double")).persist()  # each fit reads it again
+def _unscaled(spark, sf_dir):
+    return A.expanding_probabilities(_pairs(spark, sf_dir).na.fill(0.0, FEATURES), [*FEATURES, "role"], "label", scale=False, group="pos_group")
+
+
+@query()
+def multinomial_unscaled(spark, sf_dir):
+    """Plain features, missing ones as 0, every season that has one before it."""
+    return _probabilities(spark, _unscaled(spark, sf_dir))
+
+
+@query()
+def multinomial_summary(spark, sf_dir):
+    found = _unscaled(spark, sf_dir)
+    return A.class_metrics(found, "label", keys=["pos_group", "season"]).withColumnRenamed("season", "test_season")
+
+
+STAYED = "FROM (SELECT b.cluster AS y, a.cluster AS p FROM v_ps a JOIN v_ps b ON a.player_id = b.player_id AND b.season = a.season + 10001)"
+
+
+@query(with_views(f"SELECT CAST(k AS INT) AS label, count(y) FILTER (WHERE p = 0) AS to0, count(y) FILTER (WHERE p = 1) AS to1, count(y) FILTER (WHERE p = 2) AS to2 FROM (SELECT unnest([0, 1, 2]) AS k) LEFT JOIN (SELECT * {STAYED}) ON y = k GROUP BY k", "v_ps"))
+def confusion_matrix(spark, sf_dir):
+    """Of the guess that roles stay."""
+    return A.confusion(_pairs(spark, sf_dir), "cluster_t1", "cluster")
+
+
+@query(
+    with_views(
+        f""", g AS (SELECT y, p {STAYED}), m AS (SELECT k, (SELECT count(*) FROM g WHERE y = k AND p = k) AS hit, (SELECT count(*) FROM g WHERE p = k) AS said, (SELECT count(*) FROM g WHERE y = k) AS support FROM (SELECT unnest([0, 1, 2]) AS k)),
+    r AS (SELECT CAST(k AS INT) AS label, coalesce(hit / nullif(said, 0), 0) AS precision, coalesce(hit / nullif(support, 0), 0) AS recall, support FROM m)
+    SELECT label, round(precision, 8) AS precision, round(recall, 8) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 8) AS f1, support FROM r""",
+        "v_ps",
+    )
+)
+def class_report(spark, sf_dir):
+    report = A.class_report(_pairs(spark, sf_dir), "cluster_t1", "cluster")
+    return report.select("label", *(F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
 ROLL = ["roll_cf", "roll_ca", "roll_hits"]
+ROLES = [f"{p}_share_{k}" for p in "FD" for k in range(3)]
+TREES, ROUNDS = 10, 5  # of the registered queries; the operators' own defaults are 300 and more
+
+
+def _games(spark, sf_dir):
+    """Team-games with trailing means, the team's role shares of the season, and whether it had twice the attempts against it."""
+    games = features.with_opponent(features.team_games(views.player_games(spark, sf_dir)), ["goals"])
+    for c in ("cf", "ca", "hits"):
+        games = features.rolling_mean(games, c, f"roll_{c}", [F.col("game_id"), F.col("opp_team_id")], ["season", "team_id"])
+    cell = F.concat("pos_group", F.lit("_share_"), F.col("cluster").cast("string"))
+    players = views.player_seasons(spark, sf_dir).select("season", "team_id", cell.alias("cell"), buckets.share_over(F.col("toi_es_sec"), ["season", "team_id"]).alias("share"))
+    shares = players.groupBy("season", "team_id").pivot("cell", ROLES).agg(F.sum("share")).na.fill(0.0)
+    win, diff = (F.col("cf") > F.col("ca") * 2).cast("double"), (F.col("goals") - F.col("opp_goals")).cast("double")
+    return games.join(shares, ["season", "team_id"], "left").na.fill(0.0, ROLES).withColumns({"win": win, "goal_diff": diff}).dropna()
 
 
 @query()
 def cv_metrics(spark, sf_dir):
-    scored = A.cross_validated(_games(spark, sf_dir), ROLL, "win", "game_id", A.logistic)
-    by_fold = A.binary_metrics(scored, "prob", "win", ["fold"])
-    return by_fold.agg(*(f(c).alias(f"{c}_{n}") for c in ("auc", "brier", "log_loss") for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+    with A.cached(_games(spark, sf_dir)) as games:
+        found = A.fold_scores(A.cross_validated(games, ROLL + ROLES, "win", "game_id", A.logistic()), "win")
+        return spark.createDataFrame(found.collect(), found.schema)  # one row
 
 
 @query()
 def temporal_holdout(spark, sf_dir):
     rows = transitions.season_parts(_games(spark, sf_dir))
-    model = Pipeline(stages=[*A.scaled(ROLL), A.logistic("win")]).fit(rows.where("part = 'train'"))
-    from pyspark.ml.functions import vector_to_array
-
+    train = rows.where("part = 'train'")
+    model = Pipeline(stages=[*A.scaled(ROLL + ROLES), A.logistic()("win", train.count())]).fit(train)
     return A.binary_metrics(model.transform(rows.where("part = 'test'")).withColumn("prob", vector_to_array("p")[1]), "prob", "win")
 
 
 @query()
 def goal_regression(spark, sf_dir):
-    rows = transitions.season_parts(_games(spark, sf_dir).withColumn("y", F.col("goals").cast("double")))
-    train = rows.where("part = 'train'")
-    out = None
-    for name, make in A.regressors("y", 1000).items():
-        found = A.regression_metrics(Pipeline(stages=[*A.scaled(ROLL), make]).fit(train).transform(rows.where("part = 'test'")), "y").withColumn("model", F.lit(name))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-@query()
-def pca_boundary(spark, sf_dir):
-    return A.principal_axes(views.player_seasons(spark, sf_dir), FEATURES, ["season", "player_id"])
+    """Mean and population deviation of the folds' errors for each regressor."""
+    out, names = [], [f"{c}_{n}" for c in ("rmse", "mae", "r2") for n in ("mean", "std")]
+    with A.cached(_games(spark, sf_dir)) as games:
+        for name, (make, scale) in A.regressors(TREES, ROUNDS).items():
+            scored = A.cross_validated(games, ROLL + ROLES, "goal_diff", "game_id", make, scale=scale, out="guess_oof")
+            found = A.regression_metrics(scored, "goal_diff", "guess_oof", ["fold"])
+            out.append((name, *found.agg(*(f(c) for c in ("rmse", "mae", "r2") for f in (F.avg, F.stddev_pop))).first()))
+    return spark.createDataFrame(out, "model string, " + ", ".join(f"{n} double" for n in names))
 
 
 @query(
@@ -89,31 +151,50 @@ def classifier_metrics(spark, sf_dir):
 
 @query()
 def grid_search(spark, sf_dir):
-    """Cross-validated scores of the logistic grid and of the other families at one point each."""
-    games, out = _games(spark, sf_dir), None
-    makes = {f"logistic C={c}": lambda label, c=c: A.logistic(label, c) for c in (0.01, 0.1, 1.0, 10.0)} | {"forest": lambda label: A.forest(label, trees=20), "boosted": lambda label: A.boosted(label, rounds=10)}
-    for name, make in makes.items():
-        scored = A.cross_validated(games, ROLL, "win", "game_id", make, folds=3)
-        found = A.binary_metrics(scored, "prob", "win").select(F.lit(name).alias("model"), "auc", "brier", "log_loss")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Five folds for each of 14 points: all penalties, and the trees' grid with fewer trees and depths."""
+    points = A.grid((TREES,), (ROUNDS,), {"forest": (6, 10), "boosted": (3, 5)})
+    return A.grid_search(_games(spark, sf_dir), ROLL + ROLES, "win", "game_id", points)
 
 
 @query()
 def ablation(spark, sf_dir):
-    """Held-out scores with all features and without each."""
-    games, out = _games(spark, sf_dir), None
-    for left in (None, *ROLL):
-        scored = A.cross_validated(games, [c for c in ROLL if c != left], "win", "game_id", A.logistic, folds=3)
-        found = A.binary_metrics(scored, "prob", "win").select(F.lit(left or "none").alias("without"), "auc", "brier")
+    """Five-fold scores with all features and without the role shares."""
+    points, out = {"all": ROLL + ROLES, "without shares": ROLL}, None
+    for name, columns in points.items():
+        found = A.grid_search(_games(spark, sf_dir), columns, "win", "game_id", {name: (A.logistic(), True)})
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.withColumnRenamed("model", "features")
+
+
+def _whole_model(spark, sf_dir):
+    games = _games(spark, sf_dir)
+    return games, Pipeline(stages=[*A.scaled(ROLL + ROLES), A.logistic()("win", games.count())]).fit(games)
 
 
 @query()
 def top_coefficients(spark, sf_dir):
-    model = Pipeline(stages=[*A.scaled(ROLL), A.logistic("win")]).fit(_games(spark, sf_dir))
-    return A.top_coefficients(spark, model, ROLL)
+    return A.top_coefficients(spark, _whole_model(spark, sf_dir)[1], ROLL + ROLES)
+
+
+@query()
+def simulated_lineups(spark, sf_dir):
+    """What moving ice time to one forward role changes, by the fitted model put back into plain units."""
+    games, model = _whole_model(spark, sf_dir)
+    scaler, fit = model.stages[1], model.stages[2]
+    spread = [s or 1.0 for s in scaler.std.toArray()]
+    weights = {c: float(w) / s for c, w, s in zip(ROLL + ROLES, fit.coefficients.toArray(), spread, strict=True)}
+    bias = float(fit.intercept) - sum(w * m for w, m in zip(weights.values(), scaler.mean.toArray(), strict=True))
+    return roster.sensitivity_grid(games, ROLES[:3], DELTAS, weights, bias)
+
+
+@query()
+def calibration_oof(spark, sf_dir):
+    """Ten equal-frequency bins of the held-out probabilities."""
+    with A.cached(_games(spark, sf_dir)) as games:
+        scored = A.cross_validated(games, ROLL + ROLES, "win", "game_id", A.logistic())
+        cut = buckets.qcut(scored, "prob", 10, "bin", distinct=True)
+        found = cut.groupBy("bin").agg(F.count("*").alias("n"), F.avg("prob").alias("prob"), F.avg("win").alias("rate"))
+        return spark.createDataFrame(found.collect(), found.schema)  # a row a bin
 
 
 @query("SELECT CAST(k AS INT) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(p), 6) AS prob, round(avg(y), 6) AS rate FROM (SELECT p, y, greatest(len(list_filter(e, lambda x: x < p)) - 1, 0) AS k FROM (SELECT value / 100 AS p, CAST(event_type = 'click' AS DOUBLE) AS y FROM events), (SELECT quantile_cont(value / 100, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS e FROM events)) GROUP BY k")

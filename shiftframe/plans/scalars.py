@@ -13,9 +13,21 @@ from .catalog import query
 from .joins import NORMAL
 from .views import with_views
 
+# Written from the rules, not from the operators: DuckDB's own accent stripping and a step for each rule.
 STRICT = (
-    "trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(name), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[''’.\\-]', ' ', 'g'), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(trim(name))), '[^\\x00-\\x7F]', '', 'g'), "
+    "'\\b([od])''', '\\1', 'g'), '[.''\\-]', ' ', 'g'), '[^a-z ]', '', 'g'), '\\s+', ' ', 'g'))"
 )
+INITIALS = "coalesce(regexp_replace(regexp_replace({0}, '\\b([a-z])\\s+([a-z])\\b', '\\1\\2', 'g'), '\\b([a-z])\\s+([a-z])\\b', '\\1\\2', 'g'), '')"
+STRICT = INITIALS.format(STRICT)
+PEOPLE = ["Erik Černák", "Ryan O'Reilly", "J.T. Miller", "Tony D’Angelo", "Jean-Luc Foudy", "P. A. Parenteau", "Théodor Blüger", "mats zuccarello-aasen", "  Sebastian  Aho ", "Michael  Grossman", "Anže Kopitar Jr.", "JANIS..MOSER", "Ole", "", None]
+NAMED = "(SELECT c_custkey, [" + ", ".join("NULL" if n is None else "'" + n.replace("'", "''") + "'" for n in PEOPLE) + f"][c_custkey % {len(PEOPLE)} + 1] AS name FROM customer)"
+
+
+def _people(spark, sf_dir):
+    """(c_custkey, name): names in many spellings."""
+    listed = F.array(*(F.lit(n).cast("string") for n in PEOPLE))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.element_at(listed, (F.col("c_custkey") % len(PEOPLE) + 1).cast("int")).alias("name"))
 
 
 @query(with_views(f"SELECT doc_id, {NORMAL} AS name_key FROM v_names", "v_names"))
@@ -28,6 +40,11 @@ def normalize_name_strict(spark, sf_dir):
     return views.names(spark, sf_dir).select("doc_id", names.normalize_name_strict(F.col("name")).alias("name_key"))
 
 
+@query(f"SELECT c_custkey, {NORMAL} AS name_key, {STRICT} AS strict_key FROM {NAMED}")
+def name_spellings(spark, sf_dir):
+    return _people(spark, sf_dir).select("c_custkey", names.normalize_name(F.col("name")).alias("name_key"), names.normalize_name_strict(F.col("name")).alias("strict_key"))
+
+
 @query(
     with_views(
         f""", p AS (SELECT doc_id, {NORMAL} AS n FROM v_names), w AS (SELECT doc_id, n, string_split(n, ' ') AS w FROM p),
@@ -41,44 +58,68 @@ def name_lookup(spark, sf_dir):
     return identity.name_lookup(people, "doc_id", "name").select("name_key", "doc_id")
 
 
-SCORE = """CASE WHEN a = b THEN 100 WHEN la <> lb THEN 0 WHEN starts_with(l, s) AND length(s) >= 3 THEN 92 WHEN starts_with(l, s) AND length(s) = 1 THEN 90
-    WHEN contains(l, s) THEN 88 WHEN fa[1] = fb[1] THEN 85 ELSE 0 END"""
+MATCHES = [
+    ("bob smith", "bill smith"), ("matt smith", "matthew smith"), ("jean luc foudy", "jeanluc foudy"), ("j smith", "john smith"), ("jt miller", "john miller"), ("al smith", "alan jones"),
+    ("matt x smith", "matt y smith"), ("smith", "smith"), ("smith", "smyth"), ("", "smith"), ("jo smith", "jim smith"), ("matthew smith", "matt smith"), ("ab cd", "abcd"), ("kim lee", "tim lee"),
+]
+MATCHED = "(SELECT c_custkey, m.a, m.b FROM (SELECT c_custkey, [" + ", ".join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in MATCHES) + f"][c_custkey % {len(MATCHES)} + 1] AS m FROM customer))"
 
 
 def _name_pairs(spark, sf_dir):
-    first = F.element_at(F.split("c_mktsegment", " "), 1)
-    people = table(spark, sf_dir, "customer").select("c_custkey", F.lower(first).alias("seg"))
-    a = F.concat_ws(" ", "seg", F.lit("smith"))
-    short = F.when(F.col("c_custkey") % 4 == 0, F.substring("seg", 1, 1)).when(F.col("c_custkey") % 4 == 1, F.substring("seg", 1, 4)).when(F.col("c_custkey") % 4 == 2, F.substring("seg", 2, 3)).otherwise(F.concat(F.substring("seg", 1, 1), F.lit("zz")))
-    last = F.when(F.col("c_custkey") % 5 == 0, "jones").otherwise("smith")
-    return people.select("c_custkey", a.alias("a"), F.concat_ws(" ", short, last).alias("b"))
-
-
-PAIRS = """SELECT c_custkey, seg || ' smith' AS a, seg AS fa, 'smith' AS la, CASE c_custkey % 4 WHEN 0 THEN seg[1] WHEN 1 THEN seg[1:4] WHEN 2 THEN seg[2:4] ELSE seg[1] || 'zz' END AS fb, CASE WHEN c_custkey % 5 = 0 THEN 'jones' ELSE 'smith' END AS lb
-    FROM (SELECT c_custkey, lower(string_split(c_mktsegment, ' ')[1]) AS seg FROM customer)"""
+    """(c_custkey, a, b): pairs of normal names, alike in different ways."""
+    listed = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in MATCHES))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.element_at(listed, (F.col("c_custkey") % len(MATCHES) + 1).cast("int")).alias("m")).select("c_custkey", "m.a", "m.b")
 
 
-@query(f"SELECT c_custkey, CAST({SCORE} AS INT) AS score FROM (SELECT *, fb || ' ' || lb AS b, CASE WHEN length(fa) <= length(fb) THEN fa ELSE fb END AS s, CASE WHEN length(fa) <= length(fb) THEN fb ELSE fa END AS l FROM ({PAIRS}))")
+@query(
+    f"""SELECT c_custkey, CAST(CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 100 WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN 92 WHEN len(x) < 2 OR len(y) < 2 OR x[-1] <> y[-1] THEN 0
+    WHEN x[1] = y[1] THEN 90 WHEN starts_with(x[1], y[1]) OR starts_with(y[1], x[1]) THEN 88 WHEN x[1][1] = y[1][1] AND (length(x[1]) <= 2 OR length(y[1]) <= 2) THEN 85 ELSE 0 END AS INT) AS score
+    FROM (SELECT *, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM {MATCHED})"""
+)
 def name_score(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("c_custkey", names.name_score(F.col("a"), F.col("b")).alias("score"))
 
 
+FULL = ["Mike Smith", "Alexander Steen", "Zachary Hyman", "Ole X", "Pierre-Alexandre Parenteau", "Bo Horvat", "William Nylander"]
+GROUPS = "mike michael, alexander alex sasha, william will bill"
+
+
 @query(
-    "SELECT c_custkey, array_to_string(list_sort(list_distinct(list_concat([f, f[1]], CASE f "
-    + " ".join(f"WHEN '{n}' THEN {sorted(g)!r}" for g in names.NICKNAMES for n in g)
-    + " ELSE [] END))), ',') AS variants FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'mike' WHEN 1 THEN 'alexander' WHEN 2 THEN 'zach' ELSE 'ole' END AS f FROM customer)"
+    "WITH nick AS (SELECT g, unnest(string_split(g, ' ')) AS n FROM (SELECT unnest(string_split('"
+    + GROUPS
+    + "', ', ')) AS g)), f AS (SELECT c_custkey, lower(regexp_replace(["
+    + ", ".join(f"'{n}'" for n in FULL)
+    + f"][c_custkey % {len(FULL)} + 1], '-', ' ')) AS whole FROM customer), w AS (SELECT c_custkey, string_split(whole, ' ') AS w FROM f),"
+    """ v AS (SELECT c_custkey, w[1] AS v FROM w UNION SELECT c_custkey, w[1][1:3] FROM w WHERE length(w[1]) >= 3 UNION SELECT c_custkey, w[1][1:4] FROM w WHERE length(w[1]) >= 4
+      UNION SELECT c_custkey, array_to_string(list_transform(w[1:-2], lambda x: x[1]), '') FROM w WHERE len(w) > 2 UNION SELECT c_custkey, unnest(string_split(g, ' ')) FROM w JOIN nick ON n = w[1])
+    SELECT c_custkey, string_agg(v, ',' ORDER BY v) AS variants FROM v GROUP BY c_custkey"""
 )
 def name_variants(spark, sf_dir):
-    k = F.col("c_custkey") % 4
-    first = F.when(k == 0, "mike").when(k == 1, "alexander").when(k == 2, "zach").otherwise("ole")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(names.first_name_variants(first), ",").alias("variants"))
+    whole = F.element_at(F.array(*map(F.lit, FULL)), (F.col("c_custkey") % len(FULL) + 1).cast("int"))
+    first = F.element_at(F.split(names.normalize_name_strict(whole), " "), 1)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(names.first_name_variants(first, whole), ",").alias("variants"))
+
+
+ALIASED = [("Mats", "Zuccarello-Aasen"), ("Theodor", "Blueger"), ("Theodor", "Smith"), ("Michael", "Grossman"), ("Teddy", "Blueger"), ("Nicklas", "Grossmann")]
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN lower(l) = 'blueger' AND lower(f) = 'theodor' THEN 'teddy' ELSE f END AS first, CASE lower(l) WHEN 'zuccarello-aasen' THEN 'zuccarello' WHEN 'grossman' THEN 'grossmann' WHEN 'blueger' THEN 'blueger' ELSE l END AS last FROM (SELECT c_custkey, m.f, m.l FROM (SELECT c_custkey, ["
+    + ", ".join(f"{{'f': '{f}', 'l': '{n}'}}" for f, n in ALIASED)
+    + f"][c_custkey % {len(ALIASED)} + 1] AS m FROM customer))"
+)
+def name_aliases(spark, sf_dir):
+    listed = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(n).alias("l")) for f, n in ALIASED))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(listed, (F.col("c_custkey") % len(ALIASED) + 1).cast("int")).alias("m")).select("c_custkey", "m.f", "m.l")
+    first, last = names.with_aliases(F.col("f"), F.col("l"))
+    return rows.select("c_custkey", first.alias("first"), last.alias("last"))
 
 
 @query()
 def name_similarity(spark, sf_dir):
     """No SQL: the ratio is that of Python's matched blocks; a test holds it against the library."""
-    pairs = _name_pairs(spark, sf_dir)
-    return pairs.select("c_custkey", F.round(names.first_name_similarity(F.element_at(F.split("a", " "), 1), F.element_at(F.split("b", " "), 1)), 6).alias("similarity"))
+    first = lambda c: F.element_at(F.split(c, " "), 1)
+    return _name_pairs(spark, sf_dir).select("c_custkey", F.round(names.first_name_similarity(first("a"), first("b")), 6).alias("similarity"))
 
 
 SIMS = "SELECT user_id, event_id, round(value / 100, 4) AS sim FROM events WHERE event_type <> 'view'"
@@ -94,18 +135,26 @@ def accept_ladder(spark, sf_dir):
     return identity.accepted(rows, ["user_id"], "sim", F.asc("event_id"))
 
 
-@query("SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '/(?:[a-z_]*)(\\d+)(?:[/?#].*)?$', 1), '') AS BIGINT) AS ext_id FROM pages")
+URLS = "CASE page_id % 4 WHEN 0 THEN url || '/redirect/player/' || page_id WHEN 1 THEN url || '/player/' || page_id || '/cap-2024' WHEN 2 THEN url || '/team/7?y=' || page_id ELSE url END"
+
+
+@query(f"SELECT page_id, TRY_CAST(nullif(regexp_extract(u, '/player/(\\d+)(/|$)', 1), '') AS BIGINT) AS player_id, TRY_CAST(nullif(regexp_extract(u, '/(\\d+)(/|$|\\?|#)', 1), '') AS BIGINT) AS path_id FROM (SELECT page_id, {URLS} AS u FROM pages)")
 def url_id(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", parse.url_id(F.col("url")).alias("ext_id"))
+    k, at = F.col("page_id") % 4, F.col("page_id").cast("string")
+    url = F.when(k == 0, F.concat("url", F.lit("/redirect/player/"), at)).when(k == 1, F.concat("url", F.lit("/player/"), at, F.lit("/cap-2024"))).when(k == 2, F.concat("url", F.lit("/team/7?y="), at)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", parse.url_id(url).alias("player_id"), parse.path_id(url).alias("path_id"))
+
+
+AMOUNTS = ["$1,234.50", '"$70,403,880"', "n/a", " - ", "", "925000", "$ 12", "1 234", "two"]
 
 
 @query(
-    """SELECT c_custkey, TRY_CAST(regexp_replace(trim(raw), '[$,\\s]', '', 'g') AS DOUBLE) AS money, TRY_CAST(nullif(regexp_replace(raw, '[^0-9]', '', 'g'), '') AS BIGINT) AS whole
-    FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '$1,' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '.50' WHEN 1 THEN 'n/a' ELSE ' - ' END AS raw FROM customer)"""
+    "SELECT c_custkey, TRY_CAST(CASE WHEN trim(raw) IN ('', '-', 'n/a') THEN NULL ELSE trim(replace(replace(replace(trim(raw), '$', ''), ',', ''), '\"', '')) END AS DOUBLE) AS money, TRY_CAST(nullif(regexp_replace(raw, '[^0-9]', '', 'g'), '') AS BIGINT) AS whole FROM (SELECT c_custkey, ["
+    + ", ".join(f"'{a}'" for a in AMOUNTS)
+    + f"][c_custkey % {len(AMOUNTS)} + 1] AS raw FROM customer)"
 )
 def money_parse(spark, sf_dir):
-    k = F.col("c_custkey")
-    raw = F.when(k % 3 == 0, F.concat(F.lit("$1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(".50"))).when(k % 3 == 1, "n/a").otherwise(" - ")
+    raw = F.element_at(F.array(*map(F.lit, AMOUNTS)), (F.col("c_custkey") % len(AMOUNTS) + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", parse.money(raw).alias("money"), parse.whole_money(raw).alias("whole"))
 
 
@@ -129,10 +178,14 @@ def clock_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", clock.clock_parse(raw).alias("seconds"))
 
 
-@query("SELECT p_partkey, string_split(p_name, ' ')[1] AS first, nullif(array_to_string(string_split(p_name, ' ')[2:], ' '), '') AS last FROM part")
+@query(
+    f"""SELECT c_custkey, w[1] AS first, CASE WHEN w IS NOT NULL THEN array_to_string(w[2:], ' ') END AS last, shown
+    FROM (SELECT c_custkey, string_split(nullif(trim(regexp_replace(name, '\\s+', ' ', 'g')), ''), ' ') AS w,
+      array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(regexp_replace(coalesce(name, ''), '\\.+', ' ', 'g'), '\\s+', ' ', 'g')), '\\p{{L}}+|\\P{{L}}+'), lambda r: upper(r[1]) || lower(r[2:])), '') AS shown FROM {NAMED})"""
+)
 def split_name(spark, sf_dir):
-    first, last = parse.split_name(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", first.alias("first"), last.alias("last"))
+    first, last = parse.split_name(F.col("name"))
+    return _people(spark, sf_dir).select("c_custkey", first.alias("first"), last.alias("last"), parse.title_case(F.col("name")).alias("shown"))
 
 
 @query("SELECT c_custkey, nullif(regexp_extract(upper(raw), '\\b([A-Z]{2,3})\\b', 1), '') AS abbr FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'team ' || lower(c_mktsegment[1:3]) || ' x' ELSE c_mktsegment END AS raw FROM customer)")

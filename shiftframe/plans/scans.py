@@ -32,9 +32,15 @@ def html_extract(spark, sf_dir):
 
 @query(with_views("SELECT season, CAST(count(*) AS BIGINT) AS n, CAST(sum(cf) AS BIGINT) AS cf FROM v_pg WHERE season IN (19961997, 19971998, 19981999) GROUP BY season", "v_pg"))
 def union_seasons(spark, sf_dir):
-    games = views.player_games(spark, sf_dir)
-    years = [games.where(F.col("season") == s) for s in (19961997, 19971998, 19981999)]
-    return years[0].unionByName(years[1]).unionByName(years[2], allowMissingColumns=True).groupBy("season").agg(F.count("*").alias("n"), F.sum("cf").alias("cf"))
+    """The union of some seasons' tables is one read of the table that holds all, by a range of days."""
+    return views.player_games(spark, sf_dir, 19961997, 19981999).groupBy("season").agg(F.count("*").alias("n"), F.sum("cf").alias("cf"))
+
+
+@query(with_views("SELECT game_id, event, CAST(count(*) AS BIGINT) AS n, CAST(sum(shift_len) AS BIGINT) AS seconds FROM (SELECT game_id, event, NULL AS shift_len FROM v_plays UNION ALL SELECT game_id, NULL, shift_end - shift_start FROM v_shifts) GROUP BY ALL", "v_plays", "v_shifts"))
+def union_frames(spark, sf_dir):
+    shifts = views.shifts(spark, sf_dir).select("game_id", (F.col("shift_end") - F.col("shift_start")).alias("shift_len"))
+    both = views.plays(spark, sf_dir).select("game_id", "event").unionByName(shifts, allowMissingColumns=True)
+    return both.groupBy("game_id", "event").agg(F.count("*").alias("n"), F.sum("shift_len").alias("seconds"))
 
 
 @query(with_views("SELECT * FROM v_shifts WHERE game_id IN (SELECT game_id FROM v_plays WHERE event = 'Goal') AND shift_end > shift_start", "v_shifts", "v_plays"))

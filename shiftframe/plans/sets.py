@@ -12,9 +12,9 @@ from .catalog import query
 from .views import with_views
 
 
-@query(with_views("SELECT game_id FROM v_shifts WHERE game_id % 2 = 0 INTERSECT SELECT game_id FROM v_plays WHERE event = 'Goal'", "v_shifts", "v_plays"))
+@query(with_views("SELECT game_id FROM v_shifts WHERE position = 'G' INTERSECT SELECT game_id FROM v_plays WHERE event = 'Goal'", "v_shifts", "v_plays"))
 def common_games(spark, sf_dir):
-    return views.shifts(spark, sf_dir).where("game_id % 2 = 0").select("game_id").intersect(views.plays(spark, sf_dir).where("event = 'Goal'").select("game_id"))
+    return views.shifts(spark, sf_dir).where("position = 'G'").select("game_id").intersect(views.plays(spark, sf_dir).where("event = 'Goal'").select("game_id"))
 
 
 @query(with_views("SELECT game_id, player_id, 'shift_start' AS variable, shift_start AS value FROM v_shifts UNION ALL SELECT game_id, player_id, 'shift_end', shift_end FROM v_shifts", "v_shifts"))
@@ -46,14 +46,14 @@ def add_candidates(spark, sf_dir):
     return rows.select("player_id", "team_id", "cluster", "toi_es_sec").orderBy(F.desc("toi_es_sec"), "player_id").limit(40)
 
 
-LOG = """, cal AS (SELECT o_orderkey AS game_id, CAST(max(o_orderdate) AS DATE) AS day FROM orders WHERE o_orderkey % 11 > 0 GROUP BY ALL),
+LOG = """, cal AS (SELECT o_orderkey AS game_id, CAST(max(o_orderdate) AS DATE) AS day FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL),
 log AS (SELECT g.game_id, g.player_id, g.cf, g.ca, c.day, CAST(row_number() OVER (PARTITION BY g.player_id ORDER BY c.day ASC NULLS LAST, g.game_id) AS INT) AS game_no
-FROM (SELECT game_id, player_id, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(ca) AS BIGINT) AS ca FROM v_pg WHERE player_id IN (7, 8, 9) GROUP BY ALL) g LEFT JOIN cal c USING (game_id))"""
+FROM (SELECT game_id, player_id, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(ca) AS BIGINT) AS ca FROM v_pg GROUP BY ALL) g LEFT JOIN cal c USING (game_id))"""
 
 
 def _log(spark, sf_dir):
-    games = views.player_games(spark, sf_dir).where(F.col("player_id").isin(7, 8, 9)).groupBy("game_id", "player_id").agg(F.sum("cf").alias("cf"), F.sum("ca").alias("ca"))
-    days = table(spark, sf_dir, "orders").where("o_orderkey % 11 > 0").groupBy(F.col("o_orderkey").alias("game_id")).agg(F.to_date(F.max("o_orderdate")).alias("day"))
+    games = views.player_games(spark, sf_dir).groupBy("game_id", "player_id").agg(F.sum("cf").alias("cf"), F.sum("ca").alias("ca"))
+    days = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_orderkey").alias("game_id")).agg(F.to_date(F.max("o_orderdate")).alias("day"))
     order = Window.partitionBy("player_id").orderBy(F.asc_nulls_last("day"), "game_id")
     return games.join(days, "game_id", "left").withColumn("game_no", F.row_number().over(order))
 

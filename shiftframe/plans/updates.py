@@ -20,13 +20,14 @@ def upsert_latest(spark, sf_dir):
     return upsert.upserted(old, events.where("event_type = 'purchase'"), ["user_id"], [F.desc("event_id")]).drop("event_type")
 
 
-GUARD = "known AS (SELECT c_custkey AS ext_id, c_nationkey AS player_id FROM customer WHERE c_custkey < 10), new AS (SELECT c_custkey AS ext_id, c_nationkey AS player_id FROM customer WHERE c_custkey BETWEEN 5 AND 200)"
+PAIRS = "SELECT o_orderkey AS ext_id, o_custkey * 31 + day(o_orderdate) AS player_id, o_orderstatus FROM orders"
 
 
-@query(f"WITH {GUARD} SELECT ext_id, player_id FROM new WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.player_id = new.player_id AND k.ext_id <> new.ext_id)")
+@query(f"WITH p AS ({PAIRS}) SELECT ext_id, player_id FROM p WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM p k WHERE k.o_orderstatus = 'F' AND k.player_id = p.player_id AND k.ext_id <> p.ext_id)")
 def upsert_guarded(spark, sf_dir):
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ext_id"), F.col("c_nationkey").alias("player_id"))
-    return upsert.guarded(people.where("ext_id BETWEEN 5 AND 200"), people.where("ext_id < 10"), "ext_id", "player_id")
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ext_id"), (F.col("o_custkey") * 31 + F.dayofmonth("o_orderdate")).alias("player_id"), "o_orderstatus")
+    known, new = pairs.where("o_orderstatus = 'F'").drop("o_orderstatus"), pairs.where("o_orderstatus <> 'F'").drop("o_orderstatus")
+    return upsert.guarded(new, known, "ext_id", "player_id")
 
 
 @query("SELECT c.c_custkey, coalesce(CASE WHEN c.c_custkey % 3 > 0 THEN c.c_acctbal END, o.top) AS c_acctbal FROM customer c LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey")

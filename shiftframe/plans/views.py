@@ -39,10 +39,18 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def player_games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(season, game_id, player_id, team_id) with cf, ca, toi_es_sec, toi_total_sec, goals and hits."""
+def player_games(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(season, game_id, player_id, team_id) with cf, ca, toi_es_sec, toi_total_sec, goals and hits.
+
+    Seasons ``first`` to ``last`` are a range of days, which the scan can check against the files' statistics.
+    """
     q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    days = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    if first is not None:
+        days = days.where(F.col("o_orderdate") >= F.lit(f"{first // 10000}-01-01").cast("timestamp"))
+    if last is not None:
+        days = days.where(F.col("o_orderdate") < F.lit(f"{last // 10000 + 1}-01-01").cast("timestamp"))
+    rows = table(spark, sf_dir, "lineitem").join(days, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(
         season_of_year(F.year("o_orderdate")).alias("season"),
         F.col("l_orderkey").alias("game_id"),
@@ -96,8 +104,8 @@ def team_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, name): the first two words of each document."""
-    words = F.split(F.regexp_replace("text", "\n", " "), " ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", F.get(words, 0), F.get(words, 1)).alias("name"))
+    start = F.regexp_extract("text", r"^[^ \n]*(?:[ \n][^ \n]*)?", 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.replace(start, F.lit("\n"), F.lit(" ")), F.lit("")).alias("name"))
 
 
 SQL = {

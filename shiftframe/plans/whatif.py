@@ -21,18 +21,20 @@ def _matrix(players):
 
 
 def _model(players):
-    """Stand-in model probabilities for two players in three, from their ids."""
+    """Stand-in model scores for two players in three, not scaled; some rows are all zeros, some lack a value."""
     k = F.col("player_id")
-    raw = [(k % 5 + 1).cast("double"), (k % 3 + 1).cast("double"), (k % 7 + 1).cast("double")]
-    total = raw[0] + raw[1] + raw[2]
-    return players.where("player_id % 3 > 0").select("player_id", *((raw[i] / total).alias(f"m{i}") for i in range(3))).distinct()
+    raw = [F.when(k % 5 > 0, (k % (i + 3) + (1 if i < 2 else 0)).cast("double")).otherwise(0.0) for i in range(3)]
+    raw[2] = F.when(k % 7 > 0, raw[2])
+    return players.where("player_id % 3 > 0").select("player_id", *(raw[i].alias(f"m{i}") for i in range(3))).distinct()
 
 
-MODEL = """, md AS (SELECT DISTINCT player_id, (player_id % 5 + 1) / ((player_id % 5 + 1) + (player_id % 3 + 1) + (player_id % 7 + 1)) AS m0, (player_id % 3 + 1) / ((player_id % 5 + 1) + (player_id % 3 + 1) + (player_id % 7 + 1)) AS m1,
-(player_id % 7 + 1) / ((player_id % 5 + 1) + (player_id % 3 + 1) + (player_id % 7 + 1)) AS m2 FROM v_ps WHERE player_id % 3 > 0),
+# The model's row is taken whole or not at all; the matrix row is not scaled.
+MODEL = """, md AS (SELECT DISTINCT player_id, CASE WHEN player_id % 5 > 0 THEN player_id % 3 + 1.0 ELSE 0 END::DOUBLE AS m0, CASE WHEN player_id % 5 > 0 THEN player_id % 4 + 1.0 ELSE 0 END::DOUBLE AS m1,
+CASE WHEN player_id % 7 > 0 THEN CASE WHEN player_id % 5 > 0 THEN player_id % 5 + 0.0 ELSE 0 END END::DOUBLE AS m2 FROM v_ps WHERE player_id % 3 > 0),
 wide AS (SELECT pos_group, from_cluster AS cluster, max(prob_mean) FILTER (WHERE to_cluster = 0) AS t0, max(prob_mean) FILTER (WHERE to_cluster = 1) AS t1, max(prob_mean) FILTER (WHERE to_cluster = 2) AS t2 FROM mx GROUP BY ALL),
-raw AS (SELECT v.*, coalesce(m0, t0, 1.0::DOUBLE / 3) AS r0, coalesce(m1, t1, 1.0::DOUBLE / 3) AS r1, coalesce(m2, t2, 1.0::DOUBLE / 3) AS r2 FROM v_ps v LEFT JOIN md USING (player_id) LEFT JOIN wide USING (pos_group, cluster)),
-pr AS (SELECT *, r0 / (r0 + r1 + r2) AS p0, r1 / (r0 + r1 + r2) AS p1, r2 / (r0 + r1 + r2) AS p2 FROM raw)"""
+raw AS (SELECT v.*, m0, m1, m2, m0 + m1 + m2 AS m, t0, t1, t2 FROM v_ps v LEFT JOIN md USING (player_id) LEFT JOIN wide USING (pos_group, cluster)),
+pr AS (SELECT *, CASE WHEN m > 0 THEN m0 / m WHEN t0 IS NOT NULL THEN t0 ELSE 1.0::DOUBLE / 3 END AS p0, CASE WHEN m > 0 THEN m1 / m WHEN t0 IS NOT NULL THEN t1 ELSE 1.0::DOUBLE / 3 END AS p1,
+CASE WHEN m > 0 THEN m2 / m WHEN t0 IS NOT NULL THEN t2 ELSE 1.0::DOUBLE / 3 END AS p2 FROM raw)"""
 
 
 @query(with_views(DIRICHLET + ", s AS (SELECT season, team_id, v.pos_group, to_cluster AS cluster, sum(toi_es_sec * prob_mean) AS weight FROM v_ps v JOIN mx ON mx.pos_group = v.pos_group AND from_cluster = v.cluster GROUP BY ALL) SELECT season, team_id, pos_group, cluster, round(100 * weight / sum(weight) OVER (PARTITION BY season, team_id, pos_group), 2) AS share FROM s", "v_ps"))
@@ -94,6 +96,14 @@ def mix_delta(spark, sf_dir):
 
 
 V3 = "SELECT event_id, value / 300 AS v0, (event_id % 10) / 30.0::DOUBLE AS v1, (event_id % 7) / 21.0::DOUBLE AS v2 FROM events"
+# The steps one by one: held to 0..1, scaled to the total, moved (the donor is role 2, the third is role 1), held and scaled again.
+STEPS = """c0 AS (SELECT *, least(1, v0) AS h0, least(1, v1) AS h1, least(1, v2) AS h2 FROM v3), c1 AS (SELECT *, h0 + h1 + h2 AS hs FROM c0),
+c2 AS (SELECT *, CASE WHEN hs > 1e-12 THEN h0 * total / hs ELSE total / 3 END AS g0, CASE WHEN hs > 1e-12 THEN h1 * total / hs ELSE total / 3 END AS g1, CASE WHEN hs > 1e-12 THEN h2 * total / hs ELSE total / 3 END AS g2 FROM c1),
+c3 AS (SELECT *, greatest(-g0, least(delta, total - g0)) AS m FROM c2), c4 AS (SELECT *, CASE WHEN m > 0 THEN least(g2, m) ELSE 0 END AS take1 FROM c3), c5 AS (SELECT *, CASE WHEN m - take1 > 1e-12 THEN least(g1, m - take1) ELSE 0 END AS take2 FROM c4),
+c6 AS (SELECT *, CASE WHEN m > 0 THEN g0 + take1 + take2 ELSE g0 + m END AS w0, g1 - take2 AS w1, CASE WHEN m > 0 THEN g2 - take1 ELSE g2 - m END AS w2 FROM c5),
+c7 AS (SELECT *, greatest(0, least(1, w0)) AS x0, greatest(0, least(1, w1)) AS x1, greatest(0, least(1, w2)) AS x2 FROM c6), c8 AS (SELECT *, x0 + x1 + x2 AS xs FROM c7),
+s3 AS (SELECT *, CASE WHEN total < 1e-12 THEN 0 WHEN abs(m) < 1e-12 THEN g0 ELSE x0 * total / xs END AS s0, CASE WHEN total < 1e-12 THEN 0 WHEN abs(m) < 1e-12 THEN g1 ELSE x1 * total / xs END AS s1,
+CASE WHEN total < 1e-12 THEN 0 WHEN abs(m) < 1e-12 THEN g2 ELSE x2 * total / xs END AS s2 FROM c8)"""
 
 
 def _shares(spark, sf_dir):
@@ -101,35 +111,45 @@ def _shares(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.col("value") / 300).alias("v0"), ((k % 10) / 30.0).alias("v1"), ((k % 7) / 21.0).alias("v2"))
 
 
-@query(
-    f"""SELECT event_id, round(v0 + m, 11) AS s0, round(greatest(0, v1 - m * CASE WHEN v1 + v2 > 0 THEN v1 / (v1 + v2) ELSE 0.5 END), 11) AS s1, round(greatest(0, v2 - m * CASE WHEN v1 + v2 > 0 THEN v2 / (v1 + v2) ELSE 0.5 END), 11) AS s2
-    FROM (SELECT *, greatest(-v0, least(0.1::DOUBLE * (v0 + v1 + v2), v1 + v2)) AS m FROM ({V3}))"""
-)
+@query(f"WITH v3 AS (SELECT *, 0.9::DOUBLE AS total, CASE WHEN event_id % 2 = 0 THEN 0.1 ELSE -0.05 END::DOUBLE AS delta FROM ({V3})), {STEPS} SELECT event_id, round(s0, 10) AS s0, round(s1, 10) AS s1, round(s2, 10) AS s2 FROM s3")
 def share_shift(spark, sf_dir):
     v = [F.col(f"v{k}") for k in range(3)]
-    moved = R.shift_share(v, v[0] + v[1] + v[2], 0, F.lit(0.1))
-    return _shares(spark, sf_dir).select("event_id", *(F.round(c, 11).alias(f"s{k}") for k, c in enumerate(moved)))
+    moved = R.shift_share(v, F.lit(0.9), 0, F.when(F.col("event_id") % 2 == 0, 0.1).otherwise(-0.05))
+    return _shares(spark, sf_dir).select("event_id", *(F.round(c, 10).alias(f"s{k}") for k, c in enumerate(moved)))
 
 
 DELTAS = (-0.1, -0.05, -0.02, 0.0, 0.02, 0.05, 0.08, 0.1)
-WEIGHTS, BIAS = [0.8, -0.3, 0.1], -0.2
+WEIGHTS, BIAS = {"v0": 0.8, "v1": -0.3, "v2": 0.1}, -0.2  # of a model that SQL can state; simulated_lineups fits its own
+LOGIT = "1 / (1 + exp(-(0.8::DOUBLE * {0}0 - 0.3::DOUBLE * {0}1 + 0.1::DOUBLE * {0}2 - 0.2::DOUBLE)))"
 
 
 @query(
-    f"""SELECT d AS delta_share, round(avg(1 / (1 + exp(-(0.8::DOUBLE * (v0 + m) - 0.3::DOUBLE * greatest(0, v1 - m * q1) + 0.1::DOUBLE * greatest(0, v2 - m * q2) - 0.2::DOUBLE))) - 1 / (1 + exp(-(0.8::DOUBLE * v0 - 0.3::DOUBLE * v1 + 0.1::DOUBLE * v2 - 0.2::DOUBLE)))), 8) + 0.0 AS mean_change
-    FROM (SELECT *, greatest(-v0, least(d * (v0 + v1 + v2), v1 + v2)) AS m, CASE WHEN v1 + v2 > 0 THEN v1 / (v1 + v2) ELSE 0.5 END AS q1, CASE WHEN v1 + v2 > 0 THEN v2 / (v1 + v2) ELSE 0.5 END AS q2
-      FROM ({V3}), (SELECT unnest([{", ".join(map(str, DELTAS))}])::DOUBLE AS d)) GROUP BY d"""
+    f"WITH v3 AS (SELECT *, v0 + v1 + v2 AS total FROM ({V3}), (SELECT unnest([{', '.join(map(str, DELTAS))}])::DOUBLE AS delta)), {STEPS} SELECT delta AS delta_share, round(avg({LOGIT.format('s')} - {LOGIT.format('v')}), 8) + 0.0 AS mean_change FROM s3 GROUP BY delta"
 )
 def sensitivity_grid(spark, sf_dir):
-    grid = R.sensitivity_grid(_shares(spark, sf_dir), ["v0", "v1", "v2"], DELTAS, 0, WEIGHTS, BIAS)
+    grid = R.sensitivity_grid(_shares(spark, sf_dir), ["v0", "v1", "v2"], DELTAS, WEIGHTS, BIAS)
     return grid.select("delta_share", (F.round("mean_change", 8) + 0.0).alias("mean_change"))
 
 
+PREDICTED = "SELECT event_id, event_id // 20 AS game_id, least(value, 100) / 100 AS p, CAST(event_type IN ('click', 'view') AS INT) AS y, (event_id % 100) / 100.0::DOUBLE AS s FROM events"
+
+
+def _predicted(spark, sf_dir):
+    y = F.col("event_type").isin("click", "view").cast("int")
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr("event_id div 20").alias("game_id"), (F.least("value", F.lit(100.0)) / 100).alias("p"), y.alias("y"), ((F.col("event_id") % 100) / 100.0).alias("s"))
+    return R.failures(rows, "p", "y", "s")
+
+
+@query(f"SELECT event_id, p < 0.3 OR p > 0.7 AS confident, p > 0.48 AND p < 0.52 AS near_even, s > 0.55 AND y = 0 AS dominant_loss FROM ({PREDICTED}) WHERE CAST(p >= 0.5 AS INT) <> y")
+def failure_cats(spark, sf_dir):
+    return _predicted(spark, sf_dir).select("event_id", "confident", "near_even", "dominant_loss")
+
+
 @query(
-    """SELECT event_id, CASE WHEN abs(p - 0.5) >= 0.2 THEN 'confident' WHEN s >= 0.55 AND NOT h THEN 'dominant_loss' WHEN abs(p - 0.5) <= 0.05 THEN 'near_even' END AS category
-    FROM (SELECT event_id, value / 100 AS p, event_type = 'click' AS h, (event_id % 100) / 100.0::DOUBLE AS s FROM events) WHERE (p >= 0.5) <> h"""
+    f"""WITH f AS (SELECT * FROM ({PREDICTED}) WHERE CAST(p >= 0.5 AS INT) <> y), h AS (SELECT * FROM f WHERE p < 0.3 OR p > 0.7 ORDER BY p, event_id LIMIT 1),
+    c AS (SELECT * FROM f WHERE p > 0.48 AND p < 0.52 AND game_id NOT IN (SELECT game_id FROM h) ORDER BY event_id LIMIT 1),
+    d AS (SELECT * FROM f WHERE s > 0.55 AND y = 0 AND game_id NOT IN (SELECT game_id FROM h UNION ALL SELECT game_id FROM c) ORDER BY event_id LIMIT 1)
+    SELECT 'High-Confidence Miss' AS category, event_id FROM h UNION ALL SELECT 'Close-Call Miss', event_id FROM c UNION ALL SELECT 'Possession-Dominant Loss', event_id FROM d"""
 )
-def failure_cats(spark, sf_dir):
-    p, h, s = F.col("value") / 100, F.col("event_type") == "click", (F.col("event_id") % 100) / 100.0
-    rows = table(spark, sf_dir, "events").where((p >= 0.5) != h)
-    return rows.select("event_id", R.failure_category(p, h, s).alias("category"))
+def failure_examples(spark, sf_dir):
+    return R.failure_examples(_predicted(spark, sf_dir), "p", "game_id", ["event_id"]).select("category", "event_id")

@@ -84,11 +84,10 @@ def calib_bins(spark, sf_dir):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber || CASE WHEN k > 1 THEN chr(CAST(95 + k AS INT)) ELSE '' END AS play_id
+    """SELECT l_orderkey, l_linenumber || CASE WHEN k = 1 THEN '' WHEN k <= 26 THEN chr(CAST(96 + k AS INT)) ELSE chr(CAST(96 + (k - 1) // 26 AS INT)) || chr(CAST(97 + (k - 1) % 26 AS INT)) END AS play_id
     FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS k FROM lineitem)"""
 )
 def dedupe_suffix(spark, sf_dir):
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    k = F.row_number().over(order)
-    suffix = F.when(k > 1, F.chr((95 + k).cast("long"))).otherwise("")
+    suffix = grouping.duplicate_suffix(F.row_number().over(order))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.col("l_linenumber").cast("string"), suffix).alias("play_id"))

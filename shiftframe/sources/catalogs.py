@@ -27,3 +27,27 @@ def missing_relations(spark: SparkSession, wanted: dict[str, list[str]]) -> list
 
 def ensure_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+
+
+def add_columns(spark: SparkSession, table: str, wanted: dict[str, str]) -> list[str]:
+    """Adds the columns (name to type) that the table lacks, and says which."""
+    own = spark.table(table).columns
+    new = {c: kind for c, kind in wanted.items() if c not in own}
+    if new:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(f'`{c}` {kind}' for c, kind in new.items())})")
+    return list(new)
+
+
+#: What ``validate`` returns.
+VALID, NO_TABLE, NO_COLUMN, NO_ROWS = 0, 2, 3, 4
+
+
+def validate(spark: SparkSession, wanted: dict[str, list[str]], smoke: dict[str, str] | None = None) -> tuple[int, str]:
+    """A code and what it is about: tables and columns that must be there, then tables that must have rows under a condition."""
+    for name, columns in wanted.items():
+        for found in missing_relations(spark, {name: columns}):
+            return (NO_TABLE if found == name else NO_COLUMN), found
+    for name, condition in (smoke or {}).items():
+        if spark.table(name).where(condition).isEmpty():
+            return NO_ROWS, name
+    return VALID, ""

@@ -2,22 +2,60 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, types
 from pyspark.sql import functions as F
 
 
-def csv_files(spark: SparkSession, pattern: str, schema: types.StructType) -> DataFrame:
-    """Rows of all CSV files that match, with source_file; a header that lacks a column of the schema fails."""
-    heads = spark.read.option("header", True).option("inferSchema", False).csv(pattern)
-    if missing := [f.name for f in schema if f.name not in heads.columns]:
-        raise ValueError(f"columns {missing} are missing in {pattern}")
-    return conform(heads.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)), types.StructType([*schema, types.StructField("source_file", types.StringType())]))
+def csv_headers(spark: SparkSession, pattern: str) -> dict[str, tuple[str, ...]]:
+    """The header of every CSV file that matches, by path; one line of each file is read, compressed ones too."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = at.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found = fs.globStatus(at) or []
+    paths = [f.getPath() for status in found for f in (fs.listStatus(status.getPath()) if status.isDirectory() else [status]) if not f.isDirectory() and not f.getPath().getName().startswith(("_", "."))]
+
+    def header(path) -> tuple[str, ...]:
+        codec, stream = codecs.getCodec(path), fs.open(path)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            line = reader.readLine() or ""
+        finally:
+            reader.close()
+        return tuple(next(csv.reader([line.removeprefix("﻿")]), []))
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip([p.toString() for p in paths], pool.map(header, paths), strict=True))
+
+
+def csv_files(spark: SparkSession, pattern: str, schema: types.StructType, skip: bool = False) -> DataFrame:
+    """Rows of all CSV files that match, with source_file, each file read by its own header.
+
+    A file whose header lacks a column of the schema fails, or is left out with ``skip``.
+    """
+    names, by_header = [f.name for f in schema], {}
+    for path, header in csv_headers(spark, pattern).items():
+        if missing := [n for n in names if n not in header]:
+            if not skip:
+                raise ValueError(f"columns {missing} are missing in {path}")
+            continue
+        by_header.setdefault(header, []).append(path)
+    full = types.StructType([*schema, types.StructField("source_file", types.StringType())])
+    out = None
+    for header, paths in by_header.items():
+        raw = types.StructType([types.StructField(n, types.StringType()) for n in header])
+        rows = spark.read.schema(raw).option("header", True).csv(paths)
+        part = conform(rows.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)), full)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], full) if out is None else out
 
 
 def snake_case(name: str, names: dict[str, str] | None = None) -> str:

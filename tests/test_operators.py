@@ -6,10 +6,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from shiftframe.functions import names
-from shiftframe.operators import archetypes, buckets, checks, features, grouping, lines, roster, transitions, upsert
-from shiftframe.plans import models, views
-from shiftframe.sources import catalogs, files
+from shiftframe.functions import names, parse
+from shiftframe.operators import buckets, checks, features, grouping, lines, ordering, roster, transitions, upsert
+from shiftframe.plans import views
+from shiftframe.sources import catalogs, files, paged
 from shiftframe.sources.tables import table
 from shiftframe.streaming import replay
 
@@ -17,16 +17,46 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_normal_names(spark):
-    rows = spark.createDataFrame([("O'Regan",), ("J.T. Brown",), ("Bérubé",), (None,), ("",), ("Jean-Luc  d'Or",)], "n string")
-    assert [r[0] for r in rows.select(names.normalize_name(F.col("n"))).collect()] == ["oregan", "jt brown", "berube", "", "", "jean luc dor"]
-    assert [r[0] for r in rows.select(names.normalize_name_strict(F.col("n"))).collect()] == ["o regan", "j t brown", "berube", "", "", "jean luc d or"]
+    rows = spark.createDataFrame([("O'Regan",), ("J.T. Brown",), ("Bérubé",), (None,), ("",), ("Jean-Luc  d'Or",), ("Erik Černák",), ("Ryan O’Reilly",), ("J. T. Miller",), ("Bo (X)Ray",), ("Eﬁ Ⅸa",)], "n string")
+    found = [(r[0], r[1], r[2]) for r in rows.select(names.normalize_name(F.col("n")), names.normalize_name_strict(F.col("n")), names.normalize_name_strict(F.col("n"), accents=False)).collect()]
+    assert [r[0] for r in found] == ["oregan", "jt brown", "berube", "", "", "jean luc dor", "erik cernak", "ryan oreilly", "jt miller", "bo x ray", "efi a"]
+    assert [r[1] for r in found] == ["oregan", "jt brown", "berube", "", "", "jean luc dor", "erik cernak", "ryan oreilly", "jt miller", "bo xray", "efi a"]
+    assert [r[2] for r in found][2:8] == ["brub", "", "", "jean luc dor", "erik ernk", "ryan oreilly"]
+
+
+def test_every_decomposable_latin_letter_folds(spark):
+    import unicodedata
+
+    letters = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha()]
+    plain = ["".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)).lower() for c in letters]
+    want = [p for p in plain if p.isascii()]
+    rows = spark.createDataFrame([(k, c) for k, (c, p) in enumerate(zip(letters, plain, strict=True)) if p.isascii()], "k int, c string")
+    assert [r.f for r in rows.select("k", names.fold_accents(F.col("c")).alias("f")).orderBy("k").collect()] == want
+
+
+def test_scores_aliases_and_variants(spark):
+    pairs = [("bob smith", "bill smith", 0), ("matt smith", "matthew smith", 88), ("jean luc foudy", "jeanluc foudy", 92), ("jt miller", "john miller", 85), ("matt x smith", "matt y smith", 90), ("", "smith", 0), ("a b", "a b", 100), ("smith", "smyth", 0)]
+    rows = spark.createDataFrame(pairs, "a string, b string, want int")
+    assert all(r.got == r.want for r in rows.withColumn("got", names.name_score(F.col("a"), F.col("b"))).collect())
+    people = spark.createDataFrame([("Theodor", "Blueger"), ("Theodor", "Smith"), ("Mats", "Zuccarello-Aasen")], "f string, l string")
+    first, last = names.with_aliases(F.col("f"), F.col("l"))
+    assert [tuple(r) for r in people.select(first, last).collect()] == [("teddy", "blueger"), ("Theodor", "Smith"), ("Mats", "zuccarello")]
+    rows = spark.createDataFrame([("alexander", "Alexander Steen"), ("pierre", "Pierre-Alexandre Parenteau"), ("bo", None)], "f string, n string")
+    found = [set(r[0]) for r in rows.select(names.first_name_variants(F.col("f"), F.col("n"))).collect()]
+    assert found == [{"alexander", "alex", "ale", "sasha"}, {"pierre", "pier", "pie", "pa"}, {"bo"}]
 
 
 def test_first_name_similarity_is_the_librarys(spark):
-    pairs = [("matt", "matthew"), ("jon", "john"), ("al", "alan"), ("", "bob")]
-    found = spark.createDataFrame(pairs, "a string, b string").select(names.first_name_similarity("a", "b")).collect()
-    want = [1.0 if min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)) else SequenceMatcher(None, a, b).ratio() for a, b in pairs]
-    assert [r[0] for r in found] == pytest.approx(want)
+    pairs = [("matt", "matthew"), ("jon", "john"), ("al", "alan"), ("", "bob"), ("", ""), ("alan", "al"), ("bo", "bo"), ("nick", "dominick")]
+    found = spark.createDataFrame(pairs, "a string, b string").select(names.first_name_similarity(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in found] == pytest.approx([1.0, SequenceMatcher(None, "jon", "john").ratio(), SequenceMatcher(None, "al", "alan").ratio(), 0.0, 0.0, 1.0, 1.0, SequenceMatcher(None, "nick", "dominick").ratio()])
+
+
+def test_parsed_fields(spark):
+    rows = spark.createDataFrame([('"$1,234"', "o'reilly  ryan", "/redirect/player/18?x"), (" $2.50 ", "JANIS..MOSER", "x/player/7/"), ("n/a", None, "/a/12#top"), ("-", "ole", "/player/x9")], "m string, n string, u string")
+    first, last = parse.split_name(F.col("n"))
+    found = [tuple(r) for r in rows.select(parse.money(F.col("m")), first, last, parse.title_case(F.col("n")), parse.url_id(F.col("u")), parse.path_id(F.col("u"))).collect()]
+    assert found == [(1234.0, "o'reilly", "ryan", "O'Reilly Ryan", None, 18), (2.5, "JANIS..MOSER", "", "Janis Moser", 7, 7), (None, None, None, "", None, 12), (None, "ole", "", "Ole", None, None)]
 
 
 def test_no_pair_across_a_gap(spark):
@@ -77,12 +107,64 @@ def test_swap_of_an_unknown_player(spark):
     assert sorted(r.player_id for r in roster.swapped(pool.where("player_id = 2"), pool, None, 1).collect()) == [1, 2]
 
 
-def test_share_shift_is_capped(spark):
-    rows = spark.createDataFrame([(0.9, 0.06, 0.04)], "a double, b double, c double")
-    v = [F.col(c) for c in "abc"]
-    up = rows.select(*roster.shift_share(v, v[0] + v[1] + v[2], 0, F.lit(0.5))).first()
-    down = rows.select(*roster.shift_share(v, v[0] + v[1] + v[2], 1, F.lit(-0.5), donor=2)).first()
-    assert tuple(up) == pytest.approx((1.0, 0.0, 0.0)) and tuple(down) == pytest.approx((0.9, 0.0, 0.1))
+def test_share_shift(spark):
+    rows = spark.createDataFrame([(0.2, 0.1, 0.3)], "a double, b double, c double")
+    v, total = [F.col(c) for c in "abc"], F.lit(0.6)
+    moved = lambda *args, **more: tuple(rows.select(*roster.shift_share(v, *args, **more)).first())
+    assert moved(total, 0, F.lit(0.1)) == pytest.approx((0.3, 0.1, 0.2))
+    assert moved(total, 0, F.lit(0.35)) == pytest.approx((0.55, 0.05, 0.0))  # the donor's stock, then the third's
+    assert moved(total, 0, F.lit(-0.5)) == pytest.approx((0.0, 0.1, 0.5))  # a loss goes wholly to the donor
+    assert moved(F.lit(1.2), 1, F.lit(0.0)) == pytest.approx((0.4, 0.2, 0.6))  # scaled to the total
+    assert moved(total, 2, F.lit(0.1), donor=2) == pytest.approx((0.1, 0.1, 0.4))  # a donor that is the target: the first other
+    assert moved(F.lit(0.0), 0, F.lit(0.1)) == (0.0, 0.0, 0.0)
+
+
+def test_a_model_row_counts_whole_or_not_at_all(spark):
+    players = spark.createDataFrame([(k, "F", 0, 10) for k in range(5)], "player_id long, pos_group string, cluster long, toi_es_sec long")
+    model = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 1.0, 2.0), (2, 0.5, None, 0.5), (3, float("nan"), 0.5, 0.5)], "player_id long, m0 double, m1 double, m2 double")
+    matrix = spark.createDataFrame([("F", 0, k, p) for k, p in enumerate((0.7, 0.2, 0.1))], "pos_group string, from_cluster long, to_cluster long, prob_mean double")
+    found = {r.player_id: (r.p0, r.p1, r.p2) for r in roster.next_role_probs(players, model, matrix).collect()}
+    assert found[1] == pytest.approx((0.25, 0.25, 0.5)) and all(found[k] == pytest.approx((0.7, 0.2, 0.1)) for k in (0, 2, 3, 4))
+    alone = roster.next_role_probs(players.withColumn("cluster", F.lit(2).cast("long")), model, matrix).where("player_id = 4").first()
+    assert (alone.p0, alone.p1, alone.p2) == pytest.approx((1 / 3,) * 3)
+
+
+def test_failures(spark):
+    rows = spark.createDataFrame([(1, 10, 0.9, 0, 0.6), (2, 10, 0.1, 1, 0.6), (3, 11, 0.49, 1, 0.4), (4, 12, 0.51, 0, 0.7), (5, 13, 0.7, 0, 0.2), (6, 14, 0.8, 1, 0.5)], "k long, game long, p double, y int, s double")
+    found = {r.k: (r.confident, r.near_even, r.dominant_loss) for r in roster.failures(rows, "p", "y", "s").collect()}
+    assert found == {1: (True, False, True), 2: (True, False, False), 3: (False, True, False), 4: (False, True, True), 5: (False, False, False)}
+    examples = [(r.category, r.k) for r in roster.failure_examples(roster.failures(rows, "p", "y", "s"), "p", "game", ["k"]).collect()]
+    assert examples == [("High-Confidence Miss", 2), ("Close-Call Miss", 3), ("Possession-Dominant Loss", 4)]
+
+
+def test_exact_quantiles_are_the_librarys(spark):
+    import numpy as np
+
+    values = np.round(np.random.default_rng(3).lognormal(0, 1, 3000), 2)
+    rows = spark.createDataFrame([(k % 3, float(v)) for k, v in enumerate(values)] + [(0, None)], "g long, v double")
+    points = [0.0, 0.013, 0.25, 0.5, 0.9, 1.0]
+    for r in ordering.quantile_edges(rows, "v", points, ["g"]).collect():
+        assert r.edges == pytest.approx(np.quantile(values[r.g :: 3], points).tolist())
+    sums = ordering.sums_before(rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n")), "v", ["n"]).collect()
+    assert all(r.before_n == (values < r.v).sum() for r in sums)
+
+
+def test_suffixes(spark):
+    rows = spark.range(1, 60).select(grouping.duplicate_suffix(F.col("id")).alias("s")).collect()
+    assert [rows[k].s for k in (0, 1, 2, 25, 26, 27)] == ["", "b", "c", "z", "aa", "ab"] and len({r.s for r in rows}) == 59
+
+
+def test_match_rate(spark):
+    a = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 1)], "x long, y long")
+    b = spark.createDataFrame([(1, 1), (1, 1), (1, 1), (3, 1), (None, 1)], "x long, y long")
+    assert tuple(checks.match_rate(a, b, ["x", "y"]).first()) == (4, 5, 6)
+    assert tuple(checks.match_rate(a.where("false"), b.where("false"), ["x", "y"]).first()) == (0, 0, 0)
+
+
+def test_line_matchup(spark):
+    rows = spark.createDataFrame([(1, 1, 5, 10, 5, 60), (1, 1, 5, 2, 1, 30), (1, 1, 6, 4, 8, 50), (1, 2, 5, 9, 9, 10)], "season long, game_id long, team_id long, cf long, ca long, toi long")
+    found = {r.team_id: (r.team_cf, r.opp_cf, r.team_toi, r.opp_toi, round(r.team_cf_share, 4)) for r in lines.line_matchup(rows).collect()}
+    assert found == {5: (12, 4, 90, 50, 0.6667), 6: (4, 12, 50, 90, 0.3333)}
 
 
 def test_compositions_sum_to_100(spark):
@@ -122,6 +204,17 @@ def test_files(spark, tmp_path):
     assert sorted((r.id, r.v, r.source_file) for r in rows.where("id is not null").collect()) == [(1, 1.5, "p1.csv"), (2, 1.5, "p2.csv")]
     with pytest.raises(ValueError):
         files.csv_files(spark, str(tmp_path / "p*.csv"), T.StructType([T.StructField("gone", T.LongType())]))
+    (tmp_path / "p3.csv").write_text("v,more,id\n2,z,20\n")  # columns in another order
+    assert sorted((r.id, r.v, r.source_file) for r in files.csv_files(spark, str(tmp_path / "p*.csv"), schema).where("id is not null").collect())[-1] == (20, 2.0, "p3.csv")
+    (tmp_path / "p4.csv").write_text("id\n5\n")
+    with pytest.raises(ValueError, match="p4.csv"):
+        files.csv_files(spark, str(tmp_path / "p*.csv"), schema)
+    assert files.csv_files(spark, str(tmp_path / "p*.csv"), schema, skip=True).where("id = 5").count() == 0
+    assert files.csv_files(spark, str(tmp_path / "none*.csv"), schema).count() == 0
+    files.write_csv(rows, str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["id", "v", "source_file"]
+    files.write_summary(rows.agg(F.count("*").alias("n")), str(tmp_path / "summary"))
+    assert spark.read.json(str(tmp_path / "summary")).first().n == 4
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("in/plays.csv", "id,v\n7,2\n")
         z.writestr("__MACOSX/plays.csv", "junk")
@@ -139,29 +232,46 @@ def test_catalog(spark):
     assert [o.error is None for o in found] == [True, True, False] and found[1].rows[0].n == 1
 
 
+@pytest.fixture
+def database(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE scratch LOCATION '{tmp_path}/db'")
+    yield "scratch"
+    spark.sql("DROP DATABASE scratch CASCADE")
+
+
+def test_tables(spark, database):
+    catalogs.ensure_database(spark, database)
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    upsert.create_as(rows, f"{database}.t", sort_by=["k"])
+    with pytest.raises(PySparkException):
+        upsert.create_as(rows, f"{database}.t")
+    upsert.create_as(rows.withColumn("s", F.lit(7)), f"{database}.t", drop=True, partition_by=["s"])
+    assert spark.table(f"{database}.t").count() == 2
+    upsert.truncate_append(spark.createDataFrame([("c", 9)], "v string, k int"), f"{database}.t")
+    assert [tuple(r) for r in spark.table(f"{database}.t").select("k", "v", "s").collect()] == [(9, "c", None)]
+    assert dict(spark.table(f"{database}.t").dtypes)["k"] == "bigint"
+    upsert.truncate_append(rows, f"{database}.new")
+    assert catalogs.add_columns(spark, f"{database}.new", {"k": "long", "more": "double"}) == ["more"]
+    assert catalogs.add_columns(spark, f"{database}.new", {"more": "double"}) == [] and spark.table(f"{database}.new").columns == ["k", "v", "more"]
+    assert catalogs.validate(spark, {f"{database}.new": ["k"]}, {f"{database}.new": "k = 1"}) == (catalogs.VALID, "")
+    assert catalogs.validate(spark, {f"{database}.new": ["k", "gone"]})[0] == catalogs.NO_COLUMN and catalogs.validate(spark, {f"{database}.none": []})[0] == catalogs.NO_TABLE
+    assert catalogs.validate(spark, {}, {f"{database}.new": "k = 5"}) == (catalogs.NO_ROWS, f"{database}.new")
+
+
+def test_paged_source(spark, tmp_path):
+    import json
+
+    for start in (0, 2, 4):
+        (tmp_path / f"{start}.json").write_text(json.dumps({"data": [{"id": k, "name": f"n{k}"} for k in range(start, min(start + 2, 5))]}))
+    spark.dataSource.register(paged.PagedJson)
+    pages = spark.read.format("paged_json").option("url", f"file://{tmp_path}/{{start}}.json").option("total", 5).option("length", 2).load()
+    assert pages.rdd.getNumPartitions() == 3
+    assert sorted((r.id, r.name) for r in paged.rows_of(pages, "data", "id long, name string").collect()) == [(k, f"n{k}") for k in range(5)]
+
+
 def test_stream_equals_batch(spark):
     path = f"{DATA}/events.parquet"
     live = replay.replayed(replay.window_counts(replay.event_stream(spark, path)))
     batch = replay.window_counts(table(spark, DATA, "events"))
     key = lambda df: sorted((str(r.window_start), r.event_type, r.n) for r in df.collect())
     assert key(live) == key(batch)
-
-
-def test_archetypes(spark):
-    players = views.player_seasons(spark, DATA).drop("cluster")
-    model, numbers = archetypes.kmeans(players, models.FEATURES, order_by="toi_per_game")
-    found = archetypes.assigned(model, numbers, players)
-    means = [r.m for r in found.groupBy("cluster").agg(F.avg("toi_per_game").alias("m")).orderBy("cluster").collect()]
-    assert means == sorted(means) and archetypes.centers(model, numbers, models.FEATURES, players).count() == 3
-
-
-def test_role_model_learns(spark):
-    rows = spark.createDataFrame([(20182019 + 10001 * (k % 3), k, float(k % 7), float(k % 7 // 3)) for k in range(300)], "season long, player_id long, x1 double, y double")
-    found = archetypes.expanding_probabilities(rows, ["x1"], "y", [20202021])
-    m = archetypes.class_metrics(found, "y").first()
-    assert m.accuracy > 0.9 > m.baseline and m.n == 100
-
-
-def test_fits_run(spark):
-    for name in ("cv_metrics", "goal_regression"):
-        assert getattr(models, name)(spark, DATA).count() >= 1
