@@ -57,7 +57,7 @@ def lengths(texts: list[str], path: str, batch_bytes: int, piece_chars: int) ->
         for piece in pieces(text, piece_chars):
             batch.append(piece)
             owners.append(k)
-            held += len(piece)
+            held += len(piece) if piece.isascii() else len(piece.encode("utf-8", "replace"))
             if held >= batch_bytes:
                 flush()
                 held = 0

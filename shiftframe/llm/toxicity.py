@@ -3,15 +3,20 @@
 A word's input is its own embedding (by hash) beside the embeddings of its
 character trigrams and beginnings (by hash), so that unseen words are read by their letters.
 Two gated recurrent layers read a window of words in both directions, attention
-weights the places, and a linear layer gives the window's logit. Every window of
-``WINDOW`` words, one each ``STRIDE``, is scored, the last one ending with the
-text; the text's score is that of its most toxic window. Training treats the
+weights the places, and a linear layer gives the window's logit. Overlapping windows of
+``WINDOW`` words, one each ``STRIDE``, are scored, the last one ending with the
+text, so that any passage of WINDOW - STRIDE words or fewer lies whole in one;
+the text's score is that of its most toxic window. Training treats the
 labels likewise: the gradient goes through the window of the highest logit.
 
-Labelled rows are drawn by a hash of their id, with bounded numbers for either
-label. A text without words (null, empty, signs only) scores 0. Without rows of
+Labelled ids are drawn by a hash, with bounded numbers for either label, and
+each gives one text (of several documents of one id, the first by hash). A text
+without words (null, empty, signs only) scores 0. Without rows of
 both labels every text scores 0. Repeated label rows count once, with the larger
-label; null labels are not learned from; other columns are ignored.
+label; null labels are not learned from; repeated documents score alike, each
+its own row; ties between windows change nothing; texts of any length are scored
+whole, and windows go through the network in blocks of bounded size; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import columns, small_batches, texts_of
 
-WORDS = re.compile(r"\w{1,24}")
-WINDOW, STRIDE = 64, 48
+WORDS = re.compile(r"\w+")
+WINDOW, STRIDE = 64, 32
 HIDDEN, WIDTH = 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
 BEGINNINGS = (4, 5, 6, 7)
@@ -252,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity sample")), F.lit(1 << 40)) / float(1 << 40)
     chance = F.when(F.col("label") > 0, positives / max(counts.get(True, 0), 1)).otherwise(negatives / max(counts.get(False, 0), 1))
     drawn = rows.where(draw < chance)  # about positives + negatives rows, so small enough to broadcast
-    found = columns(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(drawn), "id").select("id", "text", "label").collect()
+    found = columns(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(drawn), "id").groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     found = sorted(found, key=lambda r: r.id)
     return fit([r.text or "" for r in found], [int(r.label > 0) for r in found])
 
