@@ -1,24 +1,34 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Documents' tokens are summed by cell (source, language, topic); values without a
-target are one value, ``other``, so that the targets bound the number of cells.
-Raking then multiplies the cells' weights until the token shares of every
+Documents' tokens are summed by source, language and topic once, into a table of
+cells; shares, targets and factors all come from it. A dimension's targets name
+some values; all others are one value, ``other``. Raking then multiplies the cells' weights until the token shares of every
 source, language and topic are the targets'. A cell's factor, scaled so that the
 largest is 1, is the probability of keeping each of its documents; draws are by
 a hash of the id, so that they repeat.
 
+Targets that come from the documents' own shares (``alike``, ``tempered``) name
+the values of ``LEAST`` of all tokens or more: at most 1 / LEAST by arithmetic,
+whatever the number of sources.
+
 Targets are renormalised over the values that have tokens: what is absent
 cannot be weighted up. Null sources, languages and topics count as ``other``,
 as do values without a target; where the targets leave ``other`` nothing, it keeps
 its own share of the tokens and the targets divide the rest, so that no document
-is lost for its name. A target for ``other``, also of 0, is taken as it is;
-null and empty texts have no tokens and are drawn with their cell's
-probability; repeated rows are drawn alike; other columns are kept; an empty
-table gives an empty result.
+is lost for its name. A target for ``other``, also of 0, is taken as it is.
+Targets that ``ROUNDS`` rounds do not meet give a warning.
+
+Null and empty texts have no tokens and are drawn with their cell's
+probability; texts of any length are counted whole; repeated rows are drawn
+alike, and so are the documents of a cell, so that ties need no order. The
+added columns take the place of columns of their names; ``prefix`` names them
+apart. Other columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +36,7 @@ from .common import checkpointed
 
 OTHER = "other"
 ROUNDS, SETTLED = 50, 1e-6
+LEAST = 0.001
 
 Targets = dict[str, dict[str, float]]  # by dimension, the share of each value
 
@@ -47,8 +58,41 @@ def topic(text: Column) -> Column:
     )
 
 
+def cells_of(docs: DataFrame, dimensions: dict[str, Column], text_col: str = "text") -> DataFrame:
+    """(dimensions, n_tokens): the tokens of every combination of values."""
+    own = {d: c.cast("string").alias(d) for d, c in dimensions.items()}
+    rows = docs.select(*own.values(), tokens(F.col(f"`{text_col}`")).alias("__n"))
+    return checkpointed(rows.groupBy(*dimensions).agg(F.sum("__n").alias("n_tokens")))
+
+
+def shares(cells: DataFrame, dimension: str, least: float = LEAST) -> dict[str, float]:
+    """The token shares of the values that have ``least`` or more of all tokens."""
+    total = cells.agg(F.sum("n_tokens")).first()[0] or 0
+    sums = cells.where(F.col(dimension).isNotNull() & (F.col(dimension) != OTHER)).groupBy(dimension).agg(F.sum("n_tokens").alias("n"))
+    found = sums.where((F.col("n") >= least * total) & (F.col("n") > 0)).orderBy(dimension).collect()  # 1 / least rows at most
+    return {r[dimension]: r["n"] / total for r in found}
+
+
+def alike(cells: DataFrame, dimension: str, least: float = LEAST) -> dict[str, float]:
+    """Targets of one share each for the named values, which together keep theirs."""
+    found = shares(cells, dimension, least)
+    whole = sum(found.values())
+    return {v: whole / len(found) for v in found}
+
+
+def tempered(cells: DataFrame, power: float, least: float = LEAST) -> Targets:
+    """Targets that are the values' own token shares to a power, renormalised with the rest as one value; below 1 it lifts the small."""
+    out = {}
+    for d in (c for c in cells.columns if c != "n_tokens"):
+        own = shares(cells, d, least)
+        rest = max(0.0, 1 - sum(own.values()))
+        scale = (sum(s**power for s in own.values()) + rest**power) or 1.0
+        out[d] = {v: s**power / scale for v, s in own.items()}
+    return out
+
+
 def _folded(column: Column, values: dict[str, float]) -> Column:
-    return F.when(column.isin(list(values)), column).otherwise(OTHER)
+    return F.coalesce(F.when(column.isin(list(values)), column), F.lit(OTHER))
 
 
 def _factor(dimension: str, factors: dict[str, dict[str, float]]) -> Column:
@@ -65,9 +109,8 @@ def rake(cells: DataFrame, targets: Targets) -> dict[str, dict[str, float]]:
         weight = F.col("n_tokens").cast("double")
         for other in names:
             weight = weight * _factor(other, factors)
-        values = list(factors[d])
-        row = cells.agg(*(F.coalesce(F.sum(F.when(F.col(d) == v, weight)), F.lit(0.0)).alias(str(k)) for k, v in enumerate(values))).first()
-        return dict(zip(values, row, strict=True))
+        found = dict(cells.groupBy(d).agg(F.sum(weight)).collect())  # one row a target
+        return {v: found.get(v) or 0.0 for v in factors[d]}
 
     if not total:
         return factors
@@ -95,62 +138,46 @@ def rake(cells: DataFrame, targets: Targets) -> dict[str, dict[str, float]]:
                     factors[d][v] *= ratio
         if moved < SETTLED:
             break
+    else:
+        warnings.warn(f"after {ROUNDS} rounds shares still move by {moved:.2g} of themselves", stacklevel=2)
     return factors
 
 
-def mixed(docs: DataFrame, targets: Targets, dimensions: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """``docs`` with n_tokens, cell_weight (the raked factor), probability and sampled.
+def mixed(
+    docs: DataFrame, targets: Targets, dimensions: dict[str, Column], cells: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, prefix: str = ""
+) -> DataFrame:
+    """``docs`` with n_tokens, cell_weight (the raked factor), probability and sampled, their names after ``prefix``.
 
-    ``dimensions`` gives each target's column of ``docs``.
+    ``dimensions`` gives each target's column of ``docs``; ``cells`` is ``cells_of`` them, if it is known.
     """
-    own = {d: _folded(c, targets[d]) for d, c in dimensions.items()}
-    counted = docs.select(*(c.alias(d) for d, c in own.items()), tokens(F.col(f"`{text_col}`")).alias("n_tokens"))
-    cells = counted.groupBy(*own).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
-    cells = checkpointed(cells.coalesce(1))  # as many rows as the targets have combinations, at most
-    factors = rake(cells, targets)
+    cells = cells_of(docs, dimensions, text_col) if cells is None else cells
+    folded = cells.groupBy(*(_folded(F.col(d), targets[d]).alias(d) for d in dimensions)).agg(F.sum("n_tokens").alias("n_tokens"))
+    folded = checkpointed(folded.coalesce(1))  # as many rows as the targets have combinations, at most
+    factors = rake(folded, targets)
     weight = F.lit(1.0)
-    for d in own:
+    for d in dimensions:
         weight = weight * _factor(d, factors)
-    top = cells.where("n_tokens > 0").agg(F.max(weight)).first()[0] or 1.0
-    lookups = {f"__{d}": c for d, c in own.items()}
+    top = folded.where("n_tokens > 0").agg(F.max(weight)).first()[0] or 1.0
     weight = F.lit(1.0)
-    for d in own:
+    for d in dimensions:
         weight = weight * F.create_map(*(F.lit(x) for pair in factors[d].items() for x in pair))[F.col(f"__{d}")]
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(f"mix {seed}")), F.lit(1 << 40)) / float(1 << 40)
-    rows = docs.withColumns(lookups | {"__n": tokens(F.col(f"`{text_col}`"))})
-    added = {"n_tokens": F.col("__n"), "cell_weight": weight, "probability": F.least(weight / top, F.lit(1.0))}
-    out = rows.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (*added, "sampled")), *(c.alias(k) for k, c in added.items()))
-    return out.withColumn("sampled", draw < F.col("probability"))
-
-
-def tempered(docs: DataFrame, dimensions: dict[str, Column], power: float, values: Targets | None = None, text_col: str = "text") -> Targets:
-    """Targets that are the documents' own token shares to a power, renormalised; below 1 it lifts the small.
-
-    Only the values named in ``values`` (by default those of ``TARGETS``) are
-    targets, so that their number does not grow with the documents.
-    """
-    values = values or TARGETS
-    n = tokens(F.col(f"`{text_col}`"))
-    sums = [F.sum(F.when(c == v, n)).alias(f"{d} {v}") for d, c in dimensions.items() for v in values[d]]
-    row = docs.agg(F.sum(n).alias("all"), *sums).first()
-    out = {}
-    for d in dimensions:
-        shares = {v: (row[f"{d} {v}"] or 0) / (row["all"] or 1) for v in values[d]}
-        rest = max(0.0, 1 - sum(shares.values()))
-        scale = (sum(s**power for s in shares.values()) + rest**power) or 1.0
-        out[d] = {v: s**power / scale for v, s in shares.items()}
-    return out
+    rows = docs.withColumns({f"__{d}": _folded(c.cast("string"), targets[d]) for d, c in dimensions.items()} | {"__n": tokens(F.col(f"`{text_col}`")), "__draw": draw})
+    added = {"n_tokens": F.col("__n"), "cell_weight": F.col("__weight"), "probability": F.col("__p"), "sampled": F.col("__draw") < F.col("__p")}
+    rows = rows.withColumn("__weight", weight).withColumn("__p", F.least(F.col("__weight") / top, F.lit(1.0)))
+    names = {prefix + k: c for k, c in added.items()}
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), *(c.alias(k) for k, c in names.items()))
 
 
-#: Targets of the registered query and of the pipeline: sources alike, English at most three fifths, all topics near their usual share.
-SOURCES = {f"src{k}": 0.05 for k in range(20)}
+#: Targets of the registered query beside its sources: English at most three fifths, all topics near their usual share.
 TARGETS: Targets = {
-    "source": SOURCES,
     "lang": {"en": 0.58, "fr": 0.16, "de": 0.16, "es": 0.1},
     "topic": {"prose": 0.9, "contacts": 0.025, "figures": 0.025, "notices": 0.03, "tables": 0.02},
 }
 
 
 def corpus_mix(docs: DataFrame, targets: Targets = TARGETS) -> DataFrame:
-    """``mixed`` over the corpus' own source and lang and the texts' topics."""
-    return mixed(docs, targets, {"source": docs["source"], "lang": docs["lang"], "topic": topic(docs["text"])})
+    """``mixed`` over the corpus' own source and lang and the texts' topics; sources are weighed alike unless they have targets."""
+    dimensions = {"source": docs["source"], "lang": docs["lang"], "topic": topic(docs["text"])}
+    cells = cells_of(docs, dimensions)
+    return mixed(docs, {"source": alike(cells, "source")} | targets, dimensions, cells)
