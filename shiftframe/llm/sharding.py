@@ -2,18 +2,23 @@
 
 Rows are ordered by a key (hash of the text, then hash of the id), so that equal
 texts lie together. A size-weighted sample of keys gives quantile boundaries,
-which cut the order into ranges, some for each shard; ranges that come out
-overfull are sampled again and cut further, also inside a run of equal texts.
+which cut the order into ranges: some for each shard, and as many more as keep a
+range near ``RANGE_BYTES``, so that no task sorts more whatever the size of the
+corpus; ranges that come out overfull are sampled again and cut further, also
+inside a run of equal texts.
 Each range's bytes and rows are then counted exactly, so that every row's place
 in the whole order is known from its place in its range: shard s takes the
 rows whose middle byte lies in the s-th equal part of all bytes. A shard
-differs from the mean by about its largest row at most.
+differs from the mean by about its largest row at most. Sizes come before
+company: a run of equal texts that crosses a boundary goes on in the next shard.
 
 A null text has no bytes and the key of an empty one; sizes include a fixed
 ``overhead``, so that empty texts also weigh something; rows that agree in text
-and id are interchangeable and keep their own slots; all columns of the input
-are kept; an empty table gives an empty result. Only samples, range totals and
-shard starts come to the driver, all bounded by the number of shards.
+and id are interchangeable and keep their own slots; texts of any length are
+whole rows; size, shard and slot take the place of columns of these names, all
+others are kept; an empty table gives an empty result. Samples, range totals
+and shard starts come to the driver, some 24 bytes for each of ``SAMPLES_PER_RANGE``
+samples of a range: about 150 MB at 100 TB.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import checkpointed
 
-RANGES_PER_SHARD = 8
+RANGES_PER_SHARD, RANGE_BYTES = 8, 256 << 20
 SAMPLES_PER_RANGE = 16
 OVERFULL = 2.5
 ROUNDS = 6
@@ -41,15 +46,25 @@ class Splitters:
     h: np.ndarray
     i: np.ndarray
 
-    def range_of(self, h: Column, i: Column) -> Column:
-        bh, bi = self.h, self.i
+    def ranges(self, h: pd.Series, i: pd.Series) -> np.ndarray:
+        low, high = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        for k in np.nonzero(high > low)[0]:  # boundaries inside a run of equal texts
+            low[k] += np.searchsorted(self.i[low[k] : high[k]], i.iloc[k], "right")
+        return low
 
+    def range_of(self, h: Column, i: Column) -> Column:
         @F.pandas_udf("int")
         def find(h: pd.Series, i: pd.Series) -> pd.Series:
-            low, high = np.searchsorted(bh, h, "left"), np.searchsorted(bh, h, "right")
-            for k in np.nonzero(high > low)[0]:  # boundaries inside a run of equal texts
-                low[k] += np.searchsorted(bi[low[k] : high[k]], i.iloc[k], "right")
-            return pd.Series(low.astype(np.int32))
+            return pd.Series(self.ranges(h, i).astype(np.int32))
+
+        return find(h, i)
+
+    def looked_up(self, h: Column, i: Column, values: np.ndarray) -> Column:
+        """The range's value."""
+
+        @F.pandas_udf("double" if values.dtype.kind == "f" else "long")
+        def find(h: pd.Series, i: pd.Series) -> pd.Series:
+            return pd.Series(values[self.ranges(h, i)])
 
         return find(h, i)
 
@@ -58,8 +73,11 @@ def _sample(keys: DataFrame, rate: Column, seed: int) -> np.ndarray:
     """(h, i, weight) of a deterministic sample in which a row of size s is held with probability s * rate."""
     chance = F.least(F.col("size") * rate, F.lit(1.0))
     draw = F.pmod(F.xxhash64("h", "i", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    rows = keys.where(draw < chance).select("h", "i", (F.col("size") / chance).alias("w")).collect()
-    return np.array([tuple(r) for r in rows], [("h", "i8"), ("i", "i8"), ("w", "f8")])
+    found = keys.withColumn("chance", chance).where(draw < F.col("chance")).select("h", "i", (F.col("size") / F.col("chance")).alias("w")).toArrow()
+    out = np.zeros(found.num_rows, [("h", "i8"), ("i", "i8"), ("w", "f8")])
+    for c in out.dtype.names:
+        out[c] = found.column(c).to_numpy()
+    return out
 
 
 def _boundaries(sample: np.ndarray, parts: int) -> np.ndarray:
@@ -79,19 +97,12 @@ def _splitters(found: np.ndarray) -> Splitters:
 def _totals(keys: DataFrame, splitters: Splitters) -> pd.DataFrame:
     """Bytes and rows of each range; the number of ranges is bounded."""
     ranged = keys.groupBy(splitters.range_of(F.col("h"), F.col("i")).alias("r")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    found = pd.DataFrame([tuple(x) for x in ranged.collect()], columns=["r", "bytes", "rows"]).set_index("r")
+    found = ranged.toArrow().to_pandas().set_index("r")
     return found.reindex(range(len(splitters.h) + 1), fill_value=0).astype("int64")
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with size, shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    size = F.octet_length(text).cast("long") + overhead
-    key = {"h": F.xxhash64(text), "i": F.xxhash64(F.col(f"`{id_col}`"))}
-    keys = checkpointed(docs.select(key["h"].alias("h"), key["i"].alias("i"), size.alias("size")))
-    total = keys.agg(F.sum("size")).first()[0] or 0
-
-    parts = shards * RANGES_PER_SHARD
+def splitters_of(keys: DataFrame, parts: int, total: int) -> tuple[Splitters, pd.DataFrame]:
+    """Boundaries that cut the keys (h, i, size) into about ``parts`` ranges of even bytes, and the ranges' bytes and rows."""
     found = _boundaries(_sample(keys, F.lit(parts * SAMPLES_PER_RANGE / max(total, 1)), 0), parts)
     splitters = _splitters(found)
     counted = _totals(keys, splitters)
@@ -99,9 +110,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col:
         full = counted[(counted.bytes > OVERFULL * total / parts) & (counted.rows > 1)]
         if full.empty:
             break
-        inside = splitters.range_of(F.col("h"), F.col("i"))
-        rates = F.create_map(*(F.lit(x) for r, b in full.bytes.items() for x in (int(r), float(SAMPLES_PER_RANGE * np.ceil(b * parts / total) / b))))
-        again = _sample(keys.withColumn("r", inside).where(F.col("r").isin([int(r) for r in full.index])), rates[F.col("r")], seed)
+        rates = np.zeros(len(counted))
+        rates[full.index] = SAMPLES_PER_RANGE * np.ceil(full.bytes * parts / total) / full.bytes
+        again = _sample(keys, splitters.looked_up(F.col("h"), F.col("i"), rates), seed)
         new = _boundaries(again, int(sum(np.ceil(full.bytes * parts / total))) + 1)
         before = len(splitters.h)
         found = np.concatenate([found, new])
@@ -109,17 +120,28 @@ def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col:
         if len(splitters.h) == before:  # what is left are single keys
             break
         counted = _totals(keys, splitters)
+    return splitters, counted
 
-    bytes_before = (counted.bytes.cumsum() - counted.bytes).tolist()
-    rows_before = (counted["rows"].cumsum() - counted["rows"]).tolist()
+
+def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with size, shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    size = F.octet_length(text).cast("long") + overhead
+    key = {"h": F.xxhash64(text), "i": F.xxhash64(F.col(f"`{id_col}`"))}
+    keys = checkpointed(docs.select(key["h"].alias("h"), key["i"].alias("i"), size.alias("size")))
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    tasks = -(-total // RANGE_BYTES)
+    splitters, counted = splitters_of(keys, max(shards * RANGES_PER_SHARD, tasks), total)
+    before = (counted.cumsum() - counted).to_numpy()
+    spread = tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # more ranges than tasks would be
 
     def placed(rows: DataFrame) -> DataFrame:
-        """rows (with h, i, size) and their shard and place in the whole order."""
-        order = Window.partitionBy("__r").orderBy("__h", "__i", "__n")
+        """rows (with __h, __i, __n) and their shard and place in the whole order."""
+        own, order = (F.col("__h"), F.col("__i")), Window.partitionBy("__r").orderBy("__h", "__i", "__n")
         upto = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<long>")
-        rows = rows.withColumn("__r", splitters.range_of(F.col("__h"), F.col("__i")))
-        rows = rows.withColumn("__end", longs(bytes_before)[F.col("__r")] + upto).withColumn("__at", longs(rows_before)[F.col("__r")] + F.row_number().over(order) - 1)
+        rows = rows.withColumns({"__r": splitters.range_of(*own), "__b": splitters.looked_up(*own, before[:, 0]), "__k": splitters.looked_up(*own, before[:, 1])})
+        rows = rows.repartition(tasks, "__r") if spread else rows
+        rows = rows.withColumns({"__end": F.col("__b") + upto, "__at": F.col("__k") + F.row_number().over(order) - 1})
         middle = F.col("__end") - F.col("__n") / 2
         return rows.withColumn("__shard", F.least(F.floor(middle * shards / F.lit(float(max(total, 1)))), F.lit(shards - 1)).cast("int"))
 
