@@ -7,8 +7,9 @@ the expected piece counts are the next estimate. A text's log-likelihood is the
 sum over its words of the log of the forward sum; the language of the greatest
 posterior is predicted, and the posterior is the score.
 
-Words are runs of letters, lower-cased; those of more than ``WORD`` letters
-are scored in parts. Characters outside the vocabulary get the fixed
+Words are runs of letters, lower-cased, and begin with the vocabulary's word-start
+mark; all its pieces of letters, marked or not, take part, of whatever length. Words of more than ``WORD`` letters
+are scored in parts, of which the first has the mark. Characters outside the vocabulary get the fixed
 probability ``UNKNOWN``. The whole text is always scored.
 
 A null text, or one without letters, is ``und`` with score 0; so is every text
@@ -23,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import columns, small_batches, texts_of
 
 WORD = 24
-PIECE = 8
+START = "▁"  # the vocabulary's mark of a word's beginning
 UNKNOWN = 1e-9
-LETTERS = re.compile(rf"[^\W\d_]{{1,{WORD}}}")
+LETTERS = re.compile(r"[^\W\d_]+")
 SAMPLE_CHARS = 300_000
 STEPS = 4
 CACHE = 250_000
@@ -47,12 +49,22 @@ def words_of(text: str) -> list[str]:
 
 
 def vocabulary(path: str) -> list[str]:
-    """The pieces of a sentencepiece file of up to ``PIECE`` letters, without word-start marks."""
+    """The pieces of letters of a sentencepiece file, lower-cased, with their word-start marks; the mark alone is one."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = (model.id_to_piece(k).removeprefix("▁").lower() for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
-    return sorted({n for n in names if 0 < len(n) <= PIECE and n.isalpha()})
+    names = (model.id_to_piece(k).lower() for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
+    return sorted({n for n in names if n == START or n.removeprefix(START).isalpha()})
+
+
+def parts(word: str) -> list[str]:
+    """A word as it is scored: its beginning marked, in parts of at most ``WORD`` letters."""
+    return [START + word[:WORD], *(word[k : k + WORD] for k in range(WORD, len(word), WORD))]
+
+
+def with_prefixes(piece_id: dict[str, int]) -> dict[str, int]:
+    """``piece_id`` and, as -1, all beginnings of pieces that are none."""
+    return {p[:n]: -1 for p in piece_id for n in range(1, len(p))} | piece_id
 
 
 @dataclass
@@ -64,22 +76,25 @@ class Lattice:
     steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # by end, from 1
 
     @staticmethod
-    def of(words: list[str], piece_id: dict[str, int]) -> Lattice:
+    def of(words: list[str], piece_id: dict[str, int], prefixes: dict[str, int] | None = None) -> Lattice:
+        """The lattice of words, or parts, as they are; ``prefixes`` is ``with_prefixes`` of the pieces, if it is known."""
         longest = max(map(len, words), default=0)
         found: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(longest + 1)]
-        get, unknown = piece_id.get, len(piece_id)
+        get, unknown = (with_prefixes(piece_id) if prefixes is None else prefixes).get, len(piece_id)
         for k, w in enumerate(words):
-            for end in range(1, len(w) + 1):
-                owners, starts, pieces = found[end]
-                for start in range(max(0, end - PIECE), end):
-                    p = get(w[start:end])
-                    if p is None:
-                        if start < end - 1:
-                            continue
-                        p = unknown
-                    owners.append(k)
-                    starts.append(start)
-                    pieces.append(p)
+            for start in range(len(w)):
+                for end in range(start + 1, len(w) + 1):
+                    p = get(w[start:end], -2)
+                    if p < 0 and end == start + 1:
+                        found[end][0].append(k)
+                        found[end][1].append(start)
+                        found[end][2].append(unknown)
+                    elif p >= 0:
+                        found[end][0].append(k)
+                        found[end][1].append(start)
+                        found[end][2].append(p)
+                    if p == -2:  # no piece begins so
+                        break
         return Lattice(len(words), np.array([len(w) for w in words], int), [tuple(np.array(x, np.int64) for x in f) for f in found])
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
@@ -114,10 +129,20 @@ class Model:
     piece_id: dict[str, int]
     prob: np.ndarray  # (language, piece), the last piece being the unknown one
 
+    @cached_property
+    def prefixes(self) -> dict[str, int]:
+        return with_prefixes(self.piece_id)
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """(word, language) log-likelihoods."""
-        lattice = Lattice.of(words, self.piece_id)
-        return np.log(np.stack([lattice.likelihood(p) for p in self.prob], 1))
+        owned = [(k, p) for k, w in enumerate(words) for p in parts(w)]
+        lattice = Lattice.of([p for _, p in owned], self.piece_id, self.prefixes)
+        scores = np.log(np.stack([lattice.likelihood(p) for p in self.prob], 1))
+        if len(owned) == len(words):
+            return scores
+        out = np.zeros((len(words), len(self.languages)))
+        np.add.at(out, [k for k, _ in owned], scores)
+        return out
 
 
 def in_fold(id_col: Column, folds: int, fold: int) -> Column:
@@ -140,13 +165,18 @@ def train(labelled: DataFrame, vocabulary_path: str, lang_col: str = "lang", tex
     chance = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample_chars / sizes[k][0]))))
     draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
     drawn = rows.where(draw < chance[F.col("lang")])
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{WORD}}}"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     counted = drawn.select("lang", words.alias("w")).groupBy("lang", "w").count().orderBy("lang", "w").collect()
 
     piece_id, prob = {p: k for k, p in enumerate(pieces)}, []
+    prefixes = with_prefixes(piece_id)
     for lang in languages:
-        times = Counter({w: n for g, w, n in counted if g == lang})
-        lattice = Lattice.of(list(times), piece_id)
+        times = Counter()
+        for g, w, n in counted:
+            if g == lang:
+                for p in parts(w):
+                    times[p] += n
+        lattice = Lattice.of(list(times), piece_id, prefixes)
         p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
         p[-1] = UNKNOWN
         for _ in range(STEPS):
