@@ -46,16 +46,16 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data, span_text
 
     found = span_text(personal_data(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "terms")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_generalised", "n_removed", "sanitised_sha256")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .secret_scan import assignment_labels, candidates, dictionary, judged
+    from .secret_scan import candidates, dictionary, issued_labels, judged
 
     found = candidates(table(spark, sf_dir, "documents"), dictionary(public_tokenizers.path("piece_bpe_32k.model")), path_col="source")
-    judgement = judged(found, assignment_labels(found))
+    judgement = judged(found, issued_labels(F.col("value")))
     return judgement.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "secret")
 
 

@@ -1,14 +1,18 @@
 """Secret scans whose false findings a random forest removes.
 
-Candidates are unbroken runs of key-like characters, whole texts through. The
+Candidates are values of six or more characters that are assigned to a name with
+a key-like word in it (in quotes or not), and unbroken runs of ``RUN`` or more
+key characters, dots between them included, whole texts through. The
 forest judges a candidate by its length, the transitions between its characters
 (changes of class, and how usual its letter pairs are in the dictionary), how
 much of it dictionary words cover, the path the text came from, and the words
-beside it. It is trained from labelled findings, of which about ``SAMPLE`` for
-either label are drawn by hash.
+and signs beside it. It is trained from labelled findings, of which at most about ``SAMPLE`` for
+either label are drawn by hash of row and place; the draw alone is collected, and
+scores come from a model of fixed size.
 
-Null and empty texts give no candidates; repeated rows give theirs each; a null
-path is an empty one; other columns are ignored; an empty table gives an empty
+Null and empty texts give no candidates; repeated rows give theirs each, and
+equal candidates in equal surroundings score alike; a null
+path is an empty one; texts and candidates of any length are taken whole; other columns are ignored; an empty table gives an empty
 result. Without findings of both labels nothing is removed: every candidate
 keeps the score 1.
 """
@@ -28,9 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, columns, small_batches, texts_of
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+RUN = 16
+KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer")
+ASSIGNED = re.compile(
+    rf"(?i:{'|'.join(KEYWORDS)})[A-Za-z0-9_.-]{{0,40}}[\"']?[ \t]{{0,8}}(?:=>|:=|[=:])[ \t]{{0,8}}(?:\"(?P<double>[^\"\s]{{6,}})\"|'(?P<single>[^'\s]{{6,}})'|(?P<bare>[^\s\"',;]{{6,}}))"
+)
+RUNS = re.compile(rf"(?=[A-Za-z0-9+/_.-]{{{RUN}}})[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={{0,2}}")
 WORD = re.compile(r"[^\W\d_]+")
-KEYWORDS = ("token", "secret", "password", "passwd", "key", "api", "auth", "credential", "bearer")
 SAMPLE, TREES, DEPTH = 2000, 20, 6
 FEATURES = ("length", "changes", "digits", "upper", "distinct", "entropy", "pairs", "coverage", "quoted", "assigned", "keyword", "before", "after", "path_depth", "path_kind")
 
@@ -93,6 +101,20 @@ def features(text: str, start: int, end: int, path: str, known: Dictionary) -> l
     ]
 
 
+def found_in(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each candidate, in order; a run that overlaps an assigned value is that value's."""
+    own = [m.span(m.lastgroup) for m in ASSIGNED.finditer(text)]
+    out, k = [], 0
+    for m in RUNS.finditer(text):
+        start, end = m.span()
+        while k < len(own) and own[k][1] <= start:
+            out.append(own[k])
+            k += 1
+        if end - start >= RUN and not (k < len(own) and own[k][0] < end):
+            out.append((start, end))
+    return out + own[k:]
+
+
 def candidates(docs: DataFrame, known: Dictionary, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """(id, start, end, value, features) of every candidate."""
     small_batches(docs.sparkSession)
@@ -103,7 +125,7 @@ def candidates(docs: DataFrame, known: Dictionary, id_col: str = "doc_id", text_
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             paths = b.column("__path").to_pylist()
-            found = [(k, m.start(), m.end(), m[0], features(t, m.start(), m.end(), paths[k], shared.value)) for k, t in enumerate(texts_of(b, "__text")) for m in CANDIDATE.finditer(t)]
+            found = [(k, s, e, t[s:e], features(t, s, e, paths[k], shared.value)) for k, t in enumerate(texts_of(b, "__text")) for s, e in found_in(t)]
             at, start, end, value, x = zip(*found, strict=True) if found else [()] * 5
             arrays = [b.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value, pa.string()), pa.array(x, pa.list_(pa.float64()))]
             yield pa.record_batch(arrays, [id_col, "start", "end", "value", "features"])
@@ -113,12 +135,12 @@ def candidates(docs: DataFrame, known: Dictionary, id_col: str = "doc_id", text_
 
 def dictionary(path: str) -> Dictionary:
     """The letter pieces of a public sentencepiece vocabulary, as ordinary words."""
-    from .language_id import vocabulary
+    from .language_id import START, vocabulary
 
-    return Dictionary.of(vocabulary(path))
+    return Dictionary.of(sorted({w for p in vocabulary(path) if (w := p.removeprefix(START))}))
 
 
-def judged(found: DataFrame, label: Column, seed: int = 7) -> DataFrame:
+def judged(found: DataFrame, label: Column, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
     """``found`` with score and secret: a forest trained where ``label`` (1, 0) is not null."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -127,7 +149,7 @@ def judged(found: DataFrame, label: Column, seed: int = 7) -> DataFrame:
     counts = {r["__label"]: r["count"] for r in found.where("__label is not null").groupBy("__label").count().collect()}
     if len(counts) < 2:
         return found.drop("__label").withColumns({"score": F.lit(1.0), "secret": F.lit(True)})
-    draw = F.pmod(F.xxhash64("value", "start", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64(id_col, "value", "start", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     chance = F.when(F.col("__label") == 1, SAMPLE / counts[1.0]).otherwise(SAMPLE / counts[0.0])
     drawn = checkpointed(found.where(F.col("__label").isNotNull() & (draw < chance)).select(F.col("__label").alias("label"), array_to_vector("features").alias("x")).coalesce(4))
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, probabilityCol="p", rawPredictionCol="raw", predictionCol="hit").fit(drawn)
@@ -136,8 +158,15 @@ def judged(found: DataFrame, label: Column, seed: int = 7) -> DataFrame:
     return scored.withColumn("score", score).withColumn("secret", F.col("score") >= 0.5).drop("x", "p", "raw", "hit", "__label")
 
 
-def assignment_labels(found: DataFrame) -> Column:
-    """Labels for findings when no reviewed ones exist: a quoted value assigned to a key-like name
-    is a secret; words of letters alone, and numbers, are not; the rest is unlabelled."""
-    quoted, assigned, keyword = (F.col("features")[FEATURES.index(n)] == 1 for n in ("quoted", "assigned", "keyword"))
-    return F.when(quoted & assigned & keyword, 1).when(F.col("value").rlike("^([A-Za-z]+|[0-9_/+-]+)$"), 0)
+# Forms in which keys are issued. None of them is a feature of the forest.
+ISSUED = (
+    r"[0-9a-f]{32}", r"[0-9a-f]{40}", r"[0-9a-f]{64}", r"(AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36}", r"sk_live_[0-9A-Za-z]{24,}", r"AIza[0-9A-Za-z_-]{35}",
+    r"xox[abprs]-[0-9A-Za-z-]{10,}", r"eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+",
+)
+
+
+def issued_labels(value: Column) -> Column:
+    """Labels by a finding's own form, where no reviewed ones exist: a value in the form of an issued key, with letters and
+    digits, is a secret; words of letters alone, and numbers, are not; the rest is unlabelled and left to the forest."""
+    key = value.rlike("^(" + "|".join(ISSUED) + ")$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return F.when(key, 1).when(value.rlike("^([A-Za-z]+|[0-9_/+.-]+)$"), 0)

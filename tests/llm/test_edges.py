@@ -37,7 +37,7 @@ OPERATORS = {
     "contaminated": lambda s, d: decontamination.contaminated(d, benchmark(s)),
     "toxicity": lambda s, d: toxicity.toxicity(d, None),
     "personal_data": lambda s, d: pii.personal_data(d),
-    "secrets": lambda s, d: (lambda c: secret_scan.judged(c, secret_scan.assignment_labels(c)))(secret_scan.candidates(d, secret_scan.Dictionary.of(["the", "quick"]), path_col="source")),
+    "secrets": lambda s, d: (lambda c: secret_scan.judged(c, secret_scan.issued_labels(F.col("value"))))(secret_scan.candidates(d, secret_scan.Dictionary.of(["the", "quick"]), path_col="source")),
     "simhash": lambda s, d: simhash.simhash_components(d),
     "tokens": lambda s, d: token_counts.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")),
     "mixed": lambda s, d: mixing.corpus_mix(d),
