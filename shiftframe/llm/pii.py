@@ -15,9 +15,10 @@ e-mail addresses (the only patterns with letters); near an entity are the six
 terms before and the six after it, however far. Terms, entities and surroundings
 are counted by 64-bit hashes.
 
-All counts are taken over all documents. Only a bitmap of fixed size, of hashes
-of candidate terms, is broadcast: it spares counting other words, and the exact
-join after it drops words that merely share a bit.
+All counts are taken over all documents. Only tables of ``BITS`` hash remainders
+at most are broadcast, of candidate terms and of texts that hold entities: they
+spare counting other words and shuffling other texts, and the exact
+joins after them drop what merely shares a remainder.
 
 A null text is an empty one, without spans; repeated rows each get a row and
 count as documents; a term that reveals several entities of a text has the
@@ -219,8 +220,11 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -
     return words.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
-def texts_by_hash(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
+def texts_of_hashes(docs: DataFrame, hashes: DataFrame, text_col: str) -> DataFrame:
+    """(hash, text) of the texts whose hash is in ``hashes`` (hash), and perhaps of a few more: texts are not shuffled for it."""
+    bit = F.pmod("hash", F.lit(BITS)).cast("int").alias("bit")
+    rows = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
+    return rows.withColumn("bit", bit).join(F.broadcast(hashes.select(bit).distinct()), "bit", "left_semi").drop("bit")  # BITS rows at most
 
 
 def whole_terms(docs: DataFrame, hashes: DataFrame, text_col: str = "text") -> DataFrame:
@@ -240,8 +244,8 @@ def whole_terms(docs: DataFrame, hashes: DataFrame, text_col: str = "text") -> D
             longs = pa.list_(pa.int64())
             yield pa.record_batch({"hash": b.column("hash"), "terms": pa.array(terms, longs), "contexts": pa.array(contexts, longs)})
 
-    rows = texts_by_hash(docs, text_col).join(hashes.distinct(), "hash", "left_semi")
-    return rows.mapInArrow(find, "hash long, terms array<long>, contexts array<long>").dropDuplicates(["hash"])
+    found = texts_of_hashes(docs, hashes, text_col).mapInArrow(find, "hash long, terms array<long>, contexts array<long>")
+    return found.dropDuplicates(["hash"]).join(hashes.distinct(), "hash", "left_semi")
 
 
 def term_spans(docs: DataFrame, wanted: DataFrame, remove: float = REMOVE, text_col: str = "text") -> DataFrame:
@@ -261,7 +265,7 @@ def term_spans(docs: DataFrame, wanted: DataFrame, remove: float = REMOVE, text_
                 sha.append(_sha(replaced(text, [*base_spans(text), *(t[:3] for t in own)])))
             yield pa.record_batch({"hash": b.column("hash"), "terms": pa.array(found, kind), "sanitised_sha256": pa.array(sha, pa.string())})
 
-    rows = texts_by_hash(docs, text_col).join(listed, "hash")
+    rows = texts_of_hashes(docs, wanted, text_col).join(listed, "hash")
     schema = "hash long, terms array<struct<kind: string, start: int, end: int, degree: double>>, sanitised_sha256 string"
     return rows.mapInArrow(find, schema).dropDuplicates(["hash"])
 
