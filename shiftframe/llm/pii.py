@@ -302,7 +302,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with entities and terms replaced, as ``sanitised`` gives it.
     """
     base = checkpointed(marked(docs, id_col, text_col))
-    terms = term_spans(docs, disclosures(docs, base, text_col, generalise, contexts), remove, text_col)
+    wanted = checkpointed(disclosures(docs, base, text_col, generalise, contexts))
+    terms = term_spans(docs, wanted, remove, text_col)
     kept = [c for c in base.columns if c not in ("near", "held", "plain_sha256")]
     return base.drop("near", "held").join(terms, "hash", "left").select(*kept, "terms", F.coalesce("sanitised_sha256", "plain_sha256").alias("sanitised_sha256"))
 

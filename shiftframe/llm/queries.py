@@ -92,9 +92,67 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# Parts of the operators that SQL can say, with their SQL.
+
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+MEASURES = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS k, w FROM t), windows AS (SELECT doc_id, k, w[k] AS a, w[k + 1] AS b, w[k + 2] AS c FROM places),
+twice AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m"""
+
+
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+DIGIT = f"CAST({DIGITS}[length({DIGITS}) - k + 1] AS INT)"
+LUHN = f"list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN {DIGIT} WHEN {DIGIT} > 4 THEN 2 * {DIGIT} - 9 ELSE 2 * {DIGIT} END)) % 10 = 0"
+PATTERNS = f"""SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+CAST(len(list_filter(regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT), 256) > 255)) = 0)) AS BIGINT) AS n_ip,
+CAST(len(list_filter(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN})) AS BIGINT) AS n_card,
+CAST(len(list_filter(regexp_extract_all(t, '\\+[0-9][ ().0-9-]+[0-9]'), lambda x: length({DIGITS}) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+CELLS = f"""SELECT source, lang, CASE WHEN contains(text, ' | ') THEN 'tables' WHEN contains(text, '@') THEN 'contacts' WHEN regexp_matches(text, '[0-9]{{9}}') THEN 'figures'
+WHEN regexp_matches(text, '(?i)licen[cs]e|copyright') THEN 'notices' ELSE 'prose' END AS topic, CAST(sum(len({WORDS})) AS BIGINT) AS n_tokens FROM (SELECT source, lang, coalesce(text, '') AS text FROM documents) GROUP BY ALL"""
+
+
+def mix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import cells_of, topic
+
+    docs = table(spark, sf_dir, "documents")
+    return cells_of(docs, {"source": docs["source"], "lang": docs["lang"], "topic": topic(docs["text"])})
+
+
+BALANCE = "SELECT count(*) AS n_docs, CAST(sum(strlen(coalesce(text, '')) + 16) AS BIGINT) AS bytes, CAST(40 AS BIGINT) AS n_shards, true AS even, true AS gapless FROM documents"
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law promises: sizes differ by the largest row at most, slots have no gaps."""
+    found = op10_sharding(spark, sf_dir)
+    by_shard = found.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("slots"))
+    even = F.max("bytes") - F.min("bytes") <= 2 * F.max("largest")
+    gapless = F.bool_and((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n")))
+    return by_shard.agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("bytes"), F.count("*").alias("n_shards"), even.alias("even"), gapless.alias("gapless"))
+
+
+PARTS = {quality_measures: MEASURES, pattern_counts: PATTERNS, mix_cells: CELLS, shard_balance: BALANCE}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op5_secret_scan, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding)}
+    found = (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op5_secret_scan, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding)
+    return {f.__name__: f for f in (*found, *PARTS)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: sql for f, sql in PARTS.items()}

@@ -102,3 +102,39 @@ def test_shards(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert ids(corpus_pipeline.run(spark, DATA).collect()) == ids(stages["sharding"])
+
+
+def odd_folder(spark, folder, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, sampled string, n_tokens string, `odd name` int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns that clash with the stages' own."""
+    plain = "the quick brown fox jumps over the lazy dog and runs away"
+    texts = [None, "", " \n", "²³", plain, plain, plain + " again", "the cat " * 30_000, "x" * 30_000, "alpha beta gamma delta epsilon zeta eta theta", "ein hund und eine katze gehen nach hause", None]
+    rows = [(k, t, "en" if k % 3 else None, None if k % 4 == 0 else f"s{k % 2}", 1, "big", "yes", "many", 7) for k, t in enumerate(texts)]
+    rows += [rows[4], (None, plain + " tonight with many others", "en", "s0", 1, "big", "yes", "many", 7)]
+    found = corpus_pipeline.run(spark, odd_folder(spark, tmp_path, rows))
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "sampled", "n_tokens", "odd name", "size", "shard", "slot"]
+    kept = found.collect()
+    assert ids(kept) <= {r[0] for r in rows} and {r.text for r in kept} <= {r[1] for r in rows}
+    assert kept and not {0, 1, 2, 3, 5, 9, 11} & ids(kept) and {r.sampled for r in kept} == {"yes"}
+
+
+def test_an_empty_table_gives_an_empty_result(spark, tmp_path):
+    assert corpus_pipeline.run(spark, odd_folder(spark, tmp_path, [])).count() == 0
+
+
+def test_earlier_stages_and_checkpoints_are_deleted(spark, tmp_path):
+    import os
+
+    from shiftframe.llm import common
+
+    with common.scratch(spark):
+        df = common.checkpointed(spark.range(10))
+        path = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+        assert df.count() == 10 and os.path.exists(path)
+    assert not os.path.exists(path)
