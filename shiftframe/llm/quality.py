@@ -13,7 +13,9 @@ The estimation runs over distinct vote patterns with their counts: at most
 other than the six ASCII white spaces.
 
 Null and empty texts have no words and zero measures, and get votes like
-others; repeated rows count each; other columns are ignored; an empty table
+others; repeated rows count each; texts of the same votes tie, with one
+posterior, and the threshold itself counts as good; texts of any length are
+measured whole, in arrays of their words; other columns are ignored; an empty table
 gives an empty result.
 """
 

@@ -13,7 +13,10 @@ survive each one; as a filter over bucket mates they leave few.
 A bucket sends out a spanning forest of its links, never its pairs. Buckets of
 more than ``CHUNK`` members are dealt out as pairs of chunks.
 
-Equal fingerprints meet first, as one; copies cost no more than a row. A text
+Equal fingerprints meet first, as one; copies cost no more than a row, and of
+equal distances none is preferred, as every link counts. Texts of any length are
+read whole, their shingles in blocks. A bit that exactly half of the shingles
+have is 0. A text
 without words (null, empty, white space) has the fingerprint zero and links
 like any other; repeated rows each get a row; other columns are ignored; an
 empty table gives an empty result.

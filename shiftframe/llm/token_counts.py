@@ -6,8 +6,9 @@ made only before a single space between two letters or digits. The byte-level
 pre-tokenizer always starts a word at such a space, and no special token holds
 one, so that the pieces' lengths add up to the whole text's.
 
-Nulls count as empty texts, empty texts have no token, repeated rows are
-counted each, and other columns of the input are ignored.
+Nulls count as empty texts, empty texts have no token, texts of any length are
+counted whole, repeated rows each; there are no ties to settle; other columns of
+the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
