@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftframe.operators import intervals as I
+from shiftframe.operators import buckets, totals
 from shiftframe.operators import possession as P
 
 SHIFT = "game_id long, player_id long, team_id long, position string, shift_start long, shift_end long"
@@ -131,3 +132,32 @@ def test_invariants(spark):
     assert rows.where("toi_es_sec > toi_total_sec OR toi_es_sec < 0").count() == 0
     assert rows.groupBy(*P.KEYS).count().where("count > 1").count() == 0
     assert rows.agg(F.sum("cf")).first()[0] > 0
+
+
+def test_attempts_of_a_player_with_two_teams(spark):
+    """By default the team of the shift gets them; by the stats policy every row of the player does."""
+    own = game(spark, [*five_a_side((100, 100)), (9, 0, 0, 10), (9, 1, 10, 100)]).where("player_id <> 4 and player_id <> 14")
+    shot = spark.createDataFrame([(1, 1, 50, "Shot", 1, 0)], PLAY)
+    count = lambda keys: sorted((r.player_id, r.cf) for r in P.attempts_for_and_against(shot, own, True, keys).where("player_id = 9").collect())
+    assert count(P.KEYS) == count(P.KEYS[:2]) == [(9, 1)]
+    rows = lambda by_team: {r.team_id: r.cf for r in P.player_game_stats(own, shot, P.PossessionPolicy(closed=True, merge=False, by_team=by_team)).where("player_id = 9").collect()}
+    by_team, by_player = rows(True), rows(False)
+    assert set(by_team) == {0, 1} and by_team[0] == 0 and by_player[0] == by_player[1] == by_team[1]
+
+
+def test_totals_with_and_without_goals(spark):
+    plays = spark.createDataFrame([(1, 1, 5, e, 0, 1) for e in ("Shot", "Goal", "Missed Shot", "Hit")], PLAY)
+    assert {r.team_id: (r.cf, r.ca) for r in totals.season_attempts(plays).collect()} == {0: (3, 0), 1: (0, 3)}
+    assert {r.team_id: (r.cf, r.ca) for r in totals.season_attempts(plays, goals=False).collect()} == {0: (2, 0), 1: (0, 2)}
+
+
+def test_a_game_for_two_teams_counts_twice(spark):
+    rows = spark.createDataFrame([(1, 7, 5, 9, 1, 1, 60), (1, 7, 6, 9, 1, 1, 30), (1, 8, 5, 9, 1, 1, 60)], "season long, game_id long, team_id long, player_id long, cf long, ca long, toi_es_sec long")
+    found = totals.aggregated_corsi(rows).first()
+    assert (found.game_count, found.multi_team, found.team_id) == (3, True, 5)
+
+
+def test_role_shares_without_the_unknown_sum_to_less(spark):
+    rows = spark.createDataFrame([(1, "F0", 50), (1, "D1", 30), (1, "UNK", 20)], "season long, cell string, toi long")
+    shares = rows.withColumn("share", buckets.share_over(F.col("toi"), ["season"])).groupBy("season").pivot("cell", ["F0", "D1"]).agg(F.sum("share")).first()
+    assert shares.F0 + shares.D1 == pytest.approx(0.8)
