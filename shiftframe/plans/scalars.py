@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftframe.functions import clock, names, parse, seasons
+from shiftframe.functions import clock, labels, names, parse, seasons
 from shiftframe.operators import identity
 from shiftframe.sources.tables import table
 
@@ -209,3 +209,13 @@ def season_codes(spark, sf_dir):
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_prop(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+FEATURE_NAMES = ["roll15_F_share_0", "roll15_D_share_1", "F_share_9", "roll15_diff_cf_percent", "ca60", "roll15_toi_es_sec", "diff_fo_percent", "hits"]
+SHOWN = ["F: Two-way", "D: Balanced", "F: F9", "Δ CF%", "CA/60", "ES TOI", "Δ FO%", "hits"]
+
+
+@query(f"SELECT event_id, {SHOWN!r}[event_id % {len(SHOWN)} + 1] AS shown FROM events")
+def feature_labels(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, FEATURE_NAMES)), (F.col("event_id") % len(FEATURE_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", labels.feature_label(name, {"F0": "Two-way", "D1": "Balanced"}).alias("shown"))

@@ -6,7 +6,7 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -130,3 +130,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_summary(df: DataFrame, path: str) -> None:
     """A table of few rows as JSON lines."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def consumed(spark: SparkSession, patterns: list[str], load: Callable[[], None]) -> list[str]:
+    """Runs ``load`` and, only if it succeeds, deletes the files that matched before it ran; says which."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for pattern in patterns:
+        at = jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = at.getFileSystem(conf)
+        found += [(fs, s.getPath()) for s in fs.globStatus(at) or [] if not s.isDirectory()]
+    load()
+    return [path.toString() for fs, path in found if fs.delete(path, False)]

@@ -232,6 +232,20 @@ def test_catalog(spark):
     assert [o.error is None for o in found] == [True, True, False] and found[1].rows[0].n == 1
 
 
+def test_inputs_go_only_after_success(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"in{k}.csv").write_text("a\n1\n")
+
+    def fails():
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        files.consumed(spark, [f"{tmp_path}/in*.csv"], fails)
+    assert len(list(tmp_path.glob("*.csv"))) == 2
+    done = files.consumed(spark, [f"{tmp_path}/in*.csv"], lambda: spark.read.csv(f"{tmp_path}/in*.csv").write.parquet(f"{tmp_path}/out"))
+    assert len(done) == 2 and not list(tmp_path.glob("*.csv"))
+
+
 @pytest.fixture
 def database(spark, tmp_path):
     spark.sql(f"CREATE DATABASE scratch LOCATION '{tmp_path}/db'")
