@@ -95,3 +95,44 @@ def test_extra_row_order_does_not_matter(docs):
     a = {(r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), 4).collect()}
     b = {(r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.desc("doc_id")), 4).collect()}
     assert a == b
+
+
+def test_found_items_and_secrets(spark, docs, none):
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.item_id, round(r.similarity, 9)) for r in OPERATORS["contaminated"](spark, docs).collect())
+    assert found == [(-1, 1, 1.0), (3, 4, 1.0), (3, 4, 1.0), (5, 1, 1.0), (5, 1, 1.0), (5, 1, 1.0), (6, 1, 1.0)]
+    secrets = {(r.doc_id, r.value) for r in OPERATORS["secrets"](spark, docs).collect()}
+    assert secrets == {(11, "04dbebab91ab85687d33eeaaf9ac699e1188f962"), (9, "x" * 50_000)}
+    empty = benchmark(spark).limit(0)
+    assert decontamination.contaminated(docs, empty).count() == 0 and decontamination.decontaminated(docs, empty).count() == len(ROWS)
+
+
+def test_sanitised_rows(spark, docs):
+    found = pii.personal_data(docs)
+    clean = pii.sanitised(docs, found)
+    assert clean.columns == docs.columns and clean.count() == len(ROWS)
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[0] is None and texts[1] == "" and texts[10] == "mail me at [EMAIL] now" and texts[7] == LONG
+
+
+def test_replaced_columns_can_be_told_apart(spark, docs):
+    clash = docs.withColumnRenamed("size", "n_tokens").withColumnRenamed("shard", "sampled")
+    dimensions = {"source": clash["source"]}
+    out = mixing.mixed(clash, {"source": {"src0": 0.5, "src1": 0.5}}, dimensions, prefix="__mix_")
+    assert out.columns == [*clash.columns, "__mix_n_tokens", "__mix_cell_weight", "__mix_probability", "__mix_sampled"]
+    assert {r.n_tokens for r in out.collect()} == {"s"} and out.where("__mix_probability <= 0").count() == 0
+
+
+def test_copies_of_one_document_stay_together(spark, docs):
+    kept = sorted(-1 if r.doc_id is None else r.doc_id for r in OPERATORS["deduplicated"](spark, docs).collect())
+    assert 5 in kept and 6 not in kept and -1 not in kept and kept.count(5) == 3
+
+
+def test_a_session_on_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from shiftframe.llm import common
+
+    conf = SimpleNamespace(get=lambda name: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(SimpleNamespace(sparkContext=context))
