@@ -94,31 +94,32 @@ def mix_delta(before: DataFrame, after: DataFrame, keys: list[str] | None = None
     return both.withColumn("delta", F.round(F.col("after") - F.col("before"), 2))
 
 
-def shift_share(v: list[Column], total: Column, target: int, delta: Column, donor: int = 2, eps: float = 1e-12) -> list[Column]:
-    """Three shares, held to 0..1 and scaled to ``total``, after ``delta`` moves to ``target``.
+def with_shift(rows: DataFrame, columns: list[str], total: Column, target: int, delta: Column, names: list[str], donor: int = 2, eps: float = 1e-12) -> DataFrame:
+    """``rows`` with ``names``: the three share ``columns``, held to 0..1 and scaled to ``total``, after ``delta`` moves to ``target``.
 
     ``delta`` is absolute and capped by what the target has and what the others
     have. A gain comes from the donor first and then from the third role; a loss
     goes wholly to the donor (if that is the target, to the first other one).
+    Each step is a column of its own, so that no step's expression repeats those before it.
     """
-    zero, one = F.lit(0.0), F.lit(1.0)
-    rest = [k for k in range(3) if k not in (target, donor)]
-    held = [F.greatest(zero, F.least(one, x)) for x in v]
-    whole = held[0] + held[1] + held[2]
-    held = [F.when(whole > eps, x * (total / whole)).otherwise(total / 3.0) for x in held]
-    moved = F.greatest(-held[target], F.least(delta, total - held[target]))
-    out, gain = list(held), F.greatest(zero, moved)
-    first = zero
+    zero, one, c = F.lit(0.0), F.lit(1.0), F.col
+    clipped = lambda x: F.greatest(zero, F.least(one, x))
+    rest = next(k for k in range(3) if k not in (target, donor))
+    out = rows.withColumns({"__total": total, "__delta": delta} | {f"__h{k}": clipped(c(n)) for k, n in enumerate(columns)})
+    out = out.withColumn("__sum", c("__h0") + c("__h1") + c("__h2"))
+    out = out.withColumns({f"__g{k}": F.when(c("__sum") > eps, c(f"__h{k}") * (c("__total") / c("__sum"))).otherwise(c("__total") / 3.0) for k in range(3)})
+    out = out.withColumn("__moved", F.greatest(-c(f"__g{target}"), F.least(c("__delta"), c("__total") - c(f"__g{target}"))))
+    out = out.withColumns({"__gain": F.greatest(zero, c("__moved")), "__loss": F.greatest(zero, -c("__moved"))})
+    out = out.withColumn("__first", F.least(c(f"__g{donor}"), c("__gain")) if donor != target else zero)
+    out = out.withColumn("__second", F.when(c("__gain") - c("__first") > eps, F.least(c(f"__g{rest}"), c("__gain") - c("__first"))).otherwise(zero))
+    after = {target: c(f"__g{target}") + c("__first") + c("__second") - c("__loss"), rest: c(f"__g{rest}") - c("__second") + (c("__loss") if donor == target else zero)}
     if donor != target:
-        first = F.least(held[donor], gain)
-        out[donor] = held[donor] - first + F.greatest(zero, -moved)
-    second = F.when(gain - first > eps, F.least(held[rest[0]], gain - first)).otherwise(zero)
-    out[rest[0]] = held[rest[0]] - second + (F.greatest(zero, -moved) if donor == target else zero)
-    out[target] = held[target] + F.when(moved > 0, first + second).otherwise(moved)
-    out = [F.greatest(zero, F.least(one, x)) for x in out]
-    after = out[0] + out[1] + out[2]
-    out = [F.when(after > eps, x * (total / after)).otherwise(x) for x in out]
-    return [F.when(total < eps, zero).when(F.abs(moved) < eps, h).otherwise(x) for h, x in zip(held, out, strict=True)]
+        after[donor] = c(f"__g{donor}") - c("__first") + c("__loss")
+    out = out.withColumns({f"__w{k}": clipped(after.get(k, c(f"__g{k}"))) for k in range(3)}).withColumn("__after", c("__w0") + c("__w1") + c("__w2"))
+    moved = lambda k: F.when(c("__after") > eps, c(f"__w{k}") * (c("__total") / c("__after"))).otherwise(c(f"__w{k}"))
+    found = {n: F.when(c("__total") < eps, zero).when(F.abs("__moved") < eps, c(f"__g{k}")).otherwise(moved(k)) for k, n in enumerate(names)}
+    temporary = ["__total", "__delta", "__sum", "__moved", "__gain", "__loss", "__first", "__second", "__after", *(f"__{x}{k}" for x in "hgw" for k in range(3))]
+    return out.withColumns(found).drop(*temporary)
 
 
 def win_probability(features: list[Column], weights: list[float], bias: float) -> Column:
@@ -132,11 +133,13 @@ def simulated(rows: DataFrame, columns: list[str], weights: dict[str, float], bi
 
     ``weights`` are a logistic model's, by feature; the shares keep their sum.
     """
-    v = [F.col(c) for c in columns]
-    moved = dict(zip(columns, shift_share(v, v[0] + v[1] + v[2], target, delta, donor), strict=True))
+    total = F.col(columns[0]) + F.col(columns[1]) + F.col(columns[2])
+    names = [f"__new_{k}" for k in range(3)]
+    moved = dict(zip(columns, names, strict=True))
+    out = with_shift(rows, columns, total, target, delta, names, donor)
     base = win_probability([F.col(c) for c in weights], list(weights.values()), bias)
-    new = win_probability([moved.get(c, F.col(c)) for c in weights], list(weights.values()), bias)
-    return rows.withColumns({"p_base": base, "p_new": new}).withColumn("delta_p", F.col("p_new") - F.col("p_base"))
+    new = win_probability([F.col(moved.get(c, c)) for c in weights], list(weights.values()), bias)
+    return out.withColumns({"p_base": base, "p_new": new}).withColumn("delta_p", F.col("p_new") - F.col("p_base")).drop(*names)
 
 
 def sensitivity_grid(rows: DataFrame, columns: list[str], deltas: tuple[float, ...], weights: dict[str, float], bias: float, target: int = 0, donor: int = 2, games: int = 82) -> DataFrame:

@@ -113,9 +113,10 @@ def _shares(spark, sf_dir):
 
 @query(f"WITH v3 AS (SELECT *, 0.9::DOUBLE AS total, CASE WHEN event_id % 2 = 0 THEN 0.1 ELSE -0.05 END::DOUBLE AS delta FROM ({V3})), {STEPS} SELECT event_id, round(s0, 10) AS s0, round(s1, 10) AS s1, round(s2, 10) AS s2 FROM s3")
 def share_shift(spark, sf_dir):
-    v = [F.col(f"v{k}") for k in range(3)]
-    moved = R.shift_share(v, F.lit(0.9), 0, F.when(F.col("event_id") % 2 == 0, 0.1).otherwise(-0.05))
-    return _shares(spark, sf_dir).select("event_id", *(F.round(c, 10).alias(f"s{k}") for k, c in enumerate(moved)))
+    delta = F.when(F.col("event_id") % 2 == 0, 0.1).otherwise(-0.05)
+    names = ["s0", "s1", "s2"]
+    moved = R.with_shift(_shares(spark, sf_dir), ["v0", "v1", "v2"], F.lit(0.9), 0, delta, names)
+    return moved.select("event_id", *(F.round(c, 10).alias(c) for c in names))
 
 
 DELTAS = (-0.1, -0.05, -0.02, 0.0, 0.02, 0.05, 0.08, 0.1)

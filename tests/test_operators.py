@@ -109,8 +109,8 @@ def test_swap_of_an_unknown_player(spark):
 
 def test_share_shift(spark):
     rows = spark.createDataFrame([(0.2, 0.1, 0.3)], "a double, b double, c double")
-    v, total = [F.col(c) for c in "abc"], F.lit(0.6)
-    moved = lambda *args, **more: tuple(rows.select(*roster.shift_share(v, *args, **more)).first())
+    total = F.lit(0.6)
+    moved = lambda total, target, delta, **more: tuple(roster.with_shift(rows, list("abc"), total, target, delta, list("xyz"), **more).select(*"xyz").first())
     assert moved(total, 0, F.lit(0.1)) == pytest.approx((0.3, 0.1, 0.2))
     assert moved(total, 0, F.lit(0.35)) == pytest.approx((0.55, 0.05, 0.0))  # the donor's stock, then the third's
     assert moved(total, 0, F.lit(-0.5)) == pytest.approx((0.0, 0.1, 0.5))  # a loss goes wholly to the donor
