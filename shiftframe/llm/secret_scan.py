@@ -35,7 +35,7 @@ from .common import checkpointed, columns, small_batches, texts_of
 RUN = 16
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer")
 ASSIGNED = re.compile(
-    rf"(?i:{'|'.join(KEYWORDS)})[A-Za-z0-9_.-]{{0,40}}[\"']?[ \t]{{0,8}}(?:=>|:=|[=:])[ \t]{{0,8}}(?:\"(?P<double>[^\"\s]{{6,}})\"|'(?P<single>[^'\s]{{6,}})'|(?P<bare>[^\s\"',;]{{6,}}))"
+    rf"(?ai:{'|'.join(KEYWORDS)})[A-Za-z0-9_.-]{{0,40}}[\"']?[ \t]{{0,8}}(?:=>|:=|[=:])[ \t]{{0,8}}(?:\"(?P<double>[^\"\s]{{6,}})\"|'(?P<single>[^'\s]{{6,}})'|(?P<bare>[^\s\"',;]{{6,}}))"
 )
 RUNS = re.compile(rf"(?=[A-Za-z0-9+/_.-]{{{RUN}}})[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={{0,2}}")
 WORD = re.compile(r"[^\W\d_]+")
@@ -103,7 +103,9 @@ def features(text: str, start: int, end: int, path: str, known: Dictionary) -> l
 
 def found_in(text: str) -> list[tuple[int, int]]:
     """(start, end) of each candidate, in order; a run that overlaps an assigned value is that value's."""
-    own = [m.span(m.lastgroup) for m in ASSIGNED.finditer(text)]
+    low, own = text.lower(), []
+    if any(w in low for w in KEYWORDS):  # spares most texts the slower search
+        own = [m.span(m.lastgroup) for m in ASSIGNED.finditer(text)]
     out, k = [], 0
     for m in RUNS.finditer(text):
         start, end = m.span()
