@@ -92,6 +92,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import audits, damaged
 
@@ -158,7 +166,7 @@ PARTS = {quality_measures: MEASURES, pattern_counts: PATTERNS, mix_cells: CELLS,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op5_secret_scan, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding, op13_conversation_repair)
+    found = (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op5_secret_scan, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding, op12_bpe_coding, op13_conversation_repair)
     return {f.__name__: f for f in (*found, *PARTS)}
 
 
