@@ -92,6 +92,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+RANKED = f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id), whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, n_docs),
+items AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark), m AS (SELECT doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM n, whole),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM items JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+ranks AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0) SELECT * FROM ranks WHERE rank <= 10"""
+
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -162,13 +177,15 @@ def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_shard.agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("bytes"), F.count("*").alias("n_shards"), even.alias("even"), gapless.alias("gapless"))
 
 
+#: The whole results of these, and parts of the others'.
+WHOLE = {op11_ranked_search: RANKED}
 PARTS = {quality_measures: MEASURES, pattern_counts: PATTERNS, mix_cells: CELLS, shard_balance: BALANCE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op5_secret_scan, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding, op12_bpe_coding, op13_conversation_repair)
+    found = (op1_quality_rules, op2_decontamination, op3_toxicity, op4_personal_data, op5_secret_scan, op6_simhash_components, op7_token_counts, op8_mixing, op9_language_id, op10_sharding, op11_ranked_search, op12_bpe_coding, op13_conversation_repair)
     return {f.__name__: f for f in (*found, *PARTS)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: sql for f, sql in PARTS.items()}
+    return {f.__name__: sql for f, sql in (WHOLE | PARTS).items()}
