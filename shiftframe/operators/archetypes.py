@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
-import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -18,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folded import Fit, Linear, balanced_folds, cross_scored, logistic_fits
 from .ordering import sums_before
 
 PARALLEL = 8  # fits that run at once, as their jobs are short
@@ -127,8 +126,8 @@ def expanding_probabilities(
 
     All seasons of the data with earlier ones are taken if none are named.
     Splits below the group's gates, or empty, are left out; None if all are.
-    Only the counts by group, season and label come to the driver; the models go
-    back as a table of one row each, so that the rows are scored in one pass.
+    All splits are fitted together, and scored in one pass through a table of one
+    row each; only counts and the fits' sums come to the driver.
     """
     own = F.col(group) if group else F.lit("")
     counts = [tuple(r) for r in df.groupBy(own.alias("g"), "season", F.col(label).alias("y")).count().orderBy("g", "season", "y").collect()]
@@ -144,30 +143,18 @@ def expanding_probabilities(
                     by_label[y] = by_label.get(y, 0) + n
                 splits.append((g, s, size[0], max(by_label, key=by_label.get), len(by_label)))
 
-    def fitted(split: tuple) -> tuple:
-        g, s, n, majority, labels = split
-        if labels < 2:  # nothing to learn: the only label is certain
-            return g, s, float(majority), [[0.0] * len(columns)] * 3, [0.0 if j == majority else -math.inf for j in range(3)]
-        stages = role_model(df.where(own.eqNullSafe(F.lit(g)) & (F.col("season") < s)), columns, label, scale=scale, n=n).stages
-        weights, bias = stages[-1].coefficientMatrix.toArray(), stages[-1].interceptVector.toArray()
-        if scale:  # back to plain units
-            spread, mean = stages[1].std.toArray(), stages[1].mean.toArray()
-            weights = weights / np.where(spread > 0, spread, np.inf)
-            bias = bias - weights @ mean
-        missing = 3 - len(bias)  # roles beyond the greatest label of the training rows
-        return g, s, float(majority), [*weights.tolist(), *[[0.0] * len(columns)] * missing], [*bias.tolist(), *[-math.inf] * missing]
-
     if not splits:
         return None
-    with cached(df) as df:
-        found = _each(fitted, splits)
-    kind = dict(df.dtypes)[group] if group else "string"
-    models = df.sparkSession.createDataFrame(found, f"__g {kind}, season {dict(df.dtypes)['season']}, majority double, __w array<array<double>>, __b array<double>")  # one row a split
-    rows = df.withColumn("__g", own.cast(kind)).dropna(subset=columns).join(models, ["__g", "season"])
-    raw = [sum((F.col("__w")[j][k] * F.col(c) for k, c in enumerate(columns)), F.col("__b")[j]) for j in range(3)]
-    rows = rows.withColumn("__z", F.array(*raw)).withColumn("__z", F.transform("__z", lambda z: F.exp(z - F.array_max("__z"))))
+    part = F.concat_ws("|", own.cast("string"), F.col("season").cast("string"))
+    rows = df.withColumn("part", part).dropna(subset=columns)
+    seen = {(g, season) for g, season, _, _ in counts}
+    fits = {f"{g}|{s}": Fit(frozenset(f"{h}|{season}" for h, season in seen if h == g and season < s), scale=scale) for g, s, *_ in splits}
+    models = logistic_fits(rows, columns, label, fits, classes=3)
+    most = df.sparkSession.createDataFrame([(f"{g}|{s}", float(majority)) for g, s, _, majority, _ in splits], "part string, majority double")
+    rows = rows.join(models.table(df.sparkSession, {name: [name] for name in fits}).join(most, "part"), "part")  # a row a split
+    rows = rows.withColumn("__z", F.array(*(models.scores(j) for j in range(3)))).withColumn("__z", F.transform("__z", lambda z: F.exp(z - F.array_max("__z"))))
     total = F.col("__z")[0] + F.col("__z")[1] + F.col("__z")[2]
-    return rows.withColumns({f"p_to{j}": F.col("__z")[j] / total for j in range(3)}).drop("__g", "__w", "__b", "__z")
+    return rows.withColumns({f"p_to{j}": F.col("__z")[j] / total for j in range(3)}).drop("part", "model", "w", "b", "__z")
 
 
 def _predicted(k: int) -> Column:
@@ -218,20 +205,16 @@ def binary_metrics(df: DataFrame, prob: str, label: str, keys: list[str] | None
     return area.join(rest, keys) if keys else area.join(F.broadcast(rest))  # a row each
 
 
-def group_folds(group: Column, folds: int = 5) -> Column:
-    """The fold of a group, by its hash: a group is never split."""
-    return F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
-
-
 Make = Callable[[str, int], Estimator]  # from the label's column and the number of rows to train on
 
 
 def cross_validated(df: DataFrame, columns: list[str], label: str, group: str, make: Make, folds: int = 5, scale: bool = True, out: str = "prob") -> DataFrame:
     """``df`` with fold and ``out``, each row scored by a model that has not seen its group.
 
-    ``out`` is the probability of label 1, or for a regressor its value.
+    ``out`` is the probability of label 1, or for a regressor its value. Folds are
+    balanced by size, unless ``df`` has a column ``fold``.
     """
-    rows = df.withColumn("fold", group_folds(F.col(group), folds))
+    rows = df if "fold" in df.columns else balanced_folds(df, group, folds)
     sizes = dict(rows.groupBy("fold").count().collect())
 
     def scored(k: int) -> DataFrame:
@@ -267,28 +250,34 @@ def boosted(rounds: int = 200, depth: int | None = 3, rate: float = 0.05) -> Mak
     return make
 
 
-def grid(trees: tuple[int, ...] = (300, 600), rounds: tuple[int, ...] = (200, 400), depths: dict[str, tuple[int | None, ...]] | None = None) -> dict[str, tuple[Make, bool]]:
+def grid(trees: tuple[int, ...] = (300, 600), rounds: tuple[int, ...] = (200, 400), depths: dict[str, tuple[int | None, ...]] | None = None) -> dict[str, Fit | tuple[Make, bool]]:
     """All points of the search by name: penalties, forests and boosted trees, and whether columns are standardised first."""
     own = {"forest": (6, 10, None), "boosted": (3, 5, None)} | (depths or {})
-    points = {f"logistic C={c}": (logistic(c), True) for c in (0.01, 0.1, 1.0, 10.0)}
+    points: dict[str, Fit | tuple[Make, bool]] = {f"logistic C={c}": Fit(frozenset(), c) for c in (0.01, 0.1, 1.0, 10.0)}
     points |= {f"forest trees={t} depth={d} leaf={m}": (forest(t, d, m), False) for t in trees for d in own["forest"] for m in (1, 5)}
     return points | {f"boosted rate={r} depth={d} rounds={k}": (boosted(k, d, r), False) for r in (0.03, 0.05, 0.1) for d in own["boosted"] for k in rounds}
 
 
-def fold_scores(scored: DataFrame, label: str, measures: tuple[str, ...] = ("auc", "brier", "log_loss")) -> DataFrame:
-    """One row: mean and sample deviation of the folds' measures."""
-    by_fold = binary_metrics(scored, "prob", label, ["fold"])
-    return by_fold.agg(*(f(c).alias(f"{c}_{n}") for c in measures for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
+MEASURES = ("auc", "brier", "log_loss")
+
 
+def fold_scores(scored: DataFrame, label: str, measures: tuple[str, ...] = MEASURES, keys: list[str] | None = None) -> DataFrame:
+    """Mean and sample deviation of the folds' measures: a row for each of ``keys``, or one."""
+    by_fold = binary_metrics(scored, "prob", label, [*(keys or []), "fold"])
+    return by_fold.groupBy(*(keys or [])).agg(*(f(c).alias(f"{c}_{n}") for c in measures for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
-def grid_search(df: DataFrame, columns: list[str], label: str, group: str, points: dict[str, tuple[Make, bool]], folds: int = 5) -> DataFrame:
-    """(model, auc_mean, auc_std, ...) of every point by the same folds, a row each."""
-    out = []
-    with cached(df) as df:
-        for name, (make, scale) in points.items():
-            found = fold_scores(cross_validated(df, columns, label, group, make, folds, scale), label)
-            out.append((name, *found.first()))
-    names = [f"{c}_{n}" for c in ("auc", "brier", "log_loss") for n in ("mean", "std")]
+
+def grid_search(df: DataFrame, columns: list[str], label: str, group: str, points: dict[str, Fit | tuple[Make, bool]], folds: int = 5) -> DataFrame:
+    """(model, auc_mean, auc_std, ...) of every point by the same balanced folds, a row each.
+
+    Logistic points are a ``Fit`` and share their scans; the others are fitted one by one, some at once.
+    """
+    names = [f"{c}_{n}" for c in MEASURES for n in ("mean", "std")]
+    with cached(df) as df, cached(balanced_folds(df, group, folds)) as df:
+        shared = {name: p for name, p in points.items() if isinstance(p, Fit)}
+        scored = cross_scored(df, columns, label, shared, folds) if shared else None
+        out = [tuple(r) for r in fold_scores(scored, label, keys=["model"]).select("model", *names).collect()] if shared else []
+        out += _each(lambda p: (p[0], *fold_scores(cross_validated(df, columns, label, group, p[1][0], folds, p[1][1]), label).first()), [p for p in points.items() if p[0] not in shared])
     return df.sparkSession.createDataFrame(out, "model string, " + ", ".join(f"{n} double" for n in names))
 
 
@@ -308,9 +297,9 @@ def regression_metrics(df: DataFrame, label: str, guess: str = "guess", keys: li
     return df.groupBy(*(keys or [])).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"))
 
 
-def top_coefficients(spark, model: PipelineModel, columns: list[str], k: int = 15) -> DataFrame:
-    """(feature, weight) of the largest weights of a fitted logistic pipeline."""
-    weights = zip(columns, map(float, model.stages[-1].coefficients), strict=True)
+def top_coefficients(spark, models: Linear, name: str, k: int = 15) -> DataFrame:
+    """(feature, weight) of a binomial fit's largest weights, for columns in units of their deviation."""
+    weights = zip(models.columns, map(float, models.weights[name][0] * models.units[name]), strict=True)
     return spark.createDataFrame(sorted(weights, key=lambda x: (-abs(x[1]), x[0]))[:k], "feature string, weight double")
 
 

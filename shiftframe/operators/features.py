@@ -19,12 +19,49 @@ def with_opponent(games: DataFrame, values: list[str]) -> DataFrame:
     return both.withColumns({f"diff_{v}": F.col(v) - F.col(f"opp_{v}") for v in values})
 
 
+#: What is summed over a team's players, where a table has it.
+SUMS = ("toi_es_sec", "toi_total_sec", "cf", "ca", "goals", "assists", "points", "shots", "hits", "blocked", "takeaways", "giveaways", "faceoff_wins", "faceoff_taken", "penalties_taken")
+RATES = ("cf_percent", "cf60", "ca60", "fo_percent")
+#: The columns whose trailing means describe a team before a game.
+BASE = ("cf_percent", "cf60", "ca60", "diff_cf_percent", "diff_cf60", "diff_ca60", "shots", "hits", "blocked", "takeaways", "giveaways", "penalties_taken", "fo_percent", "diff_fo_percent", "toi_es_sec")
+SHARES = tuple(f"{p}_share_{k}" for p in "FD" for k in range(3))
+ROLLED = tuple(f"roll15_{c}" for c in BASE + SHARES)
+
+
 def team_games(player_games: DataFrame) -> DataFrame:
     """(season, game_id, team_id) sums, with cf_percent from 0 to 1."""
-    sums = player_games.groupBy(*SEASON_GAME, "team_id").agg(*(F.sum(c).alias(c) for c in ("cf", "ca", "toi_es_sec", "goals", "hits")))
+    sums = player_games.groupBy(*SEASON_GAME, "team_id").agg(*(F.sum(c).alias(c) for c in SUMS if c in player_games.columns))
     return sums.withColumn("cf_percent", divide(F.col("cf"), F.col("cf") + F.col("ca")))
 
 
+def team_game_rates(player_games: DataFrame) -> DataFrame:
+    """``team_games`` with attempts per hour of equal strength, the share of faceoffs won, and the opponent's goals and rates beside; lone teams have no row."""
+    es = F.col("toi_es_sec")
+    games = team_games(player_games).withColumns({"cf60": per60(F.col("cf"), es), "ca60": per60(F.col("ca"), es), "fo_percent": divide(F.col("faceoff_wins"), F.col("faceoff_taken"))})
+    return with_opponent(games, ["goals", *RATES])
+
+
+def role_shares(player_games: DataFrame, archetypes: DataFrame) -> DataFrame:
+    """(season, game_id, team_id) and each role's share of the team's equal-strength time in the game; players without a role count in the whole alone."""
+    roles = archetypes.select("season", "player_id", F.concat("pos_group", F.lit("_share_"), F.col("cluster").cast("string")).alias("role"))
+    rows = player_games.select(*SEASON_GAME, "player_id", "team_id", "toi_es_sec").join(roles, ["season", "player_id"], "left")
+    seconds = {c: F.sum(F.when(F.col("role") == c, F.col("toi_es_sec"))) for c in SHARES}
+    return rows.groupBy(*SEASON_GAME, "team_id").agg(*(F.coalesce(divide(s, F.sum("toi_es_sec")), F.lit(0.0)).alias(c) for c, s in seconds.items()))
+
+
+def model_table(player_games: DataFrame, archetypes: DataFrame, size: int = 15, least: int = 5) -> DataFrame:
+    """(season, game_id, team_id, opp_team_id, win, goal_diff) and the means of ``BASE`` and ``SHARES`` over the team's games of the season before this one.
+
+    Only games with all means have a row.
+    """
+    games = team_game_rates(player_games).join(role_shares(player_games, archetypes), [*SEASON_GAME, "team_id"])
+    back = Window.partitionBy("season", "team_id").orderBy("game_id").rowsBetween(-size, -1)
+    means = {f"roll15_{c}": F.when(F.count(c).over(back) >= least, F.avg(c).over(back)) for c in BASE + SHARES}
+    labels = {"win": (F.col("goals") > F.col("opp_goals")).cast("double"), "goal_diff": F.col("diff_goals").cast("double")}
+    found = games.select(*SEASON_GAME, "team_id", "opp_team_id", *(c.alias(n) for n, c in (labels | means).items()))
+    return found.where(~F.exists(F.array(*means, "win"), lambda x: x.isNull()))  # one condition: Spark would derive many from one a column
+
+
 def rolling_mean(df: DataFrame, value: str, name: str, order: list[Column], keys: list[str] | None = None, size: int = 15, least: int = 5) -> DataFrame:
     """``name``: the mean of the ``size`` rows before this one of its key, null with fewer than ``least``."""
     w = Window.partitionBy(*(keys or [])).orderBy(*order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftframe.operators import buckets, grouping, ordering, totals
+from shiftframe.operators import buckets, features, grouping, ordering, totals
 from shiftframe.sources.tables import table
 
 from . import views
@@ -140,21 +140,19 @@ def team_event_totals(spark, sf_dir):
     return totals.team_event_totals(views.plays(spark, sf_dir))
 
 
-@query(
-    with_views(
-        """, cells AS (SELECT season, team_id, pos_group || cluster AS cell, toi_es_sec / sum(toi_es_sec) OVER (PARTITION BY season, team_id) AS share FROM v_ps),
-    avgs AS (SELECT season, team_id, cell, avg(share) AS share FROM cells GROUP BY ALL)
-    SELECT season, team_id, """
-        + ", ".join(f"round(coalesce(max(share) FILTER (WHERE cell = '{p}{k}'), 0), 6) AS {p}{k}" for p in "FD" for k in range(3))
-        + " FROM avgs GROUP BY season, team_id",
-        "v_ps",
-    )
+ROLE_SHARES = (
+    "SELECT season, game_id, team_id, "
+    + ", ".join(f"coalesce(sum(g.toi_es_sec) FILTER (WHERE pos_group = '{p}' AND cluster = {k}) / nullif(sum(g.toi_es_sec), 0), 0.0) AS {p}_share_{k}" for p in "FD" for k in range(3))
+    + " FROM v_pg g LEFT JOIN (SELECT season, player_id, pos_group, cluster FROM v_ps WHERE games > 1) USING (season, player_id) GROUP BY season, game_id, team_id"
 )
+
+
+@query(with_views(f"SELECT season, game_id, team_id, {', '.join(f'round({c}, 6) AS {c}' for c in features.SHARES)} FROM ({ROLE_SHARES})", "v_ps"))
 def toi_share_pivot(spark, sf_dir):
-    rows = views.player_seasons(spark, sf_dir).select("season", "team_id", F.concat("pos_group", F.col("cluster").cast("string")).alias("cell"), buckets.share_over(F.col("toi_es_sec"), ["season", "team_id"]).alias("share"))
-    cells = [f"{p}{k}" for p in "FD" for k in range(3)]
-    wide = rows.groupBy("season", "team_id").pivot("cell", cells).agg(F.avg("share")).na.fill(0.0)
-    return wide.withColumns({c: F.round(c, 6) for c in cells})
+    """Each role's share of the team's time in a game; players of one game have no role."""
+    roles = views.player_seasons(spark, sf_dir).where("games > 1")
+    found = features.role_shares(views.player_games(spark, sf_dir), roles)
+    return found.select("season", "game_id", "team_id", *(F.round(c, 6).alias(c) for c in features.SHARES))
 
 
 @query(

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from shiftframe.operators import archetypes as A
-from shiftframe.operators import buckets, features, roster, transitions
+from shiftframe.operators import buckets, features, folded, roster, transitions
+from shiftframe.operators.folded import Fit
 from shiftframe.sources.tables import table
 
 from . import views
+from .aggregates import ROLE_SHARES
 from .catalog import query
 from .views import with_views
 from .whatif import DELTAS
 
 FEATURES = ["ca60", "es_share", "toi_per_game", "goals"]
+#: What tells a player's next role: of a model in units of deviation, and of the one in plain units.
+ROLE_FEATURES = ["role", "toi_es_sec", "toi_per_game", "es_share", "p60", "s60", "cf60", "ca60", "cf_percent", "es_net60", "fo_win_pct", "hit60", "blk60", "take60", "give60", "penl60"]
+PLAIN_FEATURES = ["toi_per_game", "es_share", "p60", "s60", "cf60", "ca60", "cf_percent", "es_net60", "role"]
 
 
 @query()
@@ -53,12 +56,12 @@ def _probabilities(spark, found):
 @query()
 def multinomial_probs(spark, sf_dir):
     """Every season with enough rows before it, each position by its own models."""
-    pairs = _pairs(spark, sf_dir).dropna(subset=FEATURES)
-    return _probabilities(spark, A.expanding_probabilities(pairs, [*FEATURES, "role"], "label", gates=A.GATES, group="pos_group"))
+    pairs = _pairs(spark, sf_dir).dropna(subset=ROLE_FEATURES)
+    return _probabilities(spark, A.expanding_probabilities(pairs, ROLE_FEATURES, "label", gates=A.GATES, group="pos_group"))
 
 
 def _unscaled(spark, sf_dir):
-    return A.expanding_probabilities(_pairs(spark, sf_dir).na.fill(0.0, FEATURES), [*FEATURES, "role"], "label", scale=False, group="pos_group")
+    return A.expanding_probabilities(_pairs(spark, sf_dir).na.fill(0.0, PLAIN_FEATURES), PLAIN_FEATURES, "label", scale=False, group="pos_group")
 
 
 @query()
@@ -95,48 +98,74 @@ def class_report(spark, sf_dir):
     return report.select("label", *(F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
-ROLL = ["roll_cf", "roll_ca", "roll_hits"]
-ROLES = [f"{p}_share_{k}" for p in "FD" for k in range(3)]
+FEATURES_BEFORE = list(features.ROLLED)
+SHARES_BEFORE = [f"roll15_{c}" for c in features.SHARES]
 TREES, ROUNDS = 10, 5  # of the registered queries; the operators' own defaults are 300 and more
 
 
 def _games(spark, sf_dir):
-    """Team-games with trailing means, the team's role shares of the season, and whether it had twice the attempts against it."""
-    games = features.with_opponent(features.team_games(views.player_games(spark, sf_dir)), ["goals"])
-    for c in ("cf", "ca", "hits"):
-        games = features.rolling_mean(games, c, f"roll_{c}", [F.col("game_id"), F.col("opp_team_id")], ["season", "team_id"])
-    cell = F.concat("pos_group", F.lit("_share_"), F.col("cluster").cast("string"))
-    players = views.player_seasons(spark, sf_dir).select("season", "team_id", cell.alias("cell"), buckets.share_over(F.col("toi_es_sec"), ["season", "team_id"]).alias("share"))
-    shares = players.groupBy("season", "team_id").pivot("cell", ROLES).agg(F.sum("share")).na.fill(0.0)
-    win, diff = (F.col("cf") > F.col("ca") * 2).cast("double"), (F.col("goals") - F.col("opp_goals")).cast("double")
-    return games.join(shares, ["season", "team_id"], "left").na.fill(0.0, ROLES).withColumns({"win": win, "goal_diff": diff}).dropna()
+    """Team-games with the trailing means of attempts, counts and role shares, and whether the team had more goals."""
+    return features.model_table(views.player_games(spark, sf_dir), views.player_seasons(spark, sf_dir))
+
+
+MODEL_TABLE = f""", t AS (SELECT season, game_id, team_id, {", ".join(f"sum({c})::DOUBLE AS {c}" for c in features.SUMS)} FROM v_pg GROUP BY ALL),
+r AS (SELECT *, cf / nullif(cf + ca, 0) AS cf_percent, cf * 3600 / nullif(toi_es_sec, 0) AS cf60, ca * 3600 / nullif(toi_es_sec, 0) AS ca60, faceoff_wins / nullif(faceoff_taken, 0) AS fo_percent FROM t),
+g AS (SELECT a.*, b.team_id AS opp_team_id, a.goals - b.goals AS goal_diff, CAST(a.goals > b.goals AS DOUBLE) AS win, {", ".join(f"a.{c} - b.{c} AS diff_{c}" for c in features.RATES)}
+  FROM r a JOIN r b ON a.season = b.season AND a.game_id = b.game_id AND a.team_id <> b.team_id),
+s AS ({ROLE_SHARES.replace(" WHERE games > 1", "")}),
+m AS (SELECT season, game_id, team_id, opp_team_id, win, goal_diff, {", ".join(f"CASE WHEN count({c}) OVER w >= 5 THEN avg({c}) OVER w END AS roll15_{c}" for c in features.BASE + features.SHARES)}
+  FROM g JOIN s USING (season, game_id, team_id) WINDOW w AS (PARTITION BY season, team_id ORDER BY game_id ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING))
+SELECT season, game_id, team_id, opp_team_id, win, goal_diff, {", ".join(f"round({c}, 6) AS {c}" for c in features.ROLLED)} FROM m WHERE {" AND ".join(f"{c} IS NOT NULL" for c in features.ROLLED)}"""
+
+
+@query(with_views(MODEL_TABLE, "v_ps"))
+def team_game_features(spark, sf_dir):
+    return _games(spark, sf_dir).withColumns({c: F.round(c, 6) for c in features.ROLLED})
 
 
 @query()
 def cv_metrics(spark, sf_dir):
-    with A.cached(_games(spark, sf_dir)) as games:
-        found = A.fold_scores(A.cross_validated(games, ROLL + ROLES, "win", "game_id", A.logistic()), "win")
+    with A.cached(_games(spark, sf_dir)) as rows, A.cached(folded.balanced_folds(rows, "game_id")) as games:
+        found = A.fold_scores(folded.cross_scored(games, FEATURES_BEFORE, "win", {"logistic": Fit(frozenset(), 0.1)}), "win")
         return spark.createDataFrame(found.collect(), found.schema)  # one row
 
 
 @query()
 def temporal_holdout(spark, sf_dir):
-    rows = transitions.season_parts(_games(spark, sf_dir))
-    train = rows.where("part = 'train'")
-    model = Pipeline(stages=[*A.scaled(ROLL + ROLES), A.logistic()("win", train.count())]).fit(train)
-    return A.binary_metrics(model.transform(rows.where("part = 'test'")).withColumn("prob", vector_to_array("p")[1]), "prob", "win")
+    with A.cached(_games(spark, sf_dir)) as games:
+        rows = transitions.season_parts(games)
+        models = folded.logistic_fits(rows, FEATURES_BEFORE, "win", {"before": Fit(frozenset({"train"}), 0.1)})
+        found = A.binary_metrics(folded.probabilities(rows, models, {"before": ["test"]}), "prob", "win")
+        return spark.createDataFrame(found.collect(), found.schema)  # one row
 
 
 @query()
 def goal_regression(spark, sf_dir):
     """Mean and population deviation of the folds' errors for each regressor."""
-    out, names = [], [f"{c}_{n}" for c in ("rmse", "mae", "r2") for n in ("mean", "std")]
-    with A.cached(_games(spark, sf_dir)) as games:
+    errors = [f(c).alias(f"{c}_{n}") for c in ("rmse", "mae", "r2") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    with A.cached(_games(spark, sf_dir)) as rows, A.cached(folded.balanced_folds(rows, "game_id")) as games:
+        scored = folded.ridge_scored(games, FEATURES_BEFORE, "goal_diff", {"ridge": 1.0})
         for name, (make, scale) in A.regressors(TREES, ROUNDS).items():
-            scored = A.cross_validated(games, ROLL + ROLES, "goal_diff", "game_id", make, scale=scale, out="guess_oof")
-            found = A.regression_metrics(scored, "goal_diff", "guess_oof", ["fold"])
-            out.append((name, *found.agg(*(f(c) for c in ("rmse", "mae", "r2") for f in (F.avg, F.stddev_pop))).first()))
-    return spark.createDataFrame(out, "model string, " + ", ".join(f"{n} double" for n in names))
+            if name != "ridge":
+                guessed = A.cross_validated(games, FEATURES_BEFORE, "goal_diff", "game_id", make, scale=scale, out="guess")
+                scored = scored.unionByName(guessed.withColumn("model", F.lit(name)))
+        found = A.regression_metrics(scored, "goal_diff", "guess", ["model", "fold"]).groupBy("model").agg(*errors)
+        return spark.createDataFrame(found.collect(), found.schema)  # a row a regressor
+
+
+RIDGE_FOLDS = """, g AS (SELECT season, game_id, team_id, CAST(sum(goals) AS DOUBLE) AS y, CAST(sum(cf) AS DOUBLE) AS x, game_id % 5 AS fold FROM v_pg GROUP BY ALL),
+f AS (SELECT unnest(range(5)) AS k), t AS (SELECT k, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, count(*) AS n, covar_pop(x, y) AS c FROM f JOIN g ON fold <> k GROUP BY k),
+p AS (SELECT k, y, my + (x - mx) * c * n / (n * vx + a * vx) AS guess, a FROM t JOIN g ON fold = k, (SELECT unnest([1.0::DOUBLE, 100.0::DOUBLE]) AS a))
+SELECT CAST(a AS VARCHAR) AS model, CAST(k AS INT) AS fold, round(sqrt(avg((y - guess) ** 2)), 6) AS rmse, round(avg(abs(y - guess)), 6) AS mae, round(1 - avg((y - guess) ** 2) / var_pop(y), 6) AS r2 FROM p GROUP BY a, k"""
+
+
+@query(with_views(RIDGE_FOLDS, "v_pg"))
+def ridge_by_fold(spark, sf_dir):
+    """A team's goals from its attempts, five folds of games and two penalties from one scan's sums."""
+    games = features.team_games(views.player_games(spark, sf_dir)).withColumn("fold", (F.col("game_id") % 5).cast("int"))
+    scored = folded.ridge_scored(games, ["cf"], "goals", {"1.0": 1.0, "100.0": 100.0})
+    found = A.regression_metrics(scored, "goals", "guess", ["model", "fold"])
+    return found.select("model", "fold", *(F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")))
 
 
 @query(
@@ -153,45 +182,39 @@ def classifier_metrics(spark, sf_dir):
 def grid_search(spark, sf_dir):
     """Five folds for each of 14 points: all penalties, and the trees' grid with fewer trees and depths."""
     points = A.grid((TREES,), (ROUNDS,), {"forest": (6, 10), "boosted": (3, 5)})
-    return A.grid_search(_games(spark, sf_dir), ROLL + ROLES, "win", "game_id", points)
+    return A.grid_search(_games(spark, sf_dir), FEATURES_BEFORE, "win", "game_id", points)
 
 
 @query()
 def ablation(spark, sf_dir):
     """Five-fold scores with all features and without the role shares."""
-    points, out = {"all": ROLL + ROLES, "without shares": ROLL}, None
-    for name, columns in points.items():
-        found = A.grid_search(_games(spark, sf_dir), columns, "win", "game_id", {name: (A.logistic(), True)})
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("model", "features")
+    points = {"all": Fit(frozenset(), 0.1), "without shares": Fit(frozenset(), 0.1, tuple(c for c in FEATURES_BEFORE if c not in SHARES_BEFORE))}
+    return A.grid_search(_games(spark, sf_dir), FEATURES_BEFORE, "win", "game_id", points).withColumnRenamed("model", "features")
 
 
 def _whole_model(spark, sf_dir):
     games = _games(spark, sf_dir)
-    return games, Pipeline(stages=[*A.scaled(ROLL + ROLES), A.logistic()("win", games.count())]).fit(games)
+    return games, folded.logistic_fits(games.withColumn("part", F.lit("all")), FEATURES_BEFORE, "win", {"whole": Fit(frozenset({"all"}), 0.1)})
 
 
 @query()
 def top_coefficients(spark, sf_dir):
-    return A.top_coefficients(spark, _whole_model(spark, sf_dir)[1], ROLL + ROLES)
+    return A.top_coefficients(spark, _whole_model(spark, sf_dir)[1], "whole")
 
 
 @query()
 def simulated_lineups(spark, sf_dir):
-    """What moving ice time to one forward role changes, by the fitted model put back into plain units."""
-    games, model = _whole_model(spark, sf_dir)
-    scaler, fit = model.stages[1], model.stages[2]
-    spread = [s or 1.0 for s in scaler.std.toArray()]
-    weights = {c: float(w) / s for c, w, s in zip(ROLL + ROLES, fit.coefficients.toArray(), spread, strict=True)}
-    bias = float(fit.intercept) - sum(w * m for w, m in zip(weights.values(), scaler.mean.toArray(), strict=True))
-    return roster.sensitivity_grid(games, ROLES[:3], DELTAS, weights, bias)
+    """What moving ice time to one forward role changes, by the fitted model in plain units."""
+    games, models = _whole_model(spark, sf_dir)
+    weights = dict(zip(models.columns, map(float, models.weights["whole"][0]), strict=True))
+    return roster.sensitivity_grid(games, SHARES_BEFORE[:3], DELTAS, weights, float(models.bias["whole"][0]))
 
 
 @query()
 def calibration_oof(spark, sf_dir):
     """Ten equal-frequency bins of the held-out probabilities."""
-    with A.cached(_games(spark, sf_dir)) as games:
-        scored = A.cross_validated(games, ROLL + ROLES, "win", "game_id", A.logistic())
+    with A.cached(_games(spark, sf_dir)) as rows, A.cached(folded.balanced_folds(rows, "game_id")) as games:
+        scored = folded.cross_scored(games, FEATURES_BEFORE, "win", {"logistic": Fit(frozenset(), 0.1)})
         cut = buckets.qcut(scored, "prob", 10, "bin", distinct=True)
         found = cut.groupBy("bin").agg(F.count("*").alias("n"), F.avg("prob").alias("prob"), F.avg("win").alias("rate"))
         return spark.createDataFrame(found.collect(), found.schema)  # a row a bin

@@ -46,16 +46,17 @@ def add_candidates(spark, sf_dir):
     return rows.select("player_id", "team_id", "cluster", "toi_es_sec").orderBy(F.desc("toi_es_sec"), "player_id").limit(40)
 
 
-LOG = """, cal AS (SELECT o_orderkey AS game_id, CAST(max(o_orderdate) AS DATE) AS day FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL),
+LOG = f""", cal AS (SELECT year(o_orderdate) * {views.YEAR} + o_orderkey // {views.ROUND} * {views.TEAMS} AS round, CAST(max(o_orderdate) AS DATE) AS day FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL),
 log AS (SELECT g.game_id, g.player_id, g.cf, g.ca, c.day, CAST(row_number() OVER (PARTITION BY g.player_id ORDER BY c.day ASC NULLS LAST, g.game_id) AS INT) AS game_no
-FROM (SELECT game_id, player_id, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(ca) AS BIGINT) AS ca FROM v_pg GROUP BY ALL) g LEFT JOIN cal c USING (game_id))"""
+FROM (SELECT game_id, player_id, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(ca) AS BIGINT) AS ca FROM v_pg GROUP BY ALL) g LEFT JOIN cal c ON c.round = g.game_id - g.game_id % {views.TEAMS})"""
 
 
 def _log(spark, sf_dir):
     games = views.player_games(spark, sf_dir).groupBy("game_id", "player_id").agg(F.sum("cf").alias("cf"), F.sum("ca").alias("ca"))
-    days = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_orderkey").alias("game_id")).agg(F.to_date(F.max("o_orderdate")).alias("day"))
+    days = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(views.first_game("o_orderdate", "o_orderkey").alias("round")).agg(F.to_date(F.max("o_orderdate")).alias("day"))
     order = Window.partitionBy("player_id").orderBy(F.asc_nulls_last("day"), "game_id")
-    return games.join(days, "game_id", "left").withColumn("game_no", F.row_number().over(order))
+    dated = games.withColumn("round", F.col("game_id") - F.col("game_id") % views.TEAMS).join(days, "round", "left").drop("round")
+    return dated.withColumn("game_no", F.row_number().over(order))
 
 
 @query(with_views(LOG + " SELECT * FROM log", "v_pg"))

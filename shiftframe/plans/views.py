@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftframe.functions.seasons import season_of_year
@@ -39,12 +39,25 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Orders of one round of games, and teams; a year's games begin at the year times ``YEAR``.
+ROUND, TEAMS, YEAR = 128, 25, 10_000_000_000
+
+
+def first_game(day: str, order: str) -> Column:
+    """The least game id of an order's round."""
+    return F.year(day) * F.lit(YEAR) + F.expr(f"{order} div {ROUND}") * TEAMS
+
+
 def player_games(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """(season, game_id, player_id, team_id) with cf, ca, toi_es_sec, toi_total_sec, goals and hits.
+    """(season, game_id, player_id, team_id) with attempts, seconds on ice and counts.
 
-    Seasons ``first`` to ``last`` are a range of days, which the scan can check against the files' statistics.
+    In round r team t meets the team that t and it add up to r, modulo 25, so that a game has two teams; the team
+    that would meet itself has a game alone. Seasons ``first`` to ``last`` are a range of days, which the scan can
+    check against the files' statistics.
     """
-    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    q, n, part = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_partkey")
+    team = (F.col("l_suppkey") + F.col("l_linenumber") % 2) % TEAMS
+    other = F.pmod(F.expr(f"l_orderkey div {ROUND}") - team, F.lit(TEAMS))
     days = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     if first is not None:
         days = days.where(F.col("o_orderdate") >= F.lit(f"{first // 10000}-01-01").cast("timestamp"))
@@ -53,30 +66,42 @@ def player_games(spark: SparkSession, sf_dir: str, first: int | None = None, las
     rows = table(spark, sf_dir, "lineitem").join(days, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(
         season_of_year(F.year("o_orderdate")).alias("season"),
-        F.col("l_orderkey").alias("game_id"),
+        (first_game("o_orderdate", "l_orderkey") + F.least(team, other)).alias("game_id"),
         F.col("l_suppkey").alias("player_id"),
-        ((F.col("l_suppkey") + F.col("l_linenumber") % 2) % 25).alias("team_id"),
+        team.alias("team_id"),
         q.alias("cf"),
         (n * 5).alias("ca"),
         (q * 60).alias("toi_es_sec"),
         (q * 60 + n * 30).alias("toi_total_sec"),
         (F.col("l_returnflag") == "R").cast("long").alias("goals"),
         (F.col("l_linestatus") == "F").cast("long").alias("hits"),
+        (part % 5 == 0).cast("long").alias("assists"),
+        ((F.col("l_returnflag") == "R").cast("long") + (part % 5 == 0).cast("long")).alias("points"),
+        (q % 7).alias("shots"),
+        (part % 3).alias("blocked"),
+        ((part + n) % 2).alias("takeaways"),
+        (F.expr("l_partkey div 2") % 2).alias("giveaways"),
+        F.least(part % 11, q % 6).alias("faceoff_wins"),
+        (part % 11).alias("faceoff_taken"),
+        (F.col("l_discount") > 0.08).cast("long").alias("penalties_taken"),
     )
     keys = ("season", "game_id", "player_id", "team_id")
     return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in rows.columns if c not in keys))
 
 
+PLAYER_SUMS = ("cf", "ca", "toi_es_sec", "toi_total_sec", "goals", "hits", "points", "shots", "blocked", "takeaways", "giveaways", "faceoff_wins", "faceoff_taken", "penalties_taken")
+#: A season's counts an hour of all ice time.
+PER_HOUR = {"p60": "points", "s60": "shots", "hit60": "hits", "blk60": "blocked", "take60": "takeaways", "give60": "giveaways", "penl60": "penalties_taken"}
+
+
 def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(season, player_id) with its main team, position, archetype, sums and rates."""
     from shiftframe.operators.grouping import primary_row
 
     games = player_games(spark, sf_dir)
-    by_team = games.groupBy("season", "player_id", "team_id").agg(
-        *(F.sum(c).alias(c) for c in ("cf", "ca", "toi_es_sec", "toi_total_sec", "goals", "hits")), F.count("*").alias("games")
-    )
+    by_team = games.groupBy("season", "player_id", "team_id").agg(*(F.sum(c).alias(c) for c in PLAYER_SUMS), F.count("*").alias("games"))
     main = primary_row(by_team, ["season", "player_id"], [F.desc("toi_total_sec"), F.asc("team_id")]).select("season", "player_id", "team_id")
-    sums = by_team.groupBy("season", "player_id").agg(*(F.sum(c).alias(c) for c in ("cf", "ca", "toi_es_sec", "toi_total_sec", "goals", "hits", "games")))
+    sums = by_team.groupBy("season", "player_id").agg(*(F.sum(c).alias(c) for c in (*PLAYER_SUMS, "games")))
     year, player = F.expr("season div 10000"), F.col("player_id")
     return sums.join(main, ["season", "player_id"]).select(
         "season",
@@ -95,6 +120,10 @@ def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("ca") * 3600 / F.col("toi_es_sec")).alias("ca60"),
         (F.col("toi_es_sec") / F.col("toi_total_sec")).alias("es_share"),
         (F.col("toi_total_sec") / 60.0 / F.col("games")).alias("toi_per_game"),
+        *((F.col(c) * 3600 / F.col("toi_total_sec")).alias(n) for n, c in PER_HOUR.items()),
+        (F.col("cf") * 100 / (F.col("cf") + F.col("ca"))).alias("cf_percent"),
+        ((F.col("cf") - F.col("ca")) * 3600 / F.col("toi_es_sec")).alias("es_net60"),
+        F.coalesce(F.try_divide("faceoff_wins", "faceoff_taken"), F.lit(0.5)).alias("fo_win_pct"),
     )
 
 
@@ -116,17 +145,23 @@ SQL = {
     "v_plays": """SELECT event_id, event_id // 20 AS game_id, (event_id * 613) % 3600 AS time,
         CASE event_type WHEN 'click' THEN 'Shot' WHEN 'purchase' THEN 'Goal' WHEN 'view' THEN 'Missed Shot' WHEN 'signup' THEN 'Blocked Shot' END AS event,
         user_id % 2 AS team_id_for, 1 - user_id % 2 AS team_id_against FROM events""",
-    "v_pg": """SELECT CAST(year(o_orderdate) * 10000 + year(o_orderdate) + 1 AS BIGINT) AS season, l_orderkey AS game_id, l_suppkey AS player_id,
-        (l_suppkey + l_linenumber % 2) % 25 AS team_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS cf, CAST(sum(l_linenumber * 5) AS BIGINT) AS ca,
+    "v_pg": f"""SELECT CAST(year(o_orderdate) * 10000 + year(o_orderdate) + 1 AS BIGINT) AS season,
+        year(o_orderdate) * {YEAR} + l_orderkey // {ROUND} * {TEAMS} + least((l_suppkey + l_linenumber % 2) % {TEAMS}, ((l_orderkey // {ROUND} - (l_suppkey + l_linenumber % 2) % {TEAMS}) % {TEAMS} + {TEAMS}) % {TEAMS}) AS game_id,
+        l_suppkey AS player_id, (l_suppkey + l_linenumber % 2) % {TEAMS} AS team_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS cf, CAST(sum(l_linenumber * 5) AS BIGINT) AS ca,
         CAST(sum(CAST(l_quantity AS BIGINT) * 60) AS BIGINT) AS toi_es_sec, CAST(sum(CAST(l_quantity AS BIGINT) * 60 + l_linenumber * 30) AS BIGINT) AS toi_total_sec,
-        CAST(sum(CAST(l_returnflag = 'R' AS INT)) AS BIGINT) AS goals, CAST(sum(CAST(l_linestatus = 'F' AS INT)) AS BIGINT) AS hits
+        CAST(sum(CAST(l_returnflag = 'R' AS INT)) AS BIGINT) AS goals, CAST(sum(CAST(l_linestatus = 'F' AS INT)) AS BIGINT) AS hits,
+        CAST(sum(CAST(l_partkey % 5 = 0 AS INT)) AS BIGINT) AS assists, CAST(sum(CAST(l_returnflag = 'R' AS INT) + CAST(l_partkey % 5 = 0 AS INT)) AS BIGINT) AS points,
+        CAST(sum(CAST(l_quantity AS BIGINT) % 7) AS BIGINT) AS shots, CAST(sum(l_partkey % 3) AS BIGINT) AS blocked, CAST(sum((l_partkey + l_linenumber) % 2) AS BIGINT) AS takeaways,
+        CAST(sum(l_partkey // 2 % 2) AS BIGINT) AS giveaways, CAST(sum(least(l_partkey % 11, CAST(l_quantity AS BIGINT) % 6)) AS BIGINT) AS faceoff_wins, CAST(sum(l_partkey % 11) AS BIGINT) AS faceoff_taken,
+        CAST(sum(CAST(l_discount > 0.08 AS INT)) AS BIGINT) AS penalties_taken
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
-    "v_ps": """SELECT s.season, s.player_id, t.team_id, CASE WHEN s.player_id % 3 = 0 THEN 'D' ELSE 'F' END AS pos_group,
+    "v_ps": f"""SELECT s.season, s.player_id, t.team_id, CASE WHEN s.player_id % 3 = 0 THEN 'D' ELSE 'F' END AS pos_group,
         (s.player_id * 7 + (s.season // 10000) * 5 + (s.player_id * (s.season // 10000)) % 3) % 3 AS cluster,
         s.cf, s.ca, s.toi_es_sec, s.toi_total_sec, s.goals, s.hits, s.games,
-        s.cf * 3600 / s.toi_es_sec AS cf60, s.ca * 3600 / s.toi_es_sec AS ca60, s.toi_es_sec / s.toi_total_sec AS es_share, s.toi_total_sec / 60.0::DOUBLE / s.games AS toi_per_game
-        FROM (SELECT season, player_id, CAST(sum(cf) AS BIGINT) AS cf, CAST(sum(ca) AS BIGINT) AS ca, CAST(sum(toi_es_sec) AS BIGINT) AS toi_es_sec,
-                CAST(sum(toi_total_sec) AS BIGINT) AS toi_total_sec, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(hits) AS BIGINT) AS hits, count(*) AS games
+        s.cf * 3600 / s.toi_es_sec AS cf60, s.ca * 3600 / s.toi_es_sec AS ca60, s.toi_es_sec / s.toi_total_sec AS es_share, s.toi_total_sec / 60.0::DOUBLE / s.games AS toi_per_game,
+        {", ".join(f"s.{c} * 3600 / s.toi_total_sec AS {n}" for n, c in PER_HOUR.items())}, s.cf * 100 / (s.cf + s.ca) AS cf_percent, (s.cf - s.ca) * 3600 / s.toi_es_sec AS es_net60,
+        coalesce(s.faceoff_wins / nullif(s.faceoff_taken, 0), 0.5) AS fo_win_pct
+        FROM (SELECT season, player_id, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in PLAYER_SUMS)}, count(*) AS games
               FROM v_pg GROUP BY season, player_id) s
         JOIN (SELECT season, player_id, team_id, row_number() OVER (PARTITION BY season, player_id ORDER BY sum(toi_total_sec) DESC, team_id) AS k
               FROM v_pg GROUP BY season, player_id, team_id) t ON s.season = t.season AND s.player_id = t.player_id AND t.k = 1""",

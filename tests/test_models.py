@@ -81,6 +81,24 @@ def test_metrics(spark):
     assert r.rmse == pytest.approx(math.sqrt(0.5)) and r.mae == 0.5 and r.r2 == pytest.approx(0.5)
 
 
+def test_model_table(spark):
+    """Two teams, seven games: rolled means see earlier games only, and the label is the goals'."""
+    from shiftframe.operators import features
+
+    columns = ["season", "game_id", "player_id", "team_id", *features.SUMS]
+    def row(g, t, goals, seconds, player):
+        return (1, g, player, t, *(goals if c == "goals" else seconds if c.startswith("toi") else 10 + g if c == "cf" else 5 if c in ("ca", "faceoff_taken") else 1 for c in features.SUMS))
+    data = [row(g, t, (g + t) % 2, 600, 10 * t) for g in range(7) for t in (1, 2)] + [row(g, 1, 0, 200, 11) for g in range(7)]
+    games = spark.createDataFrame(data, columns)
+    roles = spark.createDataFrame([(1, 10, "F", 0), (1, 20, "D", 2)], "season long, player_id long, pos_group string, cluster int")
+    found = {(r.game_id, r.team_id): r for r in features.model_table(games, roles).collect()}
+    assert set(found) == {(g, t) for g in (5, 6) for t in (1, 2)}
+    assert found[6, 1].win == 1 and found[6, 1].goal_diff == 1 and found[6, 2].win == 0
+    assert found[6, 1].roll15_F_share_0 == pytest.approx(0.75) and found[6, 2].roll15_D_share_2 == 1 and found[6, 2].roll15_F_share_0 == 0
+    assert found[6, 2].roll15_cf_percent == pytest.approx(np.mean([(10 + g) / (15 + g) for g in range(6)]))
+    assert found[6, 1].roll15_shots == 2 and found[6, 1].roll15_diff_cf60 == pytest.approx(np.mean([(20 + 2 * g) * 4.5 - (10 + g) * 6 for g in range(6)]))
+
+
 def test_no_group_is_in_two_folds(spark):
     rows = spark.createDataFrame([(k // 4, float(k % 5), float(k % 5 > 2)) for k in range(400)], "g long, x1 double, y double")
     found = A.cross_validated(rows, ["x1"], "y", "g", A.logistic(10.0))
@@ -99,6 +117,6 @@ def test_scores(spark):
     assert {r.features for r in rows_of(spark, "ablation")} == {"all", "without shares"}
     assert len(rows_of(spark, "grid_search")) == 14
     assert sum(r.n for r in rows_of(spark, "calibration_oof")) == models._games(spark, FOLDER).count()
-    assert len(rows_of(spark, "top_coefficients")) == 9
+    assert len(rows_of(spark, "top_coefficients")) == 15
     found = {r.delta_share: r.mean_change for r in rows_of(spark, "simulated_lineups")}
     assert len(found) == 8 and found[0.0] == pytest.approx(0, abs=1e-9)
