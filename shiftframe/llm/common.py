@@ -74,6 +74,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
                 remove(spark, found.get())
 
 
+def apart(docs: DataFrame) -> str:
+    """A prefix that no column of ``docs`` begins with: for helper columns, which then neither hide nor replace any."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others may have any name."""
     return docs.select(*(F.col(f"`{n}`") for n in names))

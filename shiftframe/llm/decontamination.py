@@ -413,6 +413,8 @@ def contaminated(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id holds a benchmark item."""
-    held = contaminated(docs, benchmark, similar, id_col, text_col).select(F.col(f"`{id_col}`").alias("__id")).distinct()
-    return docs.join(held, docs[id_col].eqNullSafe(held["__id"]), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item; others of the same id, or of none, stay."""
+    key = lambda: F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    keyed = columns(docs, id_col, text_col).select(key().alias("key"), F.col(f"`{text_col}`").alias("text"))
+    held = contaminated(keyed, benchmark, similar, "key", "text").select(F.col("key").alias("held")).distinct()
+    return docs.join(held, key() == held["held"], "left_anti")

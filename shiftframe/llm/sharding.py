@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import apart, checkpointed
 
 RANGES_PER_SHARD, RANGE_BYTES = 8, 256 << 20
 SAMPLES_PER_RANGE = 16
@@ -135,19 +135,22 @@ def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col:
     before = (counted.cumsum() - counted).to_numpy()
     spread = tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # more ranges than tasks would be
 
+    p = apart(docs)
+    h, i, n, at_range, low, first, end, at, shard = (p + c for c in ("h", "i", "n", "range", "low", "first", "end", "at", "shard"))
+
     def placed(rows: DataFrame) -> DataFrame:
-        """rows (with __h, __i, __n) and their shard and place in the whole order."""
-        own, order = (F.col("__h"), F.col("__i")), Window.partitionBy("__r").orderBy("__h", "__i", "__n")
-        upto = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        rows = rows.withColumns({"__r": splitters.range_of(*own), "__b": splitters.looked_up(*own, before[:, 0]), "__k": splitters.looked_up(*own, before[:, 1])})
-        rows = rows.repartition(tasks, "__r") if spread else rows
-        rows = rows.withColumns({"__end": F.col("__b") + upto, "__at": F.col("__k") + F.row_number().over(order) - 1})
-        middle = F.col("__end") - F.col("__n") / 2
-        return rows.withColumn("__shard", F.least(F.floor(middle * shards / F.lit(float(max(total, 1)))), F.lit(shards - 1)).cast("int"))
-
-    light = keys.select(F.col("h").alias("__h"), F.col("i").alias("__i"), F.col("size").alias("__n"))
-    starts = dict(placed(light).groupBy("__shard").agg(F.min("__at")).collect())
+        """rows (with their hashes and size) and their shard and place in the whole order."""
+        own, order = (F.col(h), F.col(i)), Window.partitionBy(at_range).orderBy(h, i, n)
+        upto = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.withColumns({at_range: splitters.range_of(*own), low: splitters.looked_up(*own, before[:, 0]), first: splitters.looked_up(*own, before[:, 1])})
+        rows = rows.repartition(tasks, at_range) if spread else rows
+        rows = rows.withColumns({end: F.col(low) + upto, at: F.col(first) + F.row_number().over(order) - 1})
+        middle = F.col(end) - F.col(n) / 2
+        return rows.withColumn(shard, F.least(F.floor(middle * shards / F.lit(float(max(total, 1)))), F.lit(shards - 1)).cast("int"))
+
+    light = keys.select(F.col("h").alias(h), F.col("i").alias(i), F.col("size").alias(n))
+    starts = dict(placed(light).groupBy(shard).agg(F.min(at)).collect())
     starts = F.array(*(F.lit(starts.get(s, 0)) for s in range(shards))).cast("array<long>")
-    out = placed(docs.withColumns({"__h": key["h"], "__i": key["i"], "__n": size}))
-    added = [F.col("__n").alias("size"), F.col("__shard").alias("shard"), (F.col("__at") - starts[F.col("__shard")]).alias("slot")]
+    out = placed(docs.withColumns({h: key["h"], i: key["i"], n: size}))
+    added = [F.col(n).alias("size"), F.col(shard).alias("shard"), (F.col(at) - starts[F.col(shard)]).alias("slot")]
     return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot")), *added)

@@ -136,3 +136,37 @@ def test_a_session_on_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(SimpleNamespace(sparkContext=context))
+
+
+def test_one_id_with_several_texts(spark):
+    """Only the texts that hold an item go: rows of the same id, or of none, stay."""
+    item = "alpha beta gamma delta epsilon zeta"
+    rows = [(None, item), (None, "clean words"), (1, item), (1, "other words"), (2, "clean words"), (3, item), (3, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, held string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = sorted(((r.doc_id, r.text) for r in decontamination.decontaminated(docs, items).collect()), key=repr)
+    assert found == sorted((r for r in rows if r[1] != item), key=repr)
+
+
+HELPERS = ["__h", "__n", "__r", "__b", "__k", "__i", "__end", "__at", "__shard", "__range", "___h", "__source", "__draw", "__topic", "__lang", "__sure", "__id", "__weight", "__p", "key", "held", "value", "moved", "ratio", "part", "fp", "root", "h"]
+
+
+def test_helper_columns_of_every_stage_as_input(spark):
+    """Columns named like the operators' own keep their values."""
+    rows = [(k, f"some plain words number {k} and then some more of them", "en", f"s{k % 2}", *range(len(HELPERS))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in HELPERS))
+    stages = {
+        "shards": lambda d: sharding.assign_shards(d, 3),
+        "mixed": lambda d: mixing.corpus_mix(d),
+        "deduplicated": lambda d: near_duplicates.deduplicated(d),
+        "decontaminated": lambda d: decontamination.decontaminated(d, benchmark(spark)),
+    }
+    import corpus_pipeline
+
+    model = language_id.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    p = __import__("shiftframe.llm.common", fromlist=["apart"]).apart(docs)
+    stages["language"] = lambda d: language_id.predict(d, model, keep=tuple(d.columns), out=(f"{p}lang", f"{p}sure"))
+    for name, stage in stages.items():
+        found = stage(docs).collect()
+        assert found and all(tuple(r[c] for c in HELPERS) == tuple(range(len(HELPERS))) for r in found), name
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_id" and p == "____"

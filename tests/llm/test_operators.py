@@ -444,7 +444,28 @@ def test_unlisted_and_null_values_are_sampled(spark):
     assert all(r[2] == pytest.approx(0.05 * 2 / 3, abs=1e-3) for r in mixed if not r.other)
     assert mixing.corpus_mix(docs).agg(F.min("probability")).first()[0] > 0
     cells = mixing.cells_of(docs, {"source": docs["source"]})
-    assert set(mixing.alike(cells, "source")) == {"new", *(f"src{k}" for k in range(20))} and set(mixing.shares(cells, "source", 0.1)) == {"new"}
+    named = {r.value: r.share for r in mixing.alike(cells, "source").collect()}
+    assert set(named) == {"new", *(f"src{k}" for k in range(20))} and len(set(named.values())) == 1
+    own = {r.value: r.share for r in mixing.shares(cells, "source").collect()}
+    assert own["new"] == pytest.approx(1 / 6) and sum(own.values()) == pytest.approx(sum(named.values()))
+
+
+@pytest.mark.parametrize("few", [1, 1 << 18])
+def test_thousands_of_small_sources_are_raked(spark, monkeypatch, few):
+    """2000 sources, one with a third of all rows: each gets its equal share, by broadcast cells or by salted ones."""
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", few)
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
+    rows = [(k, "a b c" + " d" * (k % 3), f"s{k % 2000}" if k % 3 else "hot", "fr" if k // 2000 % 2 else "en") for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    dimensions = {"source": docs["source"], "lang": docs["lang"]}
+    cells = mixing.cells_of(docs, dimensions)
+    found = mixing.mixed(docs, {"source": mixing.alike(cells, "source"), "lang": {"en": 0.5, "fr": 0.5}}, dimensions, cells)
+    assert found.count() == 9000 and found.columns == [*docs.columns, "n_tokens", "cell_weight", "probability", "sampled"]
+    total = found.agg(F.sum("n_tokens")).first()[0]
+    share = F.sum(F.col("n_tokens") * F.col("cell_weight")) / total
+    by_source = [r[1] for r in found.groupBy("source").agg(share).collect()]
+    assert len(by_source) == 2001 and max(by_source) < 1.05 / len(by_source) and min(by_source) > 0.95 / len(by_source)
+    assert {r[0]: round(r[1], 3) for r in found.groupBy("lang").agg(share).collect()} == {"en": 0.5, "fr": 0.5}
 
 
 def test_probabilities_against_plain_raking(docs):
