@@ -97,12 +97,10 @@ def normalize_name_strict(name: Column, accents: bool = True) -> Column:
     return _join_initials(F.regexp_replace(text, "[^a-z ]", ""))
 
 
-def lookup_keys(name: Column) -> Column:
-    """The keys "first last" and "f last" of a normal name; only the name itself if it is one word."""
-    words = F.split(name, " ")
-    last = F.element_at(words, -1)
-    first = F.element_at(words, 1)
-    return F.when(F.size(words) < 2, F.array(name)).otherwise(F.array_distinct(F.array(F.concat_ws(" ", first, last), F.concat_ws(" ", F.substring(first, 1, 1), last))))
+def lookup_keys(first: Column, last: Column) -> Column:
+    """The keys "first last" and "f last" of normal first and whole last names; none if either is empty."""
+    keys = F.array_distinct(F.array(F.concat_ws(" ", first, last), F.concat_ws(" ", F.substring(first, 1, 1), last)))
+    return F.when((first != "") & (last != ""), keys).otherwise(F.array().cast("array<string>"))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -165,3 +163,30 @@ def first_name_similarity(a: Column, b: Column) -> Column:
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     settled = F.when((a == "") | (b == ""), 0.0).when((a == b) | (F.length(a) >= 3) & (F.startswith(a, b) | F.startswith(b, a)), 1.0)
     return F.coalesce(settled, _matched_ratio(F.when(settled.isNull(), a), b))
+
+
+def first_and_last(normal: Column) -> tuple[Column, Column]:
+    """The first and the last word of a normal name; one word has no last name."""
+    words = F.split(normal, " ")
+    return F.element_at(words, 1), F.when(F.size(words) > 1, F.element_at(words, -1)).otherwise(F.lit(""))
+
+
+def last_name_spellings(last: Column) -> Column:
+    """A normal last name and what it may be misspelt for, in the order to try: -man as -mann, -son as -sen."""
+    return F.array_compact(F.array(last, F.when(F.endswith(last, F.lit("man")), F.concat(last, F.lit("n"))), F.when(F.endswith(last, F.lit("son")), F.concat(F.substring(last, F.lit(1), F.length(last) - 3), F.lit("sen")))))
+
+
+def same_first_name(variants: Column, b: Column) -> Column:
+    """True if ``b`` is one of the variants, begins one of three letters or more, or begins with one."""
+    return (b != "") & F.exists(variants, lambda v: (v != "") & ((v == b) | (F.length(v) >= 3) & (F.startswith(v, b) | F.startswith(b, v))))
+
+
+@F.pandas_udf(DoubleType())
+def _best_matched_ratio(variants: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else max((SequenceMatcher(None, x, y).ratio() for x in v if x), default=0.0) for v, y in zip(variants, b, strict=True)], dtype=float)
+
+
+def variants_similarity(variants: Column, b: Column) -> Column:
+    """The greatest ``first_name_similarity`` of the variants to ``b``; only names that are not alike leave the JVM."""
+    settled = F.when(F.coalesce(b, F.lit("")) == "", 0.0).when(same_first_name(variants, b), 1.0)
+    return F.coalesce(settled, _best_matched_ratio(F.when(settled.isNull(), variants), b))

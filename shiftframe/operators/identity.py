@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftframe.functions.names import lookup_keys
+from shiftframe.functions.names import first_and_last, first_name_variants, last_name_spellings, lookup_keys, normalize_name_strict, same_first_name, variants_similarity
 
 from .grouping import primary_row
 
 
-def name_lookup(people: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """(name_key, id): each lookup key with the greatest id that has it."""
-    keys = people.select(F.col(id_col), F.explode(lookup_keys(F.col(name_col))).alias("name_key"))
-    return keys.where("name_key <> ''").groupBy("name_key").agg(F.max(id_col).alias(id_col))
+def name_lookup(people: DataFrame, id_col: str, first_col: str, last_col: str) -> DataFrame:
+    """(name_key, id): each lookup key of the normal first and last names with the greatest id that has it."""
+    keys = people.select(F.col(id_col), F.explode(lookup_keys(F.col(first_col), F.col(last_col))).alias("name_key"))
+    return keys.groupBy("name_key").agg(F.max(id_col).alias(id_col))
 
 
 def unique_names(people: DataFrame, id_col: str, name_col: str) -> DataFrame:
@@ -44,3 +44,68 @@ def accepted(candidates: DataFrame, keys: list[str], sim: str, tie: Column) -> D
 def deduplicated_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return primary_row(rows, keys, order)
+
+
+def _spaceless(normal: Column) -> Column:
+    return F.replace(normal, F.lit(" "))
+
+
+def known_names(people: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """(last, first, low, high, n): people by first and last word of their normal name, with the least and greatest of their ids."""
+    normal = people.select(F.col(id_col).alias("id"), normalize_name_strict(F.col(name_col)).alias("normal"))
+    first, last = first_and_last(F.col("normal"))
+    return normal.select("id", first.alias("first"), last.alias("last")).where("last <> ''").groupBy("last", "first").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("n"))
+
+
+def asked_names(asked: DataFrame, key_col: str, name_col: str) -> DataFrame:
+    """(normal, first, last, variants) of the names asked for, once each, that have a last name."""
+    normal = asked.select(normalize_name_strict(F.col(name_col)).alias("normal")).distinct()
+    first, last = first_and_last(F.col("normal"))
+    return normal.select("normal", first.alias("first"), last.alias("last"), first_name_variants(first, F.col("normal")).alias("variants")).where("last <> ''")
+
+
+def last_name_blocks(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``asked`` with block: the first spelling of the last name that anyone of ``known`` has; names without one are left out."""
+    tried = asked.select("*", F.posexplode(last_name_spellings(F.col("last"))).alias("at", "block"))
+    met = tried.join(known.select(F.col("last").alias("block")).distinct(), "block")
+    best = met.groupBy("normal").agg(F.min_by("block", "at").alias("block"))
+    return asked.join(best, "normal")
+
+
+def alike_candidates(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """(normal, id): the least id of those in the block whose first name is alike.
+
+    Alike names share their first letters, up to three: they meet by last name and those, not all of a block.
+    """
+    begun = F.filter(F.array_distinct(F.flatten(F.transform("variants", lambda v: F.transform(F.sequence(F.lit(1), F.least(F.length(v), F.lit(3))), lambda k: F.substring(v, F.lit(1), k))))), lambda x: x != "")
+    tried = blocks.where("size(variants) > 0").select("normal", "variants", F.col("block").alias("last"), F.explode(begun).alias("begin"))
+    met = tried.join(known.select("last", "first", "low", F.substring("first", 1, 3).alias("begin")), ["last", "begin"])
+    return met.where(same_first_name(F.col("variants"), F.col("first"))).groupBy("normal").agg(F.min("low").alias("id"))
+
+
+def candidates(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """(normal, id, sim): the two best of each name's block; people of one first and last name count as two at most."""
+    met = blocks.select("normal", "variants", F.col("block").alias("last")).join(known, "last")
+    pairs = met.select("normal", "low", "high", variants_similarity(F.col("variants"), F.col("first")).alias("sim"))
+    each = pairs.select("normal", F.explode(F.array_distinct(F.array("low", "high"))).alias("id"), "sim")
+    order = Window.partitionBy("normal").orderBy(F.desc("sim"), "id")
+    return each.withColumn("__k", F.row_number().over(order)).where("__k <= 2").drop("__k")
+
+
+def resolved_names(asked: DataFrame, people: DataFrame, key_col: str, id_col: str, asked_name: str = "name", people_name: str = "name") -> DataFrame:
+    """(key, id, sim, verdict): the person that each name asked for is taken to be, where one can be told.
+
+    Names that are equal, but for spaces, come first (sim 1.5, "exact"). Of the others only people of the same last name, or
+    of the first other spelling of it that anyone has, are candidates, and their first names decide: alike ("high") or, by the best matched ratio of
+    any variant, as ``accepted`` says. Each step sees only what those before it leave; ties go to the least id. Names asked for
+    and known are counted by spelling first, so that a frequent name is compared once.
+    """
+    names, known = asked_names(asked, key_col, asked_name), known_names(people, id_col, people_name)
+    whole = people.select(_spaceless(normalize_name_strict(F.col(people_name))).alias("flat"), F.col(id_col).alias("id")).groupBy("flat").agg(F.min("id").alias("id"))
+    exact = names.select("normal", _spaceless(F.col("normal")).alias("flat")).join(whole, "flat").select("normal", "id", F.lit(1.5).alias("sim"), F.lit("exact").alias("verdict"))
+    blocks = last_name_blocks(names.join(exact, "normal", "left_anti"), known)
+    alike = alike_candidates(blocks, known).select("normal", "id", F.lit(1.0).alias("sim"), F.lit("high").alias("verdict"))
+    rest = accepted(candidates(blocks.join(alike, "normal", "left_anti"), known), ["normal"], "sim", F.asc("id"))
+    found = exact.unionByName(alike).unionByName(rest.select("normal", "id", "sim", "verdict"))
+    keyed = asked.select(F.col(key_col), normalize_name_strict(F.col(asked_name)).alias("normal"))
+    return keyed.join(found, "normal").select(key_col, F.col("id").alias(id_col), "sim", "verdict")

@@ -123,7 +123,7 @@ NORMAL = f"coalesce(regexp_replace(regexp_replace({NORM}, '\\b([a-z])\\s+([a-z])
 
 @query(
     with_views(
-        f""", p AS (SELECT doc_id, {NORMAL} AS full_name FROM v_names), ext AS (SELECT doc_id AS ext_id, doc_id AS player_id FROM documents WHERE lang = 'de'),
+        f""", p AS (SELECT doc_id, {NORMAL} AS full_name FROM v_names), ext AS (SELECT doc_id AS ext_id, doc_id AS player_id FROM v_names WHERE starts_with(name, 'D')),
     uni AS (SELECT full_name, min(doc_id) AS player_id FROM p WHERE full_name <> '' GROUP BY full_name HAVING count(DISTINCT doc_id) = 1),
     last AS (SELECT full_name, max(doc_id) AS player_id FROM p WHERE full_name <> '' GROUP BY full_name)
     SELECT p.doc_id AS ext_id, p.full_name, coalesce(e.player_id, u.player_id, l.player_id) AS player_id, CAST(CASE WHEN e.player_id IS NOT NULL THEN 1 WHEN u.player_id IS NOT NULL THEN 2 WHEN l.player_id IS NOT NULL THEN 3 END AS INT) AS step
@@ -133,7 +133,7 @@ NORMAL = f"coalesce(regexp_replace(regexp_replace({NORM}, '\\b([a-z])\\s+([a-z])
 )
 def id_cascade(spark, sf_dir):
     people = views.names(spark, sf_dir).select(F.col("doc_id").alias("ext_id"), normalize_name(F.col("name")).alias("full_name")).withColumn("player_id", F.col("ext_id"))
-    known = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("ext_id"), F.col("doc_id").alias("player_id"))
+    known = views.names(spark, sf_dir).where("name LIKE 'D%'").select(F.col("doc_id").alias("ext_id"), F.col("doc_id").alias("player_id"))
     latest = people.where("full_name <> ''").groupBy("full_name").agg(F.max("player_id").alias("player_id"))
     steps = [(known, "ext_id"), (identity.unique_names(people, "player_id", "full_name"), "full_name"), (latest, "full_name")]
     return identity.id_cascade(people.select("ext_id", "full_name"), steps, "player_id").select("ext_id", "full_name", "player_id", "step")

@@ -45,17 +45,56 @@ def name_spellings(spark, sf_dir):
     return _people(spark, sf_dir).select("c_custkey", names.normalize_name(F.col("name")).alias("name_key"), names.normalize_name_strict(F.col("name")).alias("strict_key"))
 
 
+FIRST, LAST = (NORMAL.replace("trim(name)", f"trim({c})") for c in ("first", "last"))
+
+
 @query(
     with_views(
-        f""", p AS (SELECT doc_id, {NORMAL} AS n FROM v_names), w AS (SELECT doc_id, n, string_split(n, ' ') AS w FROM p),
-    k AS (SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN [n] ELSE [w[1] || ' ' || w[-1], w[1][1] || ' ' || w[-1]] END) AS name_key FROM w)
-    SELECT name_key, max(doc_id) AS doc_id FROM k WHERE name_key <> '' GROUP BY name_key""",
+        f""", p AS (SELECT doc_id, {FIRST} AS f, {LAST} AS l FROM v_names), k AS (SELECT doc_id, unnest([f || ' ' || l, f[1] || ' ' || l]) AS name_key FROM p WHERE f <> '' AND l <> '')
+    SELECT name_key, max(doc_id) AS doc_id FROM k GROUP BY name_key""",
         "v_names",
     )
 )
 def name_lookup(spark, sf_dir):
-    people = views.names(spark, sf_dir).select("doc_id", names.normalize_name(F.col("name")).alias("name"))
-    return identity.name_lookup(people, "doc_id", "name").select("name_key", "doc_id")
+    people = views.names(spark, sf_dir).select("doc_id", *(names.normalize_name(F.col(c)).alias(c) for c in ("first", "last")))
+    return identity.name_lookup(people, "doc_id", "first", "last").select("name_key", "doc_id")
+
+
+NICKS = ", ".join(f"({g}, '{n}')" for g, group in enumerate(names.NICKNAMES) for n in group)
+RESOLVING = f""", people AS (SELECT doc_id, n, string_split(n, ' ') AS w FROM (SELECT doc_id, {STRICT} AS n FROM v_names)),
+asked AS (SELECT DISTINCT n, string_split(n, ' ') AS w FROM (SELECT {STRICT} AS n FROM v_titled) WHERE contains(n, ' ')),
+known AS (SELECT w[-1] AS last, w[1] AS first, min(doc_id) AS low FROM people WHERE len(w) > 1 GROUP BY ALL), lasts AS (SELECT DISTINCT last FROM known),
+exact AS (SELECT a.n, min(p.doc_id) AS id FROM asked a JOIN people p ON replace(a.n, ' ', '') = replace(p.n, ' ', '') GROUP BY a.n),
+spelt AS (SELECT n, w, unnest([{{'k': 1, 'l': w[-1]}}, {{'k': 2, 'l': CASE WHEN ends_with(w[-1], 'man') THEN w[-1] || 'n' END}}, {{'k': 3, 'l': CASE WHEN ends_with(w[-1], 'son') THEN w[-1][:-4] || 'sen' END}}]) AS x FROM asked WHERE n NOT IN (SELECT n FROM exact)),
+blocks AS (SELECT n, w, arg_min(x.l, x.k) AS block FROM spelt JOIN lasts ON x.l = last GROUP BY ALL),
+nick AS (SELECT * FROM (VALUES {NICKS}) t(g, v)),
+variants AS (SELECT n, w[1] AS v FROM blocks UNION SELECT n, w[1][1:3] FROM blocks WHERE length(w[1]) >= 3 UNION SELECT n, w[1][1:4] FROM blocks WHERE length(w[1]) >= 4
+  UNION SELECT n, array_to_string(list_transform(w[1:-2], lambda x: x[1]), '') FROM blocks WHERE len(w) > 2 UNION SELECT n, b.v FROM blocks JOIN nick a ON a.v = w[1] JOIN nick b ON a.g = b.g),
+alike AS (SELECT n, min(low) AS id FROM blocks JOIN variants USING (n) JOIN known ON last = block WHERE first <> '' AND (v = first OR (length(v) >= 3 AND (starts_with(v, first) OR starts_with(first, v)))) GROUP BY n)"""
+BOTH_NAMES = ("v_names", "v_titled")
+
+
+@query(with_views(RESOLVING + ", c AS (SELECT n, block, count(*) AS n_first_names FROM blocks JOIN known ON last = block GROUP BY ALL) SELECT n AS name, block, CAST(n_first_names AS BIGINT) AS n_first_names FROM c", *BOTH_NAMES))
+def name_candidates(spark, sf_dir):
+    """The last name that each title's name is looked up by, and how many first names it meets there."""
+    asked, known = identity.asked_names(views.titled(spark, sf_dir), "page_id", "name"), identity.known_names(views.names(spark, sf_dir), "doc_id", "name")
+    flat = views.names(spark, sf_dir).select(F.replace(names.normalize_name_strict(F.col("name")), F.lit(" ")).alias("flat")).distinct()
+    open_ = asked.withColumn("flat", F.replace("normal", F.lit(" "))).join(flat, "flat", "left_anti").drop("flat")
+    blocks = identity.last_name_blocks(open_, known)
+    return blocks.join(known, F.col("block") == known["last"]).groupBy(F.col("normal").alias("name"), "block").agg(F.count("*").alias("n_first_names"))
+
+
+@query(with_views(RESOLVING + f" SELECT page_id, coalesce(e.id, a.id) AS doc_id, CASE WHEN e.id IS NULL THEN 'high' ELSE 'exact' END AS verdict FROM (SELECT page_id, {STRICT} AS n FROM v_titled) LEFT JOIN exact e USING (n) LEFT JOIN alike a USING (n) WHERE coalesce(e.id, a.id) IS NOT NULL", *BOTH_NAMES))
+def sure_names(spark, sf_dir):
+    """Titles' names that are a person's, or alike by nickname, prefix or initials."""
+    return resolved_names(spark, sf_dir).where("sim >= 1").select("page_id", "doc_id", "verdict")
+
+
+@query()
+def resolved_names(spark, sf_dir):
+    """All titles' names that can be told, with the matched ratio's, which SQL lacks; a test compares all pairs."""
+    found = identity.resolved_names(views.titled(spark, sf_dir), views.names(spark, sf_dir), "page_id", "doc_id")
+    return found.select("page_id", "doc_id", F.round("sim", 6).alias("sim"), "verdict")
 
 
 MATCHES = [

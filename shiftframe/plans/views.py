@@ -131,10 +131,24 @@ def team_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("team_id"), F.col("n_name").alias("team_code"))
 
 
+LINES = 1_000_000  # more than the lines of a text
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, name): the first two words of each document."""
-    start = F.regexp_extract("text", r"^[^ \n]*(?:[ \n][^ \n]*)?", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.replace(start, F.lit("\n"), F.lit(" ")), F.lit("")).alias("name"))
+    """(doc_id, first, last, name): a person for each line of each document, whose id is of both: its first word, and the next or the next two."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line"))
+    words = F.split("line", " ")
+    first, last = F.get(words, F.lit(0)), F.array_join(F.slice(words, 2, F.col("k") % 2 + 1), " ")
+    rows = lines.select((F.col("doc_id") * LINES + F.col("k")).alias("doc_id"), first.alias("first"), last.alias("last"))
+    return rows.withColumn("name", F.concat_ws(" ", "first", "last"))
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, name): the first two words of each page's title, which are to be known as people; the first is short of letters, or has one too many, on two pages of three."""
+    pattern = r"(?s)<title[^>]*>([^ <]*) ?([^ <]*)"
+    first, last, k = F.regexp_extract("html", pattern, 1), F.regexp_extract("html", pattern, 2), F.col("page_id") % 3
+    spelt = F.when(k == 0, first).when(k == 1, F.left(first, F.greatest(F.length(first) - 2, F.lit(1)))).otherwise(F.concat(F.lit("x"), first))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", spelt, last).alias("name"))
 
 
 SQL = {
@@ -166,7 +180,10 @@ SQL = {
         JOIN (SELECT season, player_id, team_id, row_number() OVER (PARTITION BY season, player_id ORDER BY sum(toi_total_sec) DESC, team_id) AS k
               FROM v_pg GROUP BY season, player_id, team_id) t ON s.season = t.season AND s.player_id = t.player_id AND t.k = 1""",
     "v_team_code": "SELECT CAST(n_nationkey AS BIGINT) AS team_id, n_name AS team_code FROM nation",
-    "v_names": "SELECT doc_id, concat_ws(' ', string_split(replace(text, chr(10), ' '), ' ')[1], string_split(replace(text, chr(10), ' '), ' ')[2]) AS name FROM documents",
+    "v_names": f"""SELECT doc_id, w[1] AS first, array_to_string(w[2:2 + k % 2], ' ') AS last, concat_ws(' ', w[1], array_to_string(w[2:2 + k % 2], ' ')) AS name
+        FROM (SELECT doc_id * {LINES} + k AS doc_id, k, string_split(line, ' ') AS w FROM (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents))""",
+    "v_titled": """SELECT page_id, concat_ws(' ', CASE page_id % 3 WHEN 0 THEN f WHEN 1 THEN left(f, greatest(length(f) - 2, 1)) ELSE 'x' || f END, l) AS name
+        FROM (SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>([^ <]*) ?([^ <]*)', 1) AS f, regexp_extract(html, '(?s)<title[^>]*>([^ <]*) ?([^ <]*)', 2) AS l FROM pages)""",
 }
 NEEDS = {"v_ps": ("v_pg",)}
 
