@@ -161,3 +161,59 @@ def test_role_shares_without_the_unknown_sum_to_less(spark):
     rows = spark.createDataFrame([(1, "F0", 50), (1, "D1", 30), (1, "UNK", 20)], "season long, cell string, toi long")
     shares = rows.withColumn("share", buckets.share_over(F.col("toi"), ["season"])).groupBy("season").pivot("cell", ["F0", "D1"]).agg(F.sum("share")).first()
     assert shares.F0 + shares.D1 == pytest.approx(0.8)
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """A game with far more shifts and plays than seconds, beside small ones with the same rules."""
+    random.seed(11)
+    shifts = [(1, k % 40, k % 2, "F", s, s + random.randint(0, 70)) for k in range(20_000) for s in [random.randint(0, 3500)]]
+    shifts += [(g, k % 7, k % 2, "F", s, s + random.randint(0, 70)) for g in (2, 3) for k in range(30) for s in [random.randint(0, 300)]]
+    shifts += [(2, 5, 1, "F", 0, 100_000), (3, 6, 0, "F", -50, 5000)]
+    plays = [(k, 1 if k % 3 else 2 + k % 2, random.randint(-5, 3600), "Shot", k % 2, 1 - k % 2) for k in range(600)]
+    return spark.createDataFrame(shifts, SHIFT).repartition(8).persist(), spark.createDataFrame(plays, PLAY).repartition(3).persist()
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_crowded_game_on_ice(crowded, closed):
+    shifts, plays = crowded
+    found = {(r.game_id, r.event_id, r.player_id, r.team_id, r.is_for) for r in I.on_ice(plays, shifts, closed).collect()}
+    rows = shifts.collect()
+    want = {(p.game_id, p.event_id, s.player_id, s.team_id, s.team_id == p.team_id_for) for p in plays.collect() for s in rows if s.game_id == p.game_id and s.shift_start <= p.time and (p.time <= s.shift_end if closed else p.time < s.shift_end)}
+    assert found == want
+
+
+def test_plays_meet_only_shifts_near_them(crowded):
+    shifts, plays = crowded
+    met = I.met_on_clock(plays, shifts, ["game_id"]).count()
+    inside = plays.join(shifts, "game_id").where("shift_start <= time and time < shift_end").count()
+    assert met < 6 * inside < plays.join(shifts, "game_id").count() / 10
+
+
+def test_crowded_game_by_the_second(crowded):
+    """Timeline, as-of flags and seconds against counts of every second; no window holds more than a game's seconds."""
+    import numpy as np
+
+    shifts, plays = crowded
+    small = shifts.where("game_id <> 2")  # its one endless shift has no end within the counted seconds
+    timeline = I.strength_timeline(small).persist()
+    kept = {r.event_id for r in I.equal_strength_plays(plays.where("game_id <> 2"), timeline).collect()}
+    toi = {(r.game_id, r.player_id, r.team_id): r.toi_sec for r in I.equal_strength_toi(small, timeline, P.KEYS).collect()}
+    assert timeline.groupBy("game_id").count().agg(F.max("count")).first()[0] <= 3600
+    for g in (1, 3):
+        rows, n, at = [r for r in small.collect() if r.game_id == g], np.zeros((2, 6000), int), lambda t: t + 60
+        for r in rows:
+            n[r.team_id, at(r.shift_start) : at(r.shift_end)] += 1
+        first = [min(r.shift_start for r in rows if r.team_id == t) for t in (0, 1)]
+        for t in (0, 1):  # until its first change a team has its first count
+            n[t, : at(first[t])] = n[t, at(first[t])]
+        begin, end = min(first), max(r.shift_end for r in rows)
+        out = (n[0] != n[1]) & (n[0] <= 6) & (n[1] <= 6)
+        out[: at(begin)], out[at(end) :] = out[at(begin)], False
+        assert {p.event_id for p in plays.collect() if p.game_id == g and not out[at(p.time)]} == {e for e in kept if e in {p.event_id for p in plays.collect() if p.game_id == g}}
+        for player, team in {(r.player_id, r.team_id) for r in rows}:
+            on = np.zeros(6000, bool)
+            for r in rows:
+                if (r.player_id, r.team_id) == (player, team):
+                    on[at(r.shift_start) : at(r.shift_end)] = True
+            assert toi[g, player, team] == int((on & ~out).sum())
