@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import replace
 
+import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .clusters import Clusters, kmeans_runs, silhouettes
 from .folded import Fit, Linear, balanced_folds, cross_scored, logistic_fits
 from .ordering import sums_before
 
@@ -47,44 +48,37 @@ def plain(columns: list[str]) -> list:
     return [VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip")]
 
 
-def kmeans(train: DataFrame, columns: list[str], k: int = 3, seeds: Iterable[int] = range(42, 92), order_by: str | None = None, scale: bool = True) -> tuple[PipelineModel, list[int]]:
-    """The fit of least cost over the seeds, and each raw label's number by the centers' ``order_by``.
+def kmeans(train: DataFrame, columns: list[str], k: int = 3, seeds: Iterable[int] = range(42, 92), order_by: str | None = None, scale: bool = True) -> Clusters:
+    """The clusters of least cost over the seeds, numbered by the centres' ``order_by``; all seeds share their scans.
 
     Labels of k-means are arbitrary; numbering them by one feature of the
-    centers makes them the same from run to run.
+    centres makes them the same from run to run.
     """
-    prepared = Pipeline(stages=scaled(columns) if scale else plain(columns)).fit(train)
-    with cached(prepared.transform(train).select("x")) as vectors:
-        fits = _each(lambda s: KMeans(k=k, seed=s, featuresCol="x", predictionCol="raw_cluster").fit(vectors), seeds)
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    at = columns.index(order_by or columns[0])
-    order = sorted(range(k), key=lambda c: best.clusterCenters()[c][at])
-    return PipelineModel(stages=[*prepared.stages, best]), [order.index(c) for c in range(k)]
+    found = [c for c, _ in kmeans_runs(train, columns, [(k, s) for s in seeds], scale).values()]
+    best = min(found, key=lambda c: c.cost)
+    order = np.argsort(best.centres[:, columns.index(order_by or columns[0])], kind="stable")
+    return replace(best, centres=best.centres[order])
 
 
-def assigned(model: PipelineModel, numbers: list[int], df: DataFrame) -> DataFrame:
-    """``df`` with cluster."""
-    label = F.array(*map(F.lit, numbers))[F.col("raw_cluster")]
-    return model.transform(df).withColumn("cluster", label).drop("raw", "x", "raw_cluster")
+def assigned(model: Clusters, df: DataFrame) -> DataFrame:
+    """``df`` with cluster, without the rows that lack a column."""
+    return df.withColumn("cluster", model.number()).where("cluster is not null")
 
 
-def centers(model: PipelineModel, numbers: list[int], columns: list[str], df: DataFrame) -> DataFrame:
-    """(cluster, columns): the centers in the columns' own units."""
-    scaler, fit = model.stages[-2], model.stages[-1]
-    rows = [(numbers[c], *(float(x) for x in v * scaler.std.toArray() + scaler.mean.toArray())) for c, v in enumerate(fit.clusterCenters())]
-    return df.sparkSession.createDataFrame(rows, ["cluster", *columns])
+def centers(model: Clusters, df: DataFrame) -> DataFrame:
+    """(cluster, columns): the centres in the columns' own units."""
+    rows = [(k, *map(float, c)) for k, c in enumerate(model.own_units())]
+    return df.sparkSession.createDataFrame(rows, ["cluster", *model.columns])
 
 
-def k_sweep(train: DataFrame, columns: list[str], ks: range = range(2, 9), seed: int = 42) -> DataFrame:
-    """(k, inertia, silhouette) of each number of clusters; the silhouette is of squared distances."""
-    with cached(Pipeline(stages=scaled(columns)).fit(train).transform(train).select("x")) as vectors:
-
-        def measured(k: int) -> tuple[int, float, float]:
-            model = KMeans(k=k, seed=seed, featuresCol="x").fit(vectors)
-            return k, float(model.summary.trainingCost), float(ClusteringEvaluator(featuresCol="x").evaluate(model.transform(vectors)))
-
-        rows = _each(measured, ks)
-    return train.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+def k_sweep(train: DataFrame, columns: list[str], ks: range = range(2, 9), seeds: Iterable[int] = range(42, 52)) -> DataFrame:
+    """(k, inertia, silhouette) of each number of clusters, at the least cost over the seeds; the silhouette is of squared distances."""
+    seeds = list(seeds)
+    with cached(train.select(*columns)) as rows:
+        runs = kmeans_runs(rows, columns, [(k, s) for k in ks for s in seeds])
+        best = {k: min(((k, s) for s in seeds), key=lambda r: runs[r][0].cost) for k in ks}
+        shape = silhouettes(rows, columns, {r: runs[r] for r in best.values()})
+    return train.sparkSession.createDataFrame([(k, runs[r][0].cost, float(shape[r])) for k, r in best.items()], "k int, inertia double, silhouette double")
 
 
 def principal_axes(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -99,7 +93,7 @@ def principal_axes(df: DataFrame, columns: list[str], keys: list[str]) -> DataFr
 def axis_clusters(df: DataFrame, columns: list[str], keys: list[str], k: int = 3, seeds: Iterable[int] = range(42, 92)) -> DataFrame:
     """``principal_axes`` with cluster: k-means fitted anew on the two axes, for drawing boundaries."""
     axes = principal_axes(df, columns, keys)
-    return assigned(*kmeans(axes, ["pc1", "pc2"], k, seeds, scale=False), axes)
+    return assigned(kmeans(axes, ["pc1", "pc2"], k, seeds, scale=False), axes)
 
 
 def role_model(train: DataFrame, columns: list[str], label: str, c: float = 1.0, scale: bool = True, n: int | None = None) -> PipelineModel:

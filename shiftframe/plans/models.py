@@ -24,8 +24,8 @@ PLAIN_FEATURES = ["toi_per_game", "es_share", "p60", "s60", "cf60", "ca60", "cf_
 @query()
 def kmeans_archetypes(spark, sf_dir):
     players = views.player_seasons(spark, sf_dir).drop("cluster")
-    model, numbers = A.kmeans(players.where("season < 20002001"), FEATURES, order_by="toi_per_game")
-    return A.assigned(model, numbers, players).select("season", "player_id", "pos_group", "cluster")
+    model = A.kmeans(players.where("season < 20002001"), FEATURES, order_by="toi_per_game")
+    return A.assigned(model, players).select("season", "player_id", "pos_group", "cluster")
 
 
 @query()

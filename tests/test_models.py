@@ -19,15 +19,39 @@ def rows_of(spark, name):
 
 def test_archetypes(spark):
     players = views.player_seasons(spark, FOLDER).drop("cluster")
-    model, numbers = A.kmeans(players, models.FEATURES, seeds=range(42, 46), order_by="toi_per_game")
-    found = A.assigned(model, numbers, players)
+    model = A.kmeans(players, models.FEATURES, seeds=range(42, 46), order_by="toi_per_game")
+    found = A.assigned(model, players)
     means = [r.m for r in found.groupBy("cluster").agg(F.avg("toi_per_game").alias("m")).orderBy("cluster").collect()]
-    assert means == sorted(means) and A.centers(model, numbers, models.FEATURES, players).count() == 3
+    assert means == sorted(means) and A.centers(model, players).count() == 3
     players_in = players.count()
     assert {r.cluster for r in rows_of(spark, "kmeans_archetypes")} <= {0, 1, 2} and len(rows_of(spark, "kmeans_archetypes")) == players_in
     assert len(rows_of(spark, "pca_boundary")) == players_in
 
 
+def test_all_restarts_cost_no_more_than_single_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    from shiftframe.operators import clusters
+
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(150, 3)) + c for c in ([0, 0, 0], [6, 0, 1], [0, 7, 0], [5, 5, 5])]) * [1, 10, 0.1]
+    rows = spark.createDataFrame([tuple(map(float, p)) for p in points] + [(None, 1.0, 1.0)], "a double, b double, c double").repartition(4)
+    vectors = clusters.vectors_of(rows, ["a", "b", "c"], True)[0].select(array_to_vector("x").alias("x")).persist()
+    found = clusters.kmeans_runs(rows, ["a", "b", "c"], [(k, s) for k in (2, 4) for s in range(6)])
+    shape = clusters.silhouettes(rows, ["a", "b", "c"], found)
+    for k in (2, 4):
+        single = min((KMeans(k=k, seed=s, featuresCol="x").fit(vectors) for s in range(6)), key=lambda m: m.summary.trainingCost)
+        best = min((r for r in found if r[0] == k), key=lambda r: found[r][0].cost)
+        assert found[best][0].cost <= single.summary.trainingCost * 1.0001
+        if k == 4:
+            assert shape[best] == pytest.approx(ClusteringEvaluator(featuresCol="x").evaluate(single.transform(vectors)), abs=1e-3)
+            assert found[best][1][:, 0].sum() == 600 and found[best][1][:, 0].min() > 140 and A.assigned(found[best][0], rows).count() == 600
+    again = clusters.kmeans_runs(rows.repartition(7), ["a", "b", "c"], [(4, 1)])
+    assert np.allclose(again[4, 1][0].centres, found[4, 1][0].centres)
+
+
 def test_sweep(spark):
     found = sorted(rows_of(spark, "kmeans_sweep"), key=lambda r: r.k)
     assert [r.k for r in found] == list(range(2, 9)) and found[0].inertia > found[-1].inertia and all(-1 <= r.silhouette <= 1 for r in found)
