@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shiftframe.functions import clock, parse, rates
 from shiftframe.functions.seasons import season_of_year
-from shiftframe.sources.html import link_texts, title
+from shiftframe.sources.html import link_texts, links, title
 from shiftframe.sources.tables import table
 
 from . import views
@@ -30,6 +30,16 @@ def html_extract(spark, sf_dir):
     return pages.select("page_id", title(F.col("html")).alias("title"), F.size(link_texts(F.col("html"))).cast("long").alias("n_links"), F.length("html").cast("long").alias("n_chars"))
 
 
+@query(
+    """SELECT page_id, regexp_extract(x, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(x, '<[^>]+>', '', 'g')) AS text, CAST(count(*) AS BIGINT) AS n
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a\\s[^>]*href="([^"]*)"[^>]*>.*?</a>')) AS x FROM pages) GROUP BY ALL"""
+)
+def page_links(spark, sf_dir):
+    """Every link of every page with its text."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(links(F.col("html"))).alias("x"))
+    return found.groupBy("page_id", "x.href", "x.text").agg(F.count("*").alias("n"))
+
+
 @query(with_views("SELECT season, CAST(count(*) AS BIGINT) AS n, CAST(sum(cf) AS BIGINT) AS cf FROM v_pg WHERE season IN (19961997, 19971998, 19981999) GROUP BY season", "v_pg"))
 def union_seasons(spark, sf_dir):
     """The union of some seasons' tables is one read of the table that holds all, by a range of days."""

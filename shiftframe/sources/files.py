@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import csv
-import io
+import json
 import re
-import zipfile
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, types
 from pyspark.sql import functions as F
 
+from .archives import ZipMembers
+
 
 def csv_headers(spark: SparkSession, pattern: str) -> dict[str, tuple[str, ...]]:
     """The header of every CSV file that matches, by path; one line of each file is read, compressed ones too."""
@@ -95,26 +96,10 @@ def conform(df: DataFrame, schema: types.StructType, zero: tuple[str, ...] = ())
 
 
 def zipped_csv(spark: SparkSession, pattern: str, member: str, schema: types.StructType) -> DataFrame:
-    """Rows of the CSV members whose name ends with ``member`` in all archives that match.
-
-    An archive is read in one task; a member is parsed in blocks of rows.
-    """
-    names = [f.name for f in schema]
-    raw = types.StructType([types.StructField(n, types.StringType()) for n in names])
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch.content:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        base = name.rpartition("/")[2]
-                        if name.endswith(member) and not name.startswith("__MACOSX") and not base.startswith("._"):
-                            with archive.open(name) as file:
-                                for part in pd.read_csv(file, dtype=str, chunksize=50_000, keep_default_na=False, na_values=[""]):
-                                    yield part.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
-
-    files = spark.read.format("binaryFile").load(pattern).select("content")
-    return conform(files.mapInPandas(rows, raw), schema)
+    """Rows of the CSV members whose name ends with ``member`` in all archives that match, each member by a task of its own."""
+    spark.dataSource.register(ZipMembers)
+    members = spark.read.format("zip_members").option("path", pattern).option("member", member).option("columns", json.dumps([f.name for f in schema]))
+    return conform(members.load(), schema)
 
 
 def season_table(spark: SparkSession, path: str, seasons: list[int] | None = None) -> DataFrame:
