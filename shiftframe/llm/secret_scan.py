@@ -22,6 +22,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +36,10 @@ from .common import checkpointed, columns, small_batches, texts_of
 
 RUN = 16
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer")
+NAME = "A-Za-z0-9_.-"
+#: A name that has one of the words, a sign, and a value, with any number of blanks between. A name is looked through from its start alone, so that long ones cost no more.
 ASSIGNED = re.compile(
-    rf"(?ai:{'|'.join(KEYWORDS)})[A-Za-z0-9_.-]{{0,40}}[\"']?[ \t]{{0,8}}(?:=>|:=|[=:])[ \t]{{0,8}}(?:\"(?P<double>[^\"\s]{{6,}})\"|'(?P<single>[^'\s]{{6,}})'|(?P<bare>[^\s\"',;]{{6,}}))"
+    rf"(?<![{NAME}])(?=[{NAME}]*?(?ai:{'|'.join(KEYWORDS)}))[{NAME}]++[\"']?[ \t]*+(?:=>|:=|[=:])[ \t]*+(?:\"(?P<double>[^\"\s]{{6,}})\"|'(?P<single>[^'\s]{{6,}})'|(?P<bare>[^\s\"',;]{{6,}}))"
 )
 RUNS = re.compile(rf"(?=[A-Za-z0-9+/_.-]{{{RUN}}})[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={{0,2}}")
 WORD = re.compile(r"[^\W\d_]+")
@@ -49,18 +53,19 @@ class Dictionary:
 
     words: frozenset[str]
     pairs: dict[str, float]
+    longest: int = 0
 
     @staticmethod
     def of(words: list[str]) -> Dictionary:
         counts = Counter(w[k : k + 2] for w in words for k in range(len(w) - 1))
         total = sum(counts.values()) or 1
-        return Dictionary(frozenset(w for w in words if len(w) >= 3), {p: math.log(n / total) for p, n in counts.items()})
+        return Dictionary(frozenset(w for w in words if len(w) >= 3), {p: math.log(n / total) for p, n in counts.items()}, max(map(len, words), default=0))
 
     def coverage(self, text: str) -> float:
         """The share of the characters that the longest dictionary words cover, from left to right."""
         at = covered = 0
         while at < len(text):
-            size = next((n for n in range(min(10, len(text) - at), 2, -1) if text[at : at + n] in self.words), 0)
+            size = next((n for n in range(min(self.longest, len(text) - at), 2, -1) if text[at : at + n] in self.words), 0)
             covered += size
             at += size or 1
         return covered / max(1, len(text))
@@ -74,14 +79,38 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(text: str, start: int, end: int, path: str, known: Dictionary) -> list[float]:
-    value, low = text[start:end], text[start:end].lower()
+class Words:
+    """Where the words of a text are; those beside a place are found however far off they are."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, array("q"), array("q")
+        for m in WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def before(self, at: int, n: int) -> list[str]:
+        k = bisect_right(self.ends, at)
+        return [self.text[self.starts[j] : self.ends[j]] for j in range(max(0, k - n), k)]
+
+    def after(self, at: int) -> list[str]:
+        k = bisect_left(self.starts, at)
+        return [self.text[self.starts[k] : self.ends[k]]] if k < len(self.starts) else []
+
+
+def _last(text: str, at: int, passed: str) -> int:
+    """The place of the last character before ``at`` that is no white space and not in ``passed``; -1 without one."""
+    at -= 1
+    while at >= 0 and (text[at].isspace() or text[at] in passed):
+        at -= 1
+    return at
+
+
+def features(text: str, start: int, end: int, path: str, known: Dictionary, around: Words | None = None) -> list[float]:
+    value, low, around = text[start:end], text[start:end].lower(), around or Words(text)
     kinds, counts = list(map(_kind, value)), Counter(value)
-    before, after = text[max(0, start - 60) : start], text[end : end + 60]
-    words = [w.lower() for w in WORD.findall(before)[-3:]]
-    follows = WORD.findall(after)[:1]
+    words, follows = [w.lower() for w in around.before(start, 3)], around.after(end)
     bucket = lambda w: float(zlib.crc32(w.lower().encode("utf-8", "replace")) % 64)
-    tail = before.rstrip()
+    quote, sign = text[max(0, start - 1) : start], _last(text, start, "'\"")
     return [
         float(len(value)),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / len(value),
@@ -91,8 +120,8 @@ def features(text: str, start: int, end: int, path: str, known: Dictionary) -> l
         -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values()),
         known.usual(low),
         known.coverage(low),
-        float(before[-1:] in ("'", '"') and after[:1] == before[-1:]),
-        float(tail.rstrip("'\"").rstrip()[-1:] in ("=", ":")),
+        float(quote in ("'", '"') and text[end : end + 1] == quote),
+        float(sign >= 0 and text[sign] in "=:"),
         float(any(k in w for w in words for k in KEYWORDS)),
         bucket(words[-1]) if words else -1.0,
         bucket(follows[0]) if follows else -1.0,
@@ -127,7 +156,11 @@ def candidates(docs: DataFrame, known: Dictionary, id_col: str = "doc_id", text_
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             paths = b.column("__path").to_pylist()
-            found = [(k, s, e, t[s:e], features(t, s, e, paths[k], shared.value)) for k, t in enumerate(texts_of(b, "__text")) for s, e in found_in(t)]
+            found = []
+            for k, t in enumerate(texts_of(b, "__text")):
+                if spans := found_in(t):
+                    around = Words(t)
+                    found += [(k, s, e, t[s:e], features(t, s, e, paths[k], shared.value, around)) for s, e in spans]
             at, start, end, value, x = zip(*found, strict=True) if found else [()] * 5
             arrays = [b.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value, pa.string()), pa.array(x, pa.list_(pa.float64()))]
             yield pa.record_batch(arrays, [id_col, "start", "end", "value", "features"])

@@ -618,3 +618,90 @@ def test_group_links_join_what_brute_force_joins():
     n, zero = len(sets), np.zeros(len(sets), int)
     links = near_duplicates.group_links(sets, np.arange(n), zero, zero, np.zeros((n, 0), np.int64), 0, 0.8)
     assert set(links) <= set(pairs) and components_of(n, links) == components_of(n, pairs) and len(links) < len(pairs)
+
+
+def test_far_names_blanks_and_neighbours_of_secrets():
+    """Key names of any length, any blanks around the sign, neighbours however far; and no quadratic search."""
+    import time
+
+    value = "Zq81xkPd00"
+    for name in ("token", "my." + "x" * 60 + "_token" + "y" * 60, "API_KEY"):
+        for gap in ("", " " * 10, "\t \t" * 9):
+            text = f"words {name}{gap}={gap}{value} end"
+            assert [text[s:e] for s, e in secret_scan.found_in(text) if text[s:e] == value] == [value], (name, gap)
+    text = "secretword " + "1" * 100 + " , " + "a1" * 10 + " , " + "2" * 100 + " next"
+    s = text.index("a1")
+    known = secret_scan.Dictionary.of(["extraordinarily", "the"])
+    row = dict(zip(secret_scan.FEATURES, secret_scan.features(text, s, s + 20, "", known), strict=True))
+    assert row["keyword"] == 1 and row["before"] >= 0 and row["after"] >= 0
+    assert known.coverage("extraordinarily") == 1
+    began = time.time()
+    for hard in ("token" * 40_000, "token " * 40_000, "token=" * 40_000, "key" + " " * 200_000, "a.b-" * 50_000):
+        secret_scan.found_in(hard)
+    assert time.time() - began < 20
+
+
+def plain_runs(text):
+    """Runs of 16 and more, and assigned values of six and more, found character by character."""
+    run, name = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"), set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
+    assigned, at = [], 0
+    while at < len(text):
+        if text[at] not in name or at and text[at - 1] in name:
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end] in name:
+            end += 1
+        here, k = None, end
+        if any(w in text[at:end].lower() for w in secret_scan.KEYWORDS):
+            k += text[k : k + 1] in ("'", '"') and k < len(text)
+            while text[k : k + 1] in (" ", "\t") and k < len(text):
+                k += 1
+            sign = next((x for x in ("=>", ":=", "=", ":") if text.startswith(x, k)), "")
+            for sign in [x for x in ("=>", ":=", "=", ":") if text.startswith(x, k)]:
+                j = k + len(sign)
+                while text[j : j + 1] in (" ", "\t") and j < len(text):
+                    j += 1
+                quote = text[j : j + 1]
+                if quote in ("'", '"') and quote:
+                    e = j + 1
+                    while e < len(text) and text[e] != quote and not text[e].isspace():
+                        e += 1
+                    if text[e : e + 1] == quote and e - j - 1 >= 6:
+                        here = (j + 1, e, e + 1)
+                elif quote:
+                    e = j
+                    while e < len(text) and not text[e].isspace() and text[e] not in "\"',;":
+                        e += 1
+                    if e - j >= 6:
+                        here = (j, e, e)
+                if here:
+                    break
+        if here:
+            assigned.append(here[:2])
+            at = here[2]
+        else:
+            at = end
+    runs, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and (text[end] in run or text[end] == "." and end > at and text[end + 1 : end + 2] and text[end + 1] in run):
+            end += 1
+        if end > at:
+            pad = 0
+            while pad < 2 and text[end + pad : end + pad + 1] == "=":
+                pad += 1
+            if end + pad - at >= 16 and (end - at >= 16):
+                runs.append((at, end + pad))
+            at = end + pad
+        else:
+            at += 1
+    return sorted(assigned + [r for r in runs if not any(s < r[1] and r[0] < e for s, e in assigned)])
+
+
+def test_candidates_against_a_plain_finder():
+    rng = random.Random(21)
+    parts = ["token", "key", "=", ":=", "=>", ": ", "'", '"', " ", "\n", "abcdef", "0123456789abcdef0", "a/b+c_d-e", ".", ",", "Secret_", "xyz" * 7, "é", "\t"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        assert sorted(secret_scan.found_in(text)) == plain_runs(text), repr(text)
