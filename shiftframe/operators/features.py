@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shiftframe.functions.rates import divide, per60
 
-from .ordering import quantile_edges
+from .ordering import quantile_edges, sums_before
 
 SEASON_GAME = ["season", "game_id"]
 
@@ -89,12 +89,14 @@ def rolling_mean_flat(df: DataFrame, value: str, name: str, order: list[Column],
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """``name``: each row's place, from 0, in the order of the keys and then of ``order``.
 
-    Only the keys' row counts, one row a key, are summed in one task.
+    The keys' row counts are summed along the first key's values, in blocks of them, and then within a value.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sums_before(counts.groupBy(keys[0]).agg(F.sum("__n").alias("__n")), keys[0], ["__n"]).select(keys[0], F.col("before___n").alias("__first"))
+    own = F.coalesce(F.sum("__n").over(Window.partitionBy(keys[0]).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.withColumn("__own", own).join(first, keys[0]).select(*keys, (F.col("__first") + F.col("__own")).alias("__before"))
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.join(counts.select(*keys, before.alias("__before")), keys).withColumn(name, F.col("__before") + within).drop("__before")
+    return df.join(before, keys).withColumn(name, F.col("__before") + within).drop("__before")
 
 
 def season_features(games: DataFrame, least_minutes: float = 0.0) -> DataFrame:

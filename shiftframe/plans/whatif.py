@@ -73,8 +73,9 @@ af AS (SELECT season, player_id, team_id, pos_group, cluster, toi_es_sec FROM ro
 def _swap(spark, sf_dir):
     season = views.player_seasons(spark, sf_dir).where("season = 19971998")
     roster = season.where("team_id = 5").select("season", "player_id", "team_id", "pos_group", "cluster", "toi_es_sec")
-    gone = roster.agg(F.min("player_id")).first()[0]  # the caller's choice of a player, one number
-    return roster, R.swapped(roster, season, gone, 11)
+    gone = roster.agg(F.min("player_id").alias("gone"))  # one row
+    left = roster.join(F.broadcast(gone), F.col("player_id") == F.col("gone"), "left_anti")
+    return roster, R.swapped(left, season, None, 11)
 
 
 @query(with_views(SWAP + " SELECT * FROM af", "v_ps"))
