@@ -705,3 +705,41 @@ def test_candidates_against_a_plain_finder():
     for _ in range(4000):
         text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
         assert sorted(secret_scan.found_in(text)) == plain_runs(text), repr(text)
+
+
+def plain_toxicity(net, words):
+    """One window's probability, word by word and direction by direction, from the definition."""
+    import zlib
+
+    p, k, sigmoid = {n: v.astype(float) for n, v in net.p.items()}, toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    inputs = []
+    for w in words:
+        chars = [ord(c) for c in f" {w} "]
+        grams = [(a * 961 + b * 31 + c) % toxicity.CHAR_ROWS for a, b, c in zip(chars, chars[1:], chars[2:])]
+        for n in toxicity.BEGINNINGS:
+            if len(w) >= n:
+                found = n
+                for c in chars[1 : n + 1]:
+                    found = found * 1000003 % (1 << 31) + c
+                grams.append(found % toxicity.CHAR_ROWS)
+        inputs.append(np.concatenate([p["word"][zlib.crc32(w.encode()) % toxicity.WORD_ROWS], sum(p["char"][g] for g in grams) / math.sqrt(len(grams))]))
+    states = np.zeros((len(words), 2 * k))
+    for d, order in enumerate((range(len(words)), range(len(words) - 1, -1, -1))):
+        h = np.zeros(k)
+        for t in order:
+            gx, gh = inputs[t] @ p["gx"][:, d] + p["gb"][d], h @ p["gh"][:, d]
+            z, r = sigmoid(gx[:k] + gh[:k]), sigmoid(gx[k : 2 * k] + gh[k : 2 * k])
+            h = (1 - z) * np.tanh(gx[2 * k :] + r * gh[2 * k :]) + z * h
+            states[t, d * k : (d + 1) * k] = h
+    attention = np.exp(states @ p["att"])
+    return sigmoid((attention / attention.sum()) @ (states @ p["out"]) + p["bias"][0])
+
+
+def test_toxicity_against_a_plain_loop_over_windows(texts):
+    net = toxicity.Network.fresh(3)
+    some = ["", "?!", "one", "Émile ²³ zzz", *[t for t in list(texts.values())[:12] if t], "a b c d e f g " * 30]
+    found = toxicity.score_texts(some, net, batch=7)
+    for text, score in zip(some, found, strict=True):
+        words = re.findall(r"\w+", text.lower())
+        starts = [0] if len(words) <= toxicity.WINDOW else [*range(0, len(words) - toxicity.WINDOW, toxicity.STRIDE), len(words) - toxicity.WINDOW]
+        assert score == pytest.approx(max((plain_toxicity(net, words[s : s + toxicity.WINDOW]) for s in starts), default=0) if words else 0, abs=1e-4)
