@@ -45,7 +45,7 @@ class Clusters:
 
 def _mixed(u: np.ndarray, salt: int) -> np.ndarray:
     """Numbers from 0 to 1 by the points' hashes and a salt."""
-    z = u.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * salt + 1)
+    z = u.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (2 * salt + 1) % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
     return (z ^ (z >> np.uint64(31))).astype(np.float64) / 2.0**64
