@@ -50,9 +50,14 @@ def _spaceless(normal: Column) -> Column:
     return F.replace(normal, F.lit(" "))
 
 
+def _normal_names(people: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """(id, normal), dealt by both, so that what reads them shares one exchange instead of normalising again."""
+    return people.select(F.col(id_col).alias("id"), normalize_name_strict(F.col(name_col)).alias("normal")).repartition("normal", "id")
+
+
 def known_names(people: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """(last, first, low, high, n): people by first and last word of their normal name, with the least and greatest of their ids."""
-    normal = people.select(F.col(id_col).alias("id"), normalize_name_strict(F.col(name_col)).alias("normal"))
+    normal = _normal_names(people, id_col, name_col)
     first, last = first_and_last(F.col("normal"))
     return normal.select("id", first.alias("first"), last.alias("last")).where("last <> ''").groupBy("last", "first").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("n"))
 
@@ -101,7 +106,7 @@ def resolved_names(asked: DataFrame, people: DataFrame, key_col: str, id_col: st
     and known are counted by spelling first, so that a frequent name is compared once.
     """
     names, known = asked_names(asked, key_col, asked_name), known_names(people, id_col, people_name)
-    whole = people.select(_spaceless(normalize_name_strict(F.col(people_name))).alias("flat"), F.col(id_col).alias("id")).groupBy("flat").agg(F.min("id").alias("id"))
+    whole = _normal_names(people, id_col, people_name).select(_spaceless(F.col("normal")).alias("flat"), "id").groupBy("flat").agg(F.min("id").alias("id"))
     exact = names.select("normal", _spaceless(F.col("normal")).alias("flat")).join(whole, "flat").select("normal", "id", F.lit(1.5).alias("sim"), F.lit("exact").alias("verdict"))
     blocks = last_name_blocks(names.join(exact, "normal", "left_anti"), known)
     alike = alike_candidates(blocks, known).select("normal", "id", F.lit(1.0).alias("sim"), F.lit("high").alias("verdict"))
