@@ -9,16 +9,18 @@ from dataclasses import replace
 
 import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import trees
 from .clusters import Clusters, kmeans_runs, silhouettes
 from .folded import Fit, Linear, balanced_folds, cross_scored, logistic_fits
 from .ordering import sums_before
+from .trees import Boosted, Forest
 
 PARALLEL = 8  # fits that run at once, as their jobs are short
 
@@ -225,31 +227,18 @@ def cross_validated(df: DataFrame, columns: list[str], label: str, group: str, m
 
 
 _OUT = {"featuresCol": "x", "probabilityCol": "p", "rawPredictionCol": "rawp", "predictionCol": "hit"}
-DEEPEST = 30  # the deepest trees Spark grows: where a grid sets no depth
 
 
 def logistic(c: float = 0.1) -> Make:
     return lambda label, n: LogisticRegression(labelCol=label, regParam=1.0 / (c * max(n, 1)), standardization=False, **_OUT)
 
 
-def forest(trees: int = 300, depth: int | None = 6, leaf: int = 1) -> Make:
-    return lambda label, n: RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth or DEEPEST, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=42, **_OUT)
-
-
-def boosted(rounds: int = 200, depth: int | None = 3, rate: float = 0.05) -> Make:
-    def make(label: str, n: int) -> GBTClassifier:
-        fit = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth or DEEPEST, stepSize=rate, seed=42, featuresCol="x", predictionCol="hit")
-        return fit.setProbabilityCol("p").setRawPredictionCol("rawp")
-
-    return make
-
-
-def grid(trees: tuple[int, ...] = (300, 600), rounds: tuple[int, ...] = (200, 400), depths: dict[str, tuple[int | None, ...]] | None = None) -> dict[str, Fit | tuple[Make, bool]]:
-    """All points of the search by name: penalties, forests and boosted trees, and whether columns are standardised first."""
+def grid(sizes: tuple[int, ...] = (300, 600), rounds: tuple[int, ...] = (200, 400), depths: dict[str, tuple[int | None, ...]] | None = None) -> dict[str, Fit | Forest | Boosted]:
+    """All points of the search by name: penalties, forests and boosted trees."""
     own = {"forest": (6, 10, None), "boosted": (3, 5, None)} | (depths or {})
-    points: dict[str, Fit | tuple[Make, bool]] = {f"logistic C={c}": Fit(frozenset(), c) for c in (0.01, 0.1, 1.0, 10.0)}
-    points |= {f"forest trees={t} depth={d} leaf={m}": (forest(t, d, m), False) for t in trees for d in own["forest"] for m in (1, 5)}
-    return points | {f"boosted rate={r} depth={d} rounds={k}": (boosted(k, d, r), False) for r in (0.03, 0.05, 0.1) for d in own["boosted"] for k in rounds}
+    points: dict[str, Fit | Forest | Boosted] = {f"logistic C={c}": Fit(frozenset(), c) for c in (0.01, 0.1, 1.0, 10.0)}
+    points |= {f"forest trees={t} depth={d} leaf={m}": Forest(t, d, m) for t in sizes for d in own["forest"] for m in (1, 5)}
+    return points | {f"boosted rate={r} depth={d} rounds={k}": Boosted(k, d, r) for r in (0.03, 0.05, 0.1) for d in own["boosted"] for k in rounds}
 
 
 MEASURES = ("auc", "brier", "log_loss")
@@ -261,17 +250,14 @@ def fold_scores(scored: DataFrame, label: str, measures: tuple[str, ...] = MEASU
     return by_fold.groupBy(*(keys or [])).agg(*(f(c).alias(f"{c}_{n}") for c in measures for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 
-def grid_search(df: DataFrame, columns: list[str], label: str, group: str, points: dict[str, Fit | tuple[Make, bool]], folds: int = 5) -> DataFrame:
-    """(model, auc_mean, auc_std, ...) of every point by the same balanced folds, a row each.
-
-    Logistic points are a ``Fit`` and share their scans; the others are fitted one by one, some at once.
-    """
+def grid_search(df: DataFrame, columns: list[str], label: str, group: str, points: dict[str, Fit | Forest | Boosted], folds: int = 5) -> DataFrame:
+    """(model, auc_mean, auc_std, ...) of every point by the same balanced folds, a row each. Logistic points share their scans, and so do trees."""
     names = [f"{c}_{n}" for c in MEASURES for n in ("mean", "std")]
     with cached(df) as df, cached(balanced_folds(df, group, folds)) as df:
-        shared = {name: p for name, p in points.items() if isinstance(p, Fit)}
-        scored = cross_scored(df, columns, label, shared, folds) if shared else None
-        out = [tuple(r) for r in fold_scores(scored, label, keys=["model"]).select("model", *names).collect()] if shared else []
-        out += _each(lambda p: (p[0], *fold_scores(cross_validated(df, columns, label, group, p[1][0], folds, p[1][1]), label).first()), [p for p in points.items() if p[0] not in shared])
+        linear, grown = ({name: p for name, p in points.items() if isinstance(p, Fit) == own} for own in (True, False))
+        scored = [cross_scored(df, columns, label, linear, folds).select("model", "fold", label, "prob")] if linear else []
+        scored += [trees.cross_scored(df, columns, label, grown, folds)] if grown else []
+        out = [tuple(r) for part in scored for r in fold_scores(part, label, keys=["model"]).select("model", *names).collect()]
     return df.sparkSession.createDataFrame(out, "model string, " + ", ".join(f"{n} double" for n in names))
 
 
