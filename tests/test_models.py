@@ -139,7 +139,7 @@ def test_scores(spark):
     assert 0 <= rows_of(spark, "temporal_holdout")[0].auc <= 1
     assert {r.model for r in rows_of(spark, "goal_regression")} == {"ridge", "forest", "boosted"}
     assert {r.features for r in rows_of(spark, "ablation")} == {"all", "without shares"}
-    assert len(rows_of(spark, "grid_search")) == 14
+    assert len(rows_of(spark, "grid_search")) == 34
     assert sum(r.n for r in rows_of(spark, "calibration_oof")) == models._games(spark, FOLDER).count()
     assert len(rows_of(spark, "top_coefficients")) == 15
     found = {r.delta_share: r.mean_change for r in rows_of(spark, "simulated_lineups")}
