@@ -84,6 +84,22 @@ def test_probabilities(spark):
     assert len({r.season_t for r in rows_of(spark, "multinomial_unscaled")}) >= 4  # all seasons that have one before them
 
 
+def test_probabilities_compute_the_pairs_once(spark, monkeypatch):
+    """Their columns have no lineage left when conditions are put on them."""
+    given = []
+    monkeypatch.setattr(models.A, "expanding_probabilities", lambda df, *args, **kwargs: given.append(df))  # gives None: no rows
+    for name in ("multinomial_probs", "multinomial_unscaled"):
+        QUERIES[name](spark, FOLDER)
+    for df in given:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_complete_leaves_nulls_and_nans_out(spark):
+    rows = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (None, 4.0)], "a long, b double")
+    assert [r.a for r in models.folded.complete(rows, ["a", "b"]).collect()] == [1]
+
+
 def test_penalties_count_the_training_rows(spark):
     """Twice the same rows and the same weight of the penalty against each: the same fit."""
     from pyspark.ml import Pipeline
