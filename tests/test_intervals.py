@@ -60,6 +60,16 @@ def test_seven_skaters_are_not_excluded(spark):
     assert timeline_rows(I.strength_timeline(game(spark, rows))) == [(0, 5, 6, True), (20, 5, 7, False), (50, 0, 0, False)]
 
 
+def test_small_rows_keep_their_tasks(spark):
+    """Spark would put what packs to a few bytes into one task."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    timeline = I.strength_timeline(game(spark, five_a_side()))
+    shots = spark.createDataFrame([(t, 1, t, "Shot", 0, 1) for t in (39, 40, 60)], PLAY)
+    assert timeline.rdd.getNumPartitions() == n
+    plan = I.asof_last(shots, timeline, F.col("exclude"), "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
+
+
 def test_blocked_shots_count_for_the_other_side(spark):
     shot = spark.createDataFrame([(1, 1, 10, "Blocked Shot", 0, 1)], PLAY)
     rows = {r.player_id: (r.cf, r.ca) for r in P.attempts_for_and_against(shot, game(spark, [(1, 0, 0, 30), (2, 1, 0, 30)])).collect()}
