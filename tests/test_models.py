@@ -95,6 +95,13 @@ def test_probabilities_compute_the_pairs_once(spark, monkeypatch):
         assert "Relation" not in plan and "Join" not in plan and "Aggregate" not in plan
 
 
+def test_players_rows_are_read_once_each(spark):
+    """A season's main team needs no second pass, and teams' sums no row for each player's game between."""
+    tables = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    assert tables(views.player_seasons(spark, FOLDER)) == 2
+    assert tables(QUERIES["team_game_features"](spark, FOLDER)) == 8  # lineitem and orders for a game's two sides, role seconds and roles
+
+
 def test_complete_leaves_nulls_and_nans_out(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (None, 4.0)], "a long, b double")
     assert [r.a for r in models.folded.complete(rows, ["a", "b"]).collect()] == [1]
