@@ -102,6 +102,11 @@ def test_players_rows_are_read_once_each(spark):
     assert tables(QUERIES["team_game_features"](spark, FOLDER)) == 8  # lineitem and orders for a game's two sides, role seconds and roles
 
 
+def test_simulated_lineups_compute_the_games_once(spark):
+    found = QUERIES["simulated_lineups"](spark, FOLDER)
+    assert "Relation" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_complete_leaves_nulls_and_nans_out(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (None, 4.0)], "a long, b double")
     assert [r.a for r in models.folded.complete(rows, ["a", "b"]).collect()] == [1]
