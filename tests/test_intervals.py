@@ -66,6 +66,7 @@ def test_small_rows_keep_their_tasks(spark):
     timeline = I.strength_timeline(game(spark, five_a_side()))
     shots = spark.createDataFrame([(t, 1, t, "Shot", 0, 1) for t in (39, 40, 60)], PLAY)
     assert timeline.rdd.getNumPartitions() == n
+    assert I.merge_intervals(game(spark, five_a_side()), P.KEYS).rdd.getNumPartitions() == n
     plan = I.asof_last(shots, timeline, F.col("exclude"), "x")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2
 
