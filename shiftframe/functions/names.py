@@ -60,10 +60,10 @@ FOLDED, PLAIN, LIGATURES = _folds()
 
 def fold_accents(text: Column) -> Column:
     """Lower case without accents: letters as Unicode decomposes them, combining marks dropped."""
-    text = F.translate(F.lower(text), FOLDED, PLAIN)
+    folded = F.translate(F.lower(text), FOLDED, PLAIN)
     for c, letters in LIGATURES.items():
-        text = F.replace(text, F.lit(c), F.lit(letters))
-    return text
+        folded = F.replace(folded, F.lit(c), F.lit(letters))
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(folded)  # ASCII has nothing to fold
 
 
 def _join_initials(text: Column) -> Column:
@@ -152,9 +152,14 @@ def first_name_variants(first: Column, full_name: Column | None = None) -> Colum
     return F.array_sort(F.array_union(F.array_compact(F.array(*found)), nick))
 
 
+def matched_ratio(a: str, b: str) -> float:
+    """The matched-blocks ratio of two strings."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def _matched_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series([None if x is None else matched_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def first_name_similarity(a: Column, b: Column) -> Column:
@@ -179,14 +184,3 @@ def last_name_spellings(last: Column) -> Column:
 def same_first_name(variants: Column, b: Column) -> Column:
     """True if ``b`` is one of the variants, begins one of three letters or more, or begins with one."""
     return (b != "") & F.exists(variants, lambda v: (v != "") & ((v == b) | (F.length(v) >= 3) & (F.startswith(v, b) | F.startswith(b, v))))
-
-
-@F.pandas_udf(DoubleType())
-def _best_matched_ratio(variants: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else max((SequenceMatcher(None, x, y).ratio() for x in v if x), default=0.0) for v, y in zip(variants, b, strict=True)], dtype=float)
-
-
-def variants_similarity(variants: Column, b: Column) -> Column:
-    """The greatest ``first_name_similarity`` of the variants to ``b``; only names that are not alike leave the JVM."""
-    settled = F.when(F.coalesce(b, F.lit("")) == "", 0.0).when(same_first_name(variants, b), 1.0)
-    return F.coalesce(settled, _best_matched_ratio(F.when(settled.isNull(), variants), b))

@@ -77,8 +77,8 @@ BOTH_NAMES = ("v_names", "v_titled")
 @query(with_views(RESOLVING + ", c AS (SELECT n, block, count(*) AS n_first_names FROM blocks JOIN known ON last = block GROUP BY ALL) SELECT n AS name, block, CAST(n_first_names AS BIGINT) AS n_first_names FROM c", *BOTH_NAMES))
 def name_candidates(spark, sf_dir):
     """The last name that each title's name is looked up by, and how many first names it meets there."""
-    asked, known = identity.asked_names(views.titled(spark, sf_dir), "page_id", "name"), identity.known_names(views.names(spark, sf_dir), "doc_id", "name")
-    flat = views.names(spark, sf_dir).select(F.replace(names.normalize_name_strict(F.col("name")), F.lit(" ")).alias("flat")).distinct()
+    asked, normal = identity.asked_names(views.titled(spark, sf_dir), "page_id", "name"), identity.normal_names(views.names(spark, sf_dir), "doc_id", "name")
+    known, flat = identity.by_last_name(normal), normal.select(F.replace("normal", F.lit(" ")).alias("flat")).distinct()
     open_ = asked.withColumn("flat", F.replace("normal", F.lit(" "))).join(flat, "flat", "left_anti").drop("flat")
     blocks = identity.last_name_blocks(open_, known)
     return blocks.join(known, F.col("block") == known["last"]).groupBy(F.col("normal").alias("name"), "block").agg(F.count("*").alias("n_first_names"))
@@ -87,7 +87,7 @@ def name_candidates(spark, sf_dir):
 @query(with_views(RESOLVING + f" SELECT page_id, coalesce(e.id, a.id) AS doc_id, CASE WHEN e.id IS NULL THEN 'high' ELSE 'exact' END AS verdict FROM (SELECT page_id, {STRICT} AS n FROM v_titled) LEFT JOIN exact e USING (n) LEFT JOIN alike a USING (n) WHERE coalesce(e.id, a.id) IS NOT NULL", *BOTH_NAMES))
 def sure_names(spark, sf_dir):
     """Titles' names that are a person's, or alike by nickname, prefix or initials."""
-    return resolved_names(spark, sf_dir).where("sim >= 1").select("page_id", "doc_id", "verdict")
+    return identity.resolved_names(views.titled(spark, sf_dir), views.names(spark, sf_dir), "page_id", "doc_id", sure=True).select("page_id", "doc_id", "verdict")
 
 
 @query()

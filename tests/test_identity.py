@@ -88,3 +88,39 @@ def test_lookup_keys_take_whole_last_names(spark):
     people = spark.createDataFrame([(1, "james", "van riemsdyk"), (2, "", "lee"), (3, "solo", ""), (4, "jack", "van riemsdyk")], "id long, first string, last string")
     found = {r.name_key: r.id for r in identity.name_lookup(people, "id", "first", "last").collect()}
     assert found == {"james van riemsdyk": 1, "jack van riemsdyk": 4, "j van riemsdyk": 4}
+
+
+@pytest.mark.parametrize("names,shares", [(60, 1.0), (3000, 0.02)])
+def test_two_best_equal_all_and_few_are_compared(monkeypatch, names, shares):
+    """Names' bounds tell which can be among the two best; before, every pair of a block was compared."""
+    random.seed(names)
+    word = lambda: "".join(random.choice("etaoinsrhl") for _ in range(random.randint(1, 9)))
+    firsts = list(dict.fromkeys(["", *(word() for _ in range(names))]))
+    lows = random.sample(range(10 * names), len(firsts))
+    highs = [i + random.choice([0, 0, 10 * names]) for i in lows]
+    variants = [["x" + f] for f in random.sample(firsts[1:], 10)] + [[word(), word(), ""] for _ in range(20)] + [[]]
+    want = [sorted([(-max((similarity(v, f) for v in own), default=0.0), i) for f, low, high in zip(firsts, lows, highs, strict=True) for i in {low, high}])[:2] for own in variants]
+    calls = []
+    monkeypatch.setattr(identity, "matched_ratio", lambda a, b: calls.append(1) or SequenceMatcher(None, a, b).ratio())
+    found = list(identity.two_best(variants, firsts, lows, highs))
+    assert [[(-s, i) for s, i in two] for two in found] == want
+    assert len(calls) <= shares * len(firsts) * sum(map(len, variants))
+
+
+def test_blocks_in_pieces_give_the_same(spark, monkeypatch):
+    people = spark.range(300).select("id", F.concat(F.translate(F.hex(F.xxhash64("id")), "0123456789", "abcdefghij"), F.lit(" hotname")).alias("name"))
+    asked = spark.range(40).select(F.col("id").alias("key"), F.concat(F.lit("zz"), F.translate(F.hex(F.xxhash64(F.col("id") + 3)), "0123456789", "abcdefghij"), F.lit(" hotname")).alias("name"))
+    rows = lambda: sorted(map(tuple, identity.resolved_names(asked, people, "key", "id").collect()))
+    whole = rows()
+    monkeypatch.setattr(identity, "ASKED", 7)
+    monkeypatch.setattr(identity, "KNOWN", 11)
+    assert rows() == whole and len(whole) > 30
+
+
+def test_names_are_normalised_once(spark):
+    """What joins and counts them reads a written table."""
+    people = spark.range(20).select("id", F.concat(F.lit("a b"), F.col("id").cast("string")).alias("name"))
+    asked = people.withColumnRenamed("id", "key")
+    for sure in (False, True):
+        plan = identity.resolved_names(asked, people, "key", "id", sure=sure)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range (" not in plan
