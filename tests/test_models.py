@@ -107,6 +107,15 @@ def test_simulated_lineups_compute_the_games_once(spark):
     assert "Relation" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_fits_make_a_teams_sums_once(spark):
+    """The same rows as of ``team_game_features``, without a second pass for the opponents' sums."""
+    games = models._games(spark, FOLDER)
+    assert games._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 6
+    rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    plain = models.features.model_table(views.player_rows(spark, FOLDER), views.player_seasons(spark, FOLDER))
+    assert games.columns == plain.columns and rounded(games) == rounded(plain)
+
+
 def test_complete_leaves_nulls_and_nans_out(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (None, 4.0)], "a long, b double")
     assert [r.a for r in models.folded.complete(rows, ["a", "b"]).collect()] == [1]
