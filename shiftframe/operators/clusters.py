@@ -3,7 +3,8 @@
 Seeds are drawn as in k-means||: each round keeps points by their share of the cost so
 far, and the few kept, weighted by the points nearest to them, are thinned to k on the
 driver. A step of Lloyd's then is one scan: each task sums its points by nearest centre
-for every run that has not settled, a row a run. What a run draws depends on its seed and the
+for every run that has not settled, a row a run. Points lie in ``PIECE`` to a task or in one task a core,
+so that these rows are few, and are added up where they arrive: a step is one job without a shuffle. What a run draws depends on its seed and the
 points' values alone, so that a task run again gives the same rows.
 """
 
@@ -17,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folded import _summed
-
 DRAWS, STEPS, SETTLED = 2, 100, 1e-9
+PIECE = 500_000  # points of a task
 Run = tuple[int, int]  # number of clusters, seed
 
 
@@ -76,6 +76,14 @@ def _scan(vectors: DataFrame, each: Callable[[np.ndarray, np.ndarray], Iterable[
     return vectors.mapInArrow(run, "name string, sums array<double>")
 
 
+def _summed(found: DataFrame) -> dict[str, np.ndarray]:
+    """The tasks' rows (name, sums) added up by name."""
+    total: dict[str, np.ndarray] = {}
+    for r in found.collect():  # a row a run and task
+        total[r.name] = total.get(r.name, 0) + np.array(r.sums)
+    return total
+
+
 def _seeds(vectors: DataFrame, runs: list[Run], d: int) -> dict[Run, np.ndarray]:
     """k starting centres for each run; fewer if there are fewer different points."""
     names = {f"{k}|{s}": (k, s) for k, s in runs}
@@ -104,7 +112,8 @@ def _seeds(vectors: DataFrame, runs: list[Run], d: int) -> dict[Run, np.ndarray]
 
         kept = _scan(vectors, draw, d, add=False).distinct().collect()  # about 2 k a run and round
         best = {n: np.array(sorted({*map(tuple, c), *(tuple(r.sums) for r in kept if r.name == n)})) for n, c in best.items()}
-        cost = {n: v[0] for n, v in _summed(_scan(vectors, lambda u, x, best=best: ((n, np.array([_far(x, c).min(1).sum()])) for n, c in best.items()), d)).items()}
+        if turn < DRAWS:
+            cost = {n: v[0] for n, v in _summed(_scan(vectors, lambda u, x, best=best: ((n, np.array([_far(x, c).min(1).sum()])) for n, c in best.items()), d)).items()}
     near = lambda u, x: ((n, np.bincount(_far(x, c).argmin(1), minlength=len(c)).astype(float)) for n, c in best.items())
     weights = _summed(_scan(vectors, near, d))
     return {names[n]: _thinned(c, weights[n], names[n][0], names[n][1]) for n, c in best.items()}
@@ -162,11 +171,14 @@ def vectors_of(df: DataFrame, columns: list[str], scale: bool) -> tuple[DataFram
 def kmeans_runs(df: DataFrame, columns: list[str], runs: list[Run], scale: bool = True) -> dict[Run, tuple[Clusters, np.ndarray]]:
     """Every run's clusters, in no particular order of numbers, and each cluster's sums; all runs share their scans."""
     vectors, mean, spread = vectors_of(df, columns, scale)
-    vectors.persist()
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.persist().count() // PIECE))
+    pieces = vectors.repartition(tasks, "u").persist()
     try:
-        found = lloyd(vectors, _seeds(vectors, runs, len(columns)), len(columns))
-    finally:
+        pieces.count()
         vectors.unpersist()
+        found = lloyd(pieces, _seeds(pieces, runs, len(columns)), len(columns))
+    finally:
+        pieces.unpersist()
     return {run: (Clusters(list(columns), mean, spread, centres, cost), sums) for run, (centres, cost, sums) in found.items()}
 
 

@@ -52,6 +52,26 @@ def test_all_restarts_cost_no_more_than_single_fits(spark):
     assert np.allclose(again[4, 1][0].centres, found[4, 1][0].centres)
 
 
+def test_a_step_of_all_restarts_is_one_job(spark):
+    from shiftframe.operators import clusters
+
+    vectors = spark.range(8, numPartitions=4).select("id", F.array((F.col("id") % 2).cast("double")).alias("x")).persist()
+    vectors.count()
+    spark.sparkContext.setJobGroup("one step", "")
+    try:
+        found = clusters.lloyd(vectors, {(2, s): np.array([[0.0], [1.0]]) for s in range(3)}, 1)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("one step")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        vectors.unpersist()
+    assert len(jobs) == 1 and all(cost == 0 and sums[:, 0].tolist() == [4, 4] for _, cost, sums in found.values())
+
+
+@pytest.mark.parametrize("name", ["kmeans_archetypes", "pca_boundary"])
+def test_players_are_computed_once(spark, name):
+    assert "lineitem" not in QUERIES[name](spark, FOLDER)._jdf.queryExecution().toString()
+
+
 def test_sweep(spark):
     found = sorted(rows_of(spark, "kmeans_sweep"), key=lambda r: r.k)
     assert [r.k for r in found] == list(range(2, 9)) and found[0].inertia > found[-1].inertia and all(-1 <= r.silhouette <= 1 for r in found)
