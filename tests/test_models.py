@@ -191,6 +191,26 @@ def test_grid():
     assert len(A.grid()) == 4 + 12 + 18
 
 
+def test_tree_queries_have_their_whole_size(spark, monkeypatch):
+    from contextlib import nullcontext
+
+    seen = []
+    monkeypatch.setattr(A, "grid_search", lambda games, columns, label, group, points: seen.append(points))
+    QUERIES["grid_search"](spark, FOLDER)
+    assert seen == [A.grid()] and {p.trees for p in seen[0].values() if hasattr(p, "trees")} == {300, 600} and {p.rounds for p in seen[0].values() if hasattr(p, "rounds")} == {200, 400}
+
+    def cross_scored(games, columns, label, points, **options):
+        seen.append(points)
+        raise InterruptedError
+
+    monkeypatch.setattr(models.folded, "kept_folds", lambda *a: nullcontext())
+    monkeypatch.setattr(models.folded, "ridge_scored", lambda *a: None)
+    monkeypatch.setattr(models.trees, "cross_scored", cross_scored)
+    with pytest.raises(InterruptedError):
+        QUERIES["goal_regression"](spark, FOLDER)
+    assert seen[1]["forest"].trees == 600 and seen[1]["forest"].every and seen[1]["boosted"].rounds == 200
+
+
 def test_scores(spark):
     assert rows_of(spark, "cv_metrics")[0].auc_mean > 0.5
     assert 0 <= rows_of(spark, "temporal_holdout")[0].auc <= 1
